@@ -42,6 +42,26 @@ def append_batches(
     return wide.mapInArrow(run, schema)
 
 
+def append_vector(
+    df: DataFrame, inputs: Sequence[str], output: str, compute: Callable[[np.ndarray], np.ndarray]
+) -> DataFrame:
+    """Add one ``array<double>`` column holding a row of ``compute(matrix of inputs)``."""
+    wide = df.select(*[quoted(c) for c in df.columns], *[as_double(quoted(c)).alias(f"__in{i}") for i, c in enumerate(inputs)])
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType(), False))])
+    kept, count = len(df.columns), len(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            result = np.ascontiguousarray(compute(batch_matrix(batch, kept, count)), dtype=float)
+            offsets = np.arange(0, result.size + 1, result.shape[1], dtype=np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(result.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], rows], names=[*batch.schema.names[:kept], output])
+
+    return wide.mapInArrow(run, schema)
+
+
 def append_features(ds: Dataset, outputs: Sequence[str], compute: Callable[[np.ndarray], np.ndarray]) -> Dataset:
     """Dataset with further features computed from all its features."""
     columns = [f"f_{len(ds.features) + i:06d}_{abs(hash_name(o)):x}" for i, o in enumerate(outputs)]

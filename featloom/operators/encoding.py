@@ -195,7 +195,7 @@ def encode_features(df: DataFrame, columns: Sequence[str], below: int = ONE_HOT_
 
 
 def chained_imputation(
-    df: DataFrame, columns: Sequence[str], max_rounds: int = 10, tolerance: float = 1e-3, ridge: float = 1e-6
+    df: DataFrame, columns: Sequence[str], max_rounds: int = 10, tolerance: float = 1e-3, ridge: float = 0.0
 ) -> DataFrame:
     """Fill missing values by linear regression on all other columns, repeated.
 

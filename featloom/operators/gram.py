@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FAN_IN = 16
+FAN_IN = 8
 
 _SCHEMA = "block int, fold int, rows int, cols int, payload binary"
 _NAMES = ["block", "fold", "rows", "cols", "payload"]
@@ -27,7 +27,7 @@ def gram_matrices(table: DataFrame, blocks: BlockFunction, fan_in: int = FAN_IN)
     partial = table.mapInArrow(_add_batches(blocks), _SCHEMA)
     merged = partial.repartition(fan_in).mapInArrow(_add_partials, _SCHEMA)
     total: dict[Key, np.ndarray] = {}
-    for row in merged.toLocalIterator():
+    for row in merged.collect():
         matrix = np.frombuffer(row["payload"]).reshape(row["rows"], row["cols"])
         key = (row["block"], row["fold"])
         total[key] = total[key] + matrix if key in total else matrix.copy()

@@ -50,9 +50,9 @@ def _named(ds: Dataset) -> DataFrame:
 
 
 def _storable(ds: Dataset) -> DataFrame:
-    return ds.df.select(
-        *[quoted(c) for c in ds.roles()], *[quoted(c).cast("float").alias(c) for c in ds.columns]
-    )
+    """Features in single precision; every other column (roles, folds) as it is."""
+    features = set(ds.columns)
+    return ds.df.select(*[quoted(c).cast("float").alias(c) if c in features else quoted(c) for c in ds.df.columns])
 
 
 def write_generation(ds: Dataset, folder: str, generation: int) -> Dataset:
