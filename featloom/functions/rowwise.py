@@ -39,9 +39,12 @@ def row_mean(columns: Sequence[Column]) -> Column:
     return F.when(n > 0, _total([F.coalesce(c, F.lit(0.0)) for c in columns]) / n)
 
 
-def row_std(columns: Sequence[Column], sample: bool = False) -> Column:
-    """Standard deviation of the present values (population unless ``sample``)."""
-    n, mean = _present(columns), row_mean(columns)
+def row_std(columns: Sequence[Column], sample: bool = False, mean: Column | None = None) -> Column:
+    """Standard deviation of the present values (population unless ``sample``).
+
+    ``mean`` is the row mean when it already is a column; it occurs once per value here.
+    """
+    n, mean = _present(columns), row_mean(columns) if mean is None else mean
     squares = _total([F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in columns])
     divisor = n - 1 if sample else n
     return F.when(divisor > 0, F.sqrt(squares / divisor))

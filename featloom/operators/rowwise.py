@@ -30,18 +30,20 @@ def row_aggregate(ds: Dataset, name: str) -> Dataset:
 
 def time_aggregate(ds: Dataset, names: Sequence[str] = tuple(ROW_AGGREGATES), chained: bool = False) -> Dataset:
     """Append row aggregates. ``chained`` lets each see the ones before it as further inputs."""
-    result = ds
+    if chained:
+        for name in names:
+            ds = time_aggregate(ds, [name])
+        return ds
     base = ds.values()
-    columns = dict(base)
+    inputs = list(base.values())
+    # The mean becomes a column of its own below the projection that uses it many times.
+    table = ds.with_df(ds.df.withColumn("__mean", R.row_mean(inputs)))
+    added = {}
     for name in names:
         suffix, build = ROW_AGGREGATES[name]
-        inputs = result.values() if chained else base
-        label = "-".join(inputs) + suffix
-        if chained:
-            result = result.derived({**inputs, label: build(list(inputs.values()))})
-        else:
-            columns[label] = build(list(inputs.values()))
-    return result if chained else ds.derived(columns)
+        value = R.row_std(inputs, mean=F.col("__mean")) if name == "std" else build(inputs)
+        added["-".join(base) + suffix] = value
+    return table.derived({**base, **added})
 
 
 def column_differences(ds: Dataset) -> Dataset:
@@ -58,18 +60,21 @@ def rolling_columns(ds: Dataset, window: int = WINDOW) -> Dataset:
     """Append sample std, max, min and mean over each column and the ``window - 1`` before it."""
     base = ds.values()
     names = list(base)
+    full = range(window - 1, len(names))
+    inputs = {i: [base[n] for n in names[i + 1 - window:i + 1]] for i in full}
+    means = {f"__mean{i}": F.when(R.complete(inputs[i]), R.row_mean(inputs[i])) for i in full}
+    table = ds.with_df(ds.df.withColumns(means)) if means else ds
     added: dict[str, Column] = {}
-    builders = {
-        "std": lambda c: R.row_std(c, sample=True),
-        "max": R.row_max,
-        "min": R.row_min,
-        "mean": R.row_mean,
-    }
-    for aggregate, build in builders.items():
+    for aggregate in ("std", "max", "min", "mean"):
         for i, name in enumerate(names):
             value = F.lit(None).cast("double")
-            if i + 1 >= window:
-                inputs = [base[n] for n in names[i + 1 - window:i + 1]]
-                value = F.when(R.complete(inputs), build(inputs))
+            if i in inputs:
+                mean = F.col(f"__mean{i}")
+                value = {
+                    "std": lambda c, m: F.when(m.isNotNull(), R.row_std(c, sample=True, mean=m)),
+                    "max": lambda c, m: F.when(m.isNotNull(), R.row_max(c)),
+                    "min": lambda c, m: F.when(m.isNotNull(), R.row_min(c)),
+                    "mean": lambda c, m: m,
+                }[aggregate](inputs[i], mean)
             added[f"tempWinAgg_{aggregate}_{name}"] = value
-    return ds.derived({**base, **added})
+    return table.derived({**base, **added})
