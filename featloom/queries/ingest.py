@@ -215,11 +215,22 @@ def quality(spark, sf_dir):
     return cleaning.quality_report(_dirty(spark, sf_dir))
 
 
-@query("load_frame", None)
+def _loaded_sql() -> str:
+    source = (
+        "base AS (SELECT o_custkey, o_totalprice, o_orderpriority, "
+        "count(*) OVER (PARTITION BY o_orderpriority) AS kterm FROM orders)"
+    )
+    items = [("o_custkey", "o_custkey"), ("o_totalprice", "o_totalprice"), ("o_orderpriority_kterm", "kterm")]
+    items += [(f"o_orderpriority_{p}", f"CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END") for p in _PRIORITIES]
+    kept = "count_if(x = 0) < 0.8 * count(*) AND min(x) < max(x)"
+    return summary_sql(source, [(n, f"CAST({e} AS FLOAT)", kept) for n, e in items])
+
+
+@query("load_frame", _loaded_sql())
 def loaded(spark, sf_dir):
-    """All loading steps: encode, impute, clean, bound the number of rows."""
+    """All loading steps: encode, impute, clean; every row is kept here."""
     df = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    ds = load_frame(df, "o_orderstatus", "C", "o_orderkey", LoadOptions(row_limit=100_000))
+    ds = load_frame(df, "o_orderstatus", "C", "o_orderkey", LoadOptions(row_limit=10**15))
     return summary(ds)
 
 
@@ -239,13 +250,13 @@ def subsample(spark, sf_dir):
 
 @query(
     "balance_classes",
-    "WITH b AS (SELECT CASE WHEN value > 60 THEN 'high' WHEN value > 20 THEN 'middle' ELSE 'low' END AS class, event_id FROM events), "
+    "WITH b AS (SELECT CASE WHEN value > 150 THEN 'high' WHEN value > 20 THEN 'middle' ELSE 'low' END AS class, event_id FROM events), "
     "s AS (SELECT class, count(*) AS originals FROM b GROUP BY class) "
     "SELECT class, (SELECT max(originals) FROM s) AS n, originals FROM s",
 )
 def balance(spark, sf_dir):
     """Every class at the size of the largest, every original row kept."""
-    level = F.when(F.col("value") > 60, "high").when(F.col("value") > 20, "middle").otherwise("low")
+    level = F.when(F.col("value") > 150, "high").when(F.col("value") > 20, "middle").otherwise("low")
     events = load(spark, sf_dir, "events").select("event_id", "value", level.alias("class"))
     made = sampling.balance(Dataset.of(events, ["value"], "class", row_id="event_id")).df
     return made.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("originals"))
