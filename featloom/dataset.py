@@ -46,6 +46,7 @@ class Dataset:
     label: str | None = None
     task: str = CLASSIFICATION
     row_id: str | None = None
+    plain: bool = False
 
     @classmethod
     def of(
@@ -84,10 +85,29 @@ class Dataset:
 
     def value(self, name: str) -> Column:
         """The feature as a double, NaN read as NULL."""
-        return as_double(quoted(self.by_name[name]))
+        column = quoted(self.by_name[name])
+        return column if self.plain else as_double(column)
 
     def values(self) -> dict[str, Column]:
-        return {f.name: as_double(quoted(f.column)) for f in self.features}
+        return {f.name: self.value(f.name) for f in self.features}
+
+    def as_plain(self) -> Dataset:
+        """Features as doubles without NaN in a projection of their own.
+
+        Expressions that use a feature many times then repeat a column, not its conversion.
+        """
+        if self.plain:
+            return self
+        return replace(self, df=self.df.withColumns({f.column: as_double(quoted(f.column)) for f in self.features}), plain=True)
+
+    def spread(self) -> Dataset:
+        """Deal the rows to all cores when the table has fewer files than there are cores.
+
+        Meant for work that costs far more than a scan; a table of many files is left as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        files = len(self.df.inputFiles())
+        return replace(self, df=self.df.repartition(cores)) if 0 < files < cores else self
 
     def keep(self, names: Sequence[str]) -> Dataset:
         """Only these features, in the table's own order."""
@@ -98,7 +118,7 @@ class Dataset:
         return [c for c in (self.row_id, self.label) if c is not None]
 
     def with_df(self, df: DataFrame) -> Dataset:
-        return replace(self, df=df)
+        return replace(self, df=df, plain=False)
 
     def derived(self, columns: Mapping[str, Column], start: int = 0) -> Dataset:
         """New dataset of the given named columns plus the role columns."""
@@ -107,7 +127,7 @@ class Dataset:
             physical = name if _PLAIN.match(name) and name not in self.roles() else f"f_{start + i:06d}"
             features.append(Feature(name, physical))
             selected.append(column.alias(physical))
-        return replace(self, df=self.df.select(*selected), features=tuple(features))
+        return replace(self, df=self.df.select(*selected), features=tuple(features), plain=False)
 
 
 def as_double(column: Column) -> Column:

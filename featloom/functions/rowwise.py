@@ -19,11 +19,18 @@ def complete(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
 
 
-def row_percentile(columns: Sequence[Column], share: float) -> Column:
-    """Linearly interpolated percentile; missing as soon as one value is missing."""
+def ordered_row(columns: Sequence[Column]) -> Column:
+    return F.sort_array(F.array(*columns))
+
+
+def row_percentile(columns: Sequence[Column], share: float, ordered: Column | None = None) -> Column:
+    """Linearly interpolated percentile; missing as soon as one value is missing.
+
+    ``ordered`` is the sorted row when it already is a column.
+    """
     at = share * (len(columns) - 1)
     below, part = math.floor(at), at - math.floor(at)
-    ordered = F.array_sort(F.array(*columns))
+    ordered = ordered_row(columns) if ordered is None else ordered
     value = F.element_at(ordered, below + 1)
     if part:
         value = value + F.lit(part) * (F.element_at(ordered, below + 2) - value)

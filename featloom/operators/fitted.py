@@ -85,6 +85,7 @@ class Clustering:
     @classmethod
     def fit(cls, ds: Dataset, k: int = CLUSTERS, seed: int = 0, name: str = "clustering_whole", inputs: Sequence[str] | None = None) -> Clustering:
         inputs = tuple(ds.names if inputs is None else inputs)
+        ds = ds.spread()
         data = assembled(ds.df.select(*[quoted(ds.by_name[n]) for n in inputs]), [ds.by_name[n] for n in inputs])
         return cls(KMeans(k=k, seed=seed, featuresCol="__x").fit(data.select("__x")), inputs, name)
 
@@ -196,7 +197,7 @@ class NominalExpansion:
         return cls(PreClean.fit(ds))
 
     def transform(self, ds: Dataset) -> Dataset:
-        table = self.clean.transform(ds)
+        table = self.clean.transform(ds).as_plain()
         base = table.values()
         degree = 3 if len(base) <= MANY_COLUMNS else 2
         columns = {"1": F.lit(1.0)}

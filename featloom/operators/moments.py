@@ -25,7 +25,7 @@ from featloom.functions.summary import NEAR_ZERO, FeatureStats
 from featloom.operators.expr import Expr, Ref, refs, to_array, to_column
 
 # Above this number of features the per-batch form is used.
-NARROW_LIMIT = 16
+NARROW_LIMIT = 6
 _BLOCK = 64
 
 _PARTIAL_SCHEMA = (
@@ -64,6 +64,7 @@ def _with_target(ds: Dataset) -> bool:
 
 
 def _narrow(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
+    ds = ds.as_plain()
     values = ds.values()
     selected = [_class_column(ds, by_label).alias("cls")]
     if _with_target(ds):
@@ -121,12 +122,13 @@ def _wide(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
         [(i, e.name, float(shifts[i])) for i, e in enumerate(exprs)], "fid int, feature string, shift double"
     )
     has_values = n > 0
+    has_target = has_values & F.lit(_with_target(ds))
     return (
         merged.join(keyed, "fid")
         .withColumn("mean", F.when(has_values, F.col("shift") + F.col("s1") / n))
         .withColumn("m2", F.when(has_values, F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / n, F.lit(0.0))))
-        .withColumn("ym2", F.when(has_values, F.col("syy") - F.col("sy") * F.col("sy") / n))
-        .withColumn("cxy", F.when(has_values, F.col("sxy") - F.col("s1") * F.col("sy") / n))
+        .withColumn("ym2", F.when(has_target, F.col("syy") - F.col("sy") * F.col("sy") / n))
+        .withColumn("cxy", F.when(has_target, F.col("sxy") - F.col("s1") * F.col("sy") / n))
         .select("feature", "cls", *_MEASURES)
     )
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,15 +13,19 @@ from featloom.functions import rowwise as R
 
 WINDOW = 5
 
+# Shares of the percentile aggregates.
+PERCENTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
+
 # Aggregates of the row in chain order, with the suffix of their names.
-ROW_AGGREGATES: dict[str, tuple[str, Callable[[Sequence[Column]], Column]]] = {
-    "p25": ("_25%", lambda c: R.row_percentile(c, 0.25)),
-    "p50": ("_50%", lambda c: R.row_percentile(c, 0.50)),
-    "p75": ("_75%", lambda c: R.row_percentile(c, 0.75)),
-    "std": ("_std", R.row_std),
-    "max": ("_max", R.row_max),
-    "min": ("_min", R.row_min),
-}
+ROW_AGGREGATES = {"p25": "_25%", "p50": "_50%", "p75": "_75%", "std": "_std", "max": "_max", "min": "_min"}
+
+
+def _aggregate(name: str, inputs: Sequence[Column]) -> Column:
+    if name in PERCENTILES:
+        return R.row_percentile(inputs, PERCENTILES[name], F.col("__sorted"))
+    if name == "std":
+        return R.row_std(inputs, mean=F.col("__mean"))
+    return R.row_max(inputs) if name == "max" else R.row_min(inputs)
 
 
 def row_aggregate(ds: Dataset, name: str) -> Dataset:
@@ -34,20 +39,23 @@ def time_aggregate(ds: Dataset, names: Sequence[str] = tuple(ROW_AGGREGATES), ch
         for name in names:
             ds = time_aggregate(ds, [name])
         return ds
+    ds = ds.as_plain()
     base = ds.values()
     inputs = list(base.values())
-    # The mean becomes a column of its own below the projection that uses it many times.
-    table = ds.with_df(ds.df.withColumn("__mean", R.row_mean(inputs)))
-    added = {}
-    for name in names:
-        suffix, build = ROW_AGGREGATES[name]
-        value = R.row_std(inputs, mean=F.col("__mean")) if name == "std" else build(inputs)
-        added["-".join(base) + suffix] = value
+    # Sorted row and mean are columns of their own below the projection that repeats them.
+    shared = {}
+    if "std" in names:
+        shared["__mean"] = R.row_mean(inputs)
+    if any(n in PERCENTILES for n in names):
+        shared["__sorted"] = R.ordered_row(inputs)
+    table = replace(ds, df=ds.df.withColumns(shared)) if shared else ds
+    added = {"-".join(base) + ROW_AGGREGATES[n]: _aggregate(n, inputs) for n in names}
     return table.derived({**base, **added})
 
 
 def column_differences(ds: Dataset) -> Dataset:
     """Append ``diff_<c>``: each column minus the one before it; the first is missing."""
+    ds = ds.as_plain()
     base = ds.values()
     names = list(base)
     added = {f"diff_{names[0]}": F.lit(None).cast("double")}
@@ -58,12 +66,13 @@ def column_differences(ds: Dataset) -> Dataset:
 
 def rolling_columns(ds: Dataset, window: int = WINDOW) -> Dataset:
     """Append sample std, max, min and mean over each column and the ``window - 1`` before it."""
+    ds = ds.as_plain()
     base = ds.values()
     names = list(base)
     full = range(window - 1, len(names))
     inputs = {i: [base[n] for n in names[i + 1 - window:i + 1]] for i in full}
     means = {f"__mean{i}": F.when(R.complete(inputs[i]), R.row_mean(inputs[i])) for i in full}
-    table = ds.with_df(ds.df.withColumns(means)) if means else ds
+    table = replace(ds, df=ds.df.withColumns(means)) if means else ds
     added: dict[str, Column] = {}
     for aggregate in ("std", "max", "min", "mean"):
         for i, name in enumerate(names):

@@ -96,7 +96,7 @@ class StackResidual:
     seed: int = 0
 
     def fit(self, ds: Dataset) -> FittedStack:
-        ds = complete_rows_forward(ds)
+        ds = complete_rows_forward(ds).spread()
         classes = len(class_values(ds.df, ds.label)) if self.task == CLASSIFICATION else 0
         map1 = FourierMap.fit(ds, seed=self.seed, mixed=self.mixed) if self.kernel else None
         first = _fit_model(self.estimator(classes), _inputs(ds, map1), as_double(quoted(ds.label)))
@@ -273,6 +273,7 @@ def _passes(ds: Dataset, path) -> Column:
 
 
 def _node_shares(ds: Dataset, paths, shares) -> Dataset:
+    ds = ds.as_plain()
     suffix = _suffix(ds.task)
     added = {
         f"dt_n_{suffix}_{i}": F.when(_passes(ds, p), F.lit(s)).otherwise(F.lit(0.0))
@@ -308,6 +309,7 @@ class LeakyInfo:
         return cls(models)
 
     def transform(self, ds: Dataset) -> Dataset:
+        ds = ds.as_plain()
         base = ds.values()
         added = {}
         for name, (start, slopes) in self.models.items():

@@ -26,6 +26,9 @@ from featloom.session import materialise, work_dir
 from featloom.sources.tables import write_final, write_generation, write_total
 
 
+ROWS_PER_CORE = 100_000
+
+
 @dataclass(frozen=True)
 class Config:
     """Limits count the label as a column where the selection rules do."""
@@ -74,7 +77,12 @@ class RunResult:
 def prepared(ds: Dataset, folds: int = FOLDS) -> Dataset:
     """The dataset with its fold column, stored once for every later pass."""
     ds = with_folds(ds, folds)
-    return ds.with_df(materialise(ds.df.select(*_roles(ds), *[quoted(c) for c in ds.columns]), "base"))
+    table = ds.df.select(*_roles(ds), *[quoted(c) for c in ds.columns])
+    # Generations compute far more than they read: a small table is cut for all cores.
+    cores = ds.spark.sparkContext.defaultParallelism
+    if ds.df.count() < ROWS_PER_CORE * cores:
+        table = table.repartition(cores)
+    return ds.with_df(materialise(table, "base"))
 
 
 def _roles(ds: Dataset) -> list:

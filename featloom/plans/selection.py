@@ -62,7 +62,7 @@ def forest_importances(ds: Dataset, trees: int | None = None, depth: int = 10, s
         model = RandomForestClassifier(numTrees=trees or 80, maxDepth=depth, seed=seed, featuresCol="x", labelCol="y")
     else:
         model = RandomForestRegressor(numTrees=trees or 100, maxDepth=depth, seed=seed, featuresCol="x", labelCol="y")
-    fitted = model.fit(vectors(ds, base_exprs(ds)))
+    fitted = model.fit(vectors(ds.spread(), base_exprs(ds)))
     return dict(zip(ds.names, (float(v) for v in fitted.featureImportances.toArray())))
 
 

@@ -7,7 +7,6 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from featloom.dataset import Dataset
 from featloom.functions.scalar import BINARY, OPERATOR_NAMES
 from featloom.operators.moments import base_exprs, moments_frame, stats_of
 from featloom.operators.generate import fit_operator
@@ -16,8 +15,8 @@ from featloom.operators.univariate import anova_scores
 from featloom.plans import evolve as E
 from featloom.plans import tournament as G
 from featloom.plans.fitness import ForestScorer, LinearScorer
-from featloom.plans.selection import important_features, missing_initial, union_names
-from featloom.queries.base import LINE_FEATURES, LINE_SQL, labelled_line_items, load, query, single, single_sql, text
+from featloom.plans.selection import important_features, missing_initial, ranked_features, union_names
+from featloom.queries.base import LINE_FEATURES, LINE_SQL, labelled_line_items, query, single, single_sql, text
 from featloom.queries.generation import UNARY_SQL
 from featloom.queries.models import _folded, _orders, _part_brands
 
@@ -176,13 +175,23 @@ def coefficients(spark, sf_dir):
     return spark.createDataFrame(rows, "share double, size double, features int, fitness double, increase double")
 
 
-@query(
-    "initial_features",
-    "SELECT * FROM (VALUES ('l_discount'), ('l_tax')) t(feature)",
-)
+def _initial_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT {text(c)} AS feature, y, CAST({c} AS DOUBLE) AS x FROM base" for c in LINE_FEATURES)
+    return (
+        f"WITH {LINE_SQL}, long AS ({cells}), "
+        "g AS (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM long GROUP BY 1, 2), "
+        "t AS (SELECT feature, sum(n) AS nn, sum(n * m) / sum(n) AS gm, count(*) AS k, sum(ss) AS w FROM g GROUP BY 1), "
+        "f AS (SELECT g.feature, (sum(n * (m - gm) * (m - gm)) / (max(k) - 1)) / (max(w) / (max(nn) - max(k))) AS score "
+        "FROM g JOIN t ON g.feature = t.feature GROUP BY 1) "
+        "SELECT feature FROM (SELECT feature, row_number() OVER (ORDER BY score DESC) AS r FROM f) ranked WHERE r > 3"
+    )
+
+
+@query("initial_features", _initial_sql())
 def initial(spark, sf_dir):
-    """Base columns of the table that neither generation holds any more, after a column union."""
-    base = [c for c in load(spark, sf_dir, "lineitem").columns if c in LINE_FEATURES]
-    current = union_names(["l_quantity_sin"], ["l_quantity_cos", "l_quantity_sin"])
-    missing = missing_initial(base, current, ["l_quantity", "l_extendedprice"])
+    """Base columns that fell out of both generations when these were cut to their best columns."""
+    ds = labelled_line_items(spark, sf_dir)
+    ranked = ranked_features(ds)
+    current, previous = union_names(ranked[:2], ranked[:1]), ranked[2:3]
+    missing = missing_initial(ds.names, current, previous)
     return spark.createDataFrame([(n,) for n in missing], "feature string")

@@ -246,6 +246,7 @@ def ranked_children(spark, sf_dir, size: int = 10):
     """The derived columns that best separate ``l_returnflag``: one pass scores all candidates."""
     ds = labelled_line_items(spark, sf_dir)
     stats = stats_of(ds)
+    ds = ds.spread()
     exprs = base_exprs(ds)
     made = [e for op in OPERATOR_NAMES if op != RBF for e in fit_operator(op, exprs, stats)]
     frame = moments_frame(ds, made, by_label=True).persist()
