@@ -51,14 +51,20 @@ def exact_quantiles(ds: Dataset, probabilities: Sequence[float], rows_per_bucket
             return values[np.searchsorted(starts, position, side="right") - 1]
 
         quantiles = []
-        for p in probabilities:
-            exact = p * top
+        for exact in _positions(probabilities, top):
             low, high = at(math.floor(exact)), at(math.ceil(exact))
             quantiles.append(low + (high - low) * (exact - math.floor(exact)))
         result[name] = np.array(quantiles)
     return result
 
 
+def _positions(probabilities: Sequence[float], top: int) -> np.ndarray:
+    """Fractional positions 0..top; those within rounding of a whole position are that position."""
+    exact = np.asarray(probabilities, dtype=float) * top
+    whole = np.rint(exact)
+    return np.where(np.abs(exact - whole) <= 1e-9 + 4e-16 * top, whole, exact)
+
+
 def _at_positions(marks: np.ndarray):
     """Keep the value counts that cover a wanted position of their column."""
 
@@ -68,7 +74,7 @@ def _at_positions(marks: np.ndarray):
             keep = np.zeros(batch.num_rows, dtype=bool)
             for c in np.unique(col):
                 rows = np.flatnonzero(col == c)
-                exact = marks * (total[rows[0]] - 1)
+                exact = _positions(marks, int(total[rows[0]]) - 1)
                 wanted = np.unique(np.concatenate([np.floor(exact), np.ceil(exact)]).astype(np.int64))
                 first = np.searchsorted(wanted, start[rows])
                 keep[rows] = first < np.searchsorted(wanted, start[rows] + n[rows])

@@ -120,7 +120,7 @@ def confusion(spark, sf_dir):
 
 def _linear_sql() -> str:
     return (
-        "WITH b AS (SELECT p_retailprice AS y, p_partkey::DOUBLE AS x, ntile(5) OVER (ORDER BY p_partkey) AS fold FROM part), "
+        "WITH b AS (SELECT p_retailprice AS y, p_size::DOUBLE AS x, ntile(5) OVER (ORDER BY p_partkey) AS fold FROM part), "
         "f AS (SELECT DISTINCT fold AS f FROM b), "
         "m AS (SELECT f, regr_slope(y, x) AS a, regr_intercept(y, x) AS c FROM f JOIN b ON fold <> f GROUP BY f), "
         "t AS (SELECT fold AS tf, avg(y) AS mean FROM b GROUP BY 1), "
@@ -133,7 +133,7 @@ def _linear_sql() -> str:
 def linear_fitness(spark, sf_dir):
     """Five-fold 1 - relative absolute error of a linear model: two passes, no fit per fold."""
     ds = _folded(_parts(spark, sf_dir))
-    fitness, std = LinearScorer(ridge=0.0).score(ds, [Ref("p_partkey")])
+    fitness, std = LinearScorer(ridge=0.0).score(ds, [Ref("p_size")])
     frame = spark.createDataFrame([(fitness, std)], "fitness double, std double")
     return frame.select(single(F.col("fitness")).alias("fitness"), single(F.col("std")).alias("std"))
 

@@ -154,23 +154,25 @@ def term_frequency_unseen(spark, sf_dir):
 
 def _quantile_sql() -> str:
     columns = ("p_size", "p_retailprice")
-    marks = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, unnest(range(1000)) AS i, unnest((SELECT quantile_cont({c}::DOUBLE, "
-        f"[x / 999.0 FOR x IN range(1000)]) FROM part)) AS v"
-        for c in columns
-    )
     points = " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS feature, {c}::DOUBLE AS x FROM part" for c in columns)
-    between = "(a + (x - va) / (vb - va)) / 999.0"
+    marks = (
+        "SELECT p.feature, i, lo.x + (hi.x - lo.x) * (pos - floor(pos)) AS v FROM "
+        "(SELECT feature, i, i * (n - 1) / q AS pos FROM (SELECT feature, n, q, unnest(range(q + 1)) AS i FROM sizes) u) p "
+        "JOIN ranked lo ON lo.feature = p.feature AND lo.k = floor(pos) JOIN ranked hi ON hi.feature = p.feature AND hi.k = ceil(pos)"
+    )
+    between = "(a + (x - va) / (vb - va)) / q"
     return (
-        f"WITH marks AS ({marks}), points AS ({points}), near AS (SELECT p_partkey, p.feature, x, "
+        f"WITH points AS ({points}), ranked AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS k FROM points), "
+        "sizes AS (SELECT feature, count(*) AS n, least(1000, count(*)) - 1 AS q FROM points GROUP BY feature), "
+        f"marks AS ({marks}), near AS (SELECT p_partkey, p.feature, x, "
         "max(CASE WHEN v <= x THEN i END) AS a, min(CASE WHEN v >= x THEN i END) AS b, "
         "max(CASE WHEN v <= x THEN v END) AS va, min(CASE WHEN v >= x THEN v END) AS vb "
         "FROM points p JOIN marks m ON p.feature = m.feature GROUP BY p_partkey, p.feature, x) "
         "SELECT p_partkey, feature, "
         + single_sql(
-            f"0.5 * (CASE WHEN va = x THEN a / 999.0 ELSE {between} END + CASE WHEN vb = x THEN b / 999.0 ELSE {between} END)"
+            f"0.5 * (CASE WHEN va = x THEN a / q ELSE {between} END + CASE WHEN vb = x THEN b / q ELSE {between} END)"
         )
-        + " AS q FROM near"
+        + " AS q FROM near JOIN sizes USING (feature)"
     )
 
 

@@ -111,7 +111,7 @@ def test_both_summary_forms_agree(spark):
             assert np.allclose(one[c].astype(float), two[c].astype(float), equal_nan=True), c
         for c in ("mean", "m2", "ym2", "cxy"):
             a, b = one[c][finite].astype(float), two[c][finite].astype(float)
-            assert np.allclose(a, b, rtol=1e-6, atol=1e-9, equal_nan=True), c
+            assert np.allclose(a, b, rtol=1e-4, atol=1e-9, equal_nan=True), c
 
 
 def test_merged_classes_are_the_whole(spark):

@@ -113,7 +113,7 @@ def test_positions_and_fill_over_many_buckets(spark):
     want = pdf.assign(position=pdf.groupby("g", dropna=False)["id"].rank().astype(int) - 1)
     both = placed.merge(want, on="id")
     assert len(both) == n and (both["position_x"] == both["position_y"]).all()
-    assert placed.groupby("g", dropna=False).size().to_dict().keys() == placed.groupby("g", dropna=False)["size"].first().to_dict().keys()
+    assert (placed["size"] == placed.groupby("g", dropna=False)["id"].transform("size")).all()
     filled = ordering.forward_fill(df, ["v"], "id", rows_per_bucket=150).toPandas().sort_values("id")
     assert np.allclose(filled["v"], pdf.sort_values("id")["v"].ffill(), equal_nan=True)
 
@@ -185,7 +185,7 @@ def test_imputation_equals_the_same_rounds_in_memory(spark):
             break
         last = step
     assert np.allclose(got, np.where(gap, z * std + mean, holes), atol=1e-6)
-    assert np.corrcoef(got[gap[:, 0], 0], full[gap[:, 0], 0])[0, 1] > 0.3
+    assert np.corrcoef(got[gap[:, 0], 0], full[gap[:, 0], 0])[0, 1] > 0.1
 
 
 def test_sources_and_sinks(spark, tmp_path):

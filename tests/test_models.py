@@ -74,7 +74,7 @@ def test_linear_scores_in_many_passes(frames, monkeypatch):
     groups = [[Ref("a")], [Ref("b")], [Ref("a"), Unary("sin", Ref("b"))]]
     once = fitness.LinearScorer().score_many(ds, groups)
     monkeypatch.setattr(fitness, "_EXPRS_PER_PASS", 1)
-    assert fitness.LinearScorer().score_many(ds, groups) == pytest.approx(once)
+    assert np.allclose(fitness.LinearScorer().score_many(ds, groups), once)
 
 
 def test_missing_values_are_refused(spark):
@@ -93,7 +93,8 @@ def test_forest_scores(frames):
 
 
 def test_holdout_scores(frames):
-    assert all(fitness.HoldoutScorer(repeats=2, trees=5, depth=5).score(ds)[0] > 0.3 for ds in frames)
+    regression, classes = (fitness.HoldoutScorer(repeats=2, trees=5, depth=5).score(ds)[0] for ds in frames)
+    assert classes > 0.6 and 0 < regression < 1
 
 
 def test_importances(frames):
@@ -161,8 +162,11 @@ def test_regression_stacks(frames, spec):
 @pytest.mark.parametrize("spec", [M.support_vector_classification(), M.dot_product_process("C"), M.rbf_process("C"),
                                   M.random_forest("C", trees=5), M.gradient_boosting("C", rounds=2)], ids=lambda s: s.name)
 def test_classification_stacks(frames, spec):
-    made = spec.fit(frames[1]).transform(frames[1])
-    out = predictions(made, made.names[3:]).merge(frames[1].df.toPandas(), on="id")
+    ds = frames[1]
+    if spec.name == "svc":
+        ds = ds.with_df(ds.df.withColumn("k", (F.col("k") > 0).cast("double")))
+    made = spec.fit(ds).transform(ds)
+    out = predictions(made, made.names[3:]).merge(ds.df.toPandas()[["id", "k"]], on="id")
     assert (out[f"{spec.name}_pred"] == out["k"]).mean() > 0.7
 
 
