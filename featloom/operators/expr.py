@@ -154,7 +154,7 @@ def read_name(name: str, bases: Iterable[str]) -> Expr:
     def tails(head: Expr, at: int) -> Iterator[tuple[Expr, int]]:
         for suffix, op in suffixes.items():
             if name.startswith("_" + suffix, at):
-                longer = Ref(f"{head.name}_{suffix}") if op == RBF else Unary(op, head)
+                longer = RandomCosine(head.name, (head,), (), 0.0, 0.0) if op == RBF else Unary(op, head)
                 yield from tails(longer, at + 1 + len(suffix))
         yield head, at
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featloom.dataset import CLASSIFICATION, Dataset, Feature, as_double, quoted
@@ -118,8 +118,12 @@ class NearestNeighbours:
         k = self.k
 
         xs = [f"x{i}" for i in range(width)]
+        # Of equal rows only the k with the smallest ids can be among the nearest; the limit is
+        # applied before the shuffle, so copies of one row cost no more than k rows per task.
+        copy = F.row_number().over(Window.partitionBy(*xs).orderBy("tid"))
+        single = train.withColumn("copy", copy).filter(F.col("copy") <= k).drop("copy")
         schema = ", ".join(["tid bigint", "y double", *[f"{x} double" for x in xs], "cell int", "away double"])
-        placed = train.mapInArrow(_place(shared, width), schema)
+        placed = single.mapInArrow(_place(shared, width), schema)
         cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
             F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
         radius = np.full(len(pivots), -1.0)
@@ -138,10 +142,14 @@ class NearestNeighbours:
         right = _blocked(placed.drop("away"), "tid", t_blocks, q_blocks, "tb", "qb")
         key = ["cell", "qb", "tb"]
         pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-            _block_neighbours(xs, k), "qid bigint, distance double, tid bigint, y double"
+            _block_neighbours(xs, k), "qid bigint, cell int, distance double, tid bigint, y double"
         )
+        # At most k rows per block, then per cell, then per query.
         best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "tid", "y"))), 1, k)
-        merged = pairs.groupBy("qid").agg(best.alias("near"))
+        per_cell = pairs.groupBy("qid", "cell").agg(best.alias("near"))
+        merged = per_cell.groupBy("qid").agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
+        )
         targets = F.transform("near", lambda s: s["y"])
         if self.classes:
             values = [_share_of(targets, i) for i in range(len(self.classes))]
@@ -222,13 +230,14 @@ def _blocked(df: DataFrame, row: str, own: dict, other: dict, own_name: str, oth
 def _block_neighbours(xs, k):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "distance": [], "tid": [], "y": []})
+            return pd.DataFrame({"qid": [], "cell": [], "distance": [], "tid": [], "y": []})
         ids = right["tid"].to_numpy()
         found, distance = nearest(left[xs].to_numpy(float), right[xs].to_numpy(float), ids, k)
         flat = found.ravel()
         return pd.DataFrame(
             {
                 "qid": np.repeat(left["qid"].to_numpy(), found.shape[1]),
+                "cell": left["cell"].iloc[0],
                 "distance": distance.ravel(),
                 "tid": ids[flat],
                 "y": right["y"].to_numpy(float)[flat],

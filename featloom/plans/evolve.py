@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -19,6 +20,7 @@ from featloom.plans.selection import (
     missing_initial,
     preselect_wide,
     ranked_features,
+    shrink,
     shrink_steps,
 )
 from featloom.plans.tournament import NextGeneration, initial_weights, next_generation
@@ -31,7 +33,11 @@ ROWS_PER_CORE = 100_000
 
 @dataclass(frozen=True)
 class Config:
-    """Limits count the label as a column where the selection rules do."""
+    """Limits count the label as a column where the selection rules do.
+
+    ``first_version`` runs the earlier competition and enforces the limits by repeated importance
+    selection instead of the univariate score.
+    """
 
     generations: int = 4
     inflation: int = 10
@@ -44,6 +50,7 @@ class Config:
     share_steps: tuple[float, ...] = tuple(i / 10 for i in range(1, 10))
     size_steps: tuple[float, ...] = tuple(i / 10 for i in range(9, 0, -1))
     initial_every: int = 1
+    first_version: bool = False
     wide_above: int = 10_000
     wide_keep: int = 50
     folder: str | None = None
@@ -106,25 +113,32 @@ def evolve(ds: Dataset, config: Config = Config()) -> Evolution:
     """
     base = ds
     start = preselect_wide(base, config.wide_above, config.wide_keep)
-    folder = config.folder or f"{work_dir(ds.spark)}/featloom/run-{id(config):x}"
+    folder = config.folder or f"{work_dir(ds.spark)}/featloom/run-{uuid.uuid4().hex}"
     weights = initial_weights(config.generations, config.operators)
     table, current, previous = start, start.names, []
     size, history = len(current), []
     for generation in range(1, config.generations + 1):
         found: NextGeneration = next_generation(
-            table, config.scorer, weights, previous, seed=config.seed + generation
+            table, config.scorer, weights, previous, config.seed + generation, config.first_version
         )
         weights = found.weights
         history += [(generation, op, fitness, std) for op, fitness, std in found.ranking]
         made = list(found.exprs)
         limit = min(config.inflation * size, config.current_limit)
         if len(made) + 1 > limit:
-            best = set(ranked_features(table, made)[:limit])
+            if config.first_version:
+                best = set(shrink(_with(table, made), limit - 1, config.selector).names)
+            else:
+                best = set(ranked_features(table, made)[:limit])
             made = [e for e in made if e.name in best]
         size = max(len(made), 1)
         past = list(dict.fromkeys([*previous, *current]))
         if len(past) + 1 > config.history_limit:
-            past = best_features(table.keep(past), config.history_limit).names
+            kept = table.keep(past)
+            if config.first_version:
+                past = shrink(kept, config.history_limit - 1, config.selector).names
+            else:
+                past = best_features(kept, config.history_limit).names
         names = [e.name for e in made]
         initial = []
         if (generation - 1) % config.initial_every == 0:

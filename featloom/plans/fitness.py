@@ -83,10 +83,9 @@ class LinearScorer:
         return scores
 
     def _class_count(self, ds: Dataset) -> int:
-        key = id(ds.df)
-        if key not in self._classes:
-            self._classes = {key: class_count(ds)}
-        return self._classes[key]
+        if self._classes.get("table") is not ds.df:
+            self._classes = {"table": ds.df, "count": class_count(ds)}
+        return self._classes["count"]
 
     def _score_pass(self, ds, groups, stats, classes) -> list[Score]:
         unique = list({e.name: e for g in groups for e in g}.values())
@@ -276,6 +275,13 @@ def score_compare(base: Dataset, candidate: Dataset, scorer) -> DataFrame:
     )
 
 
+def baseline_scores(datasets: Mapping[str, Dataset], scorer) -> DataFrame:
+    """Columns dataset, features, fitness, std: every dataset scored as loaded."""
+    rows = [(name, len(ds.names), *scorer.score(ds)) for name, ds in datasets.items()]
+    spark = next(iter(datasets.values())).spark
+    return spark.createDataFrame(rows, "dataset string, features int, fitness double, std double")
+
+
 def permutation_importance(ds: Dataset, forest: ForestScorer | None = None, repeats: int = 5, seed: int = 0) -> DataFrame:
     """Columns feature, importance: mean loss of the metric when one feature's values are permuted.
 

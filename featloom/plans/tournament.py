@@ -190,23 +190,27 @@ def next_generation(
     weights: Mapping[str, float],
     previous: Sequence[str] = (),
     seed: int = 0,
-    share: float = OPERATOR_SHARE,
-    groups: int | None = None,
+    first_version: bool = False,
 ) -> NextGeneration:
     """Candidates, competition inside tribes, ranking, trade between tribes, union of the survivors.
 
-    ``share=1`` applies every operator and ``groups=2`` splits every tribe in two, as the first
-    version of the competition did.
+    The first version of the competition applied every operator, split every tribe in two, let the
+    worse half challenge the better one and kept all tribes; weights stayed as they were.
     """
-    operators = sample_operators(weights, share, seed)
+    operators = sample_operators(weights, 1.0 if first_version else OPERATOR_SHARE, seed)
     tribes, stats = new_candidates(ds, previous, operators, seed)
     if not tribes:
         return NextGeneration((), dict(weights), ())
     exprs = {e.name: e for children in tribes.values() for e in children}
     arena = Arena(ds, scorer, exprs, stats, seed * 1_000_003)
     names = {op: [e.name for e in children] for op, children in tribes.items()}
-    sizes = {op: groups or max(1, round(math.sqrt(len(n) + 1))) for op, n in names.items()}
+    sizes = {op: 2 if first_version else max(1, round(math.sqrt(len(n) + 1))) for op, n in names.items()}
     ranked = inner_competition(arena, names, sizes)
+    if first_version:
+        best = plunge_eliminate(arena, ranked)
+        kept = list(dict.fromkeys(n for g in best.values() for n in g.names))
+        found = tuple((op, g.fitness, g.std) for op, g in best.items())
+        return NextGeneration(tuple(exprs[n] for n in kept), dict(weights), found)
     best = plunge_inside(arena, ranked)
     ranking = rank_tribes(arena, {op: g.names for op, g in best.items()})
     survivors = plunge_between(arena, ranking)

@@ -135,7 +135,7 @@ def generation(spark, sf_dir):
 def first_version(spark, sf_dir):
     """All operators, two groups per tribe."""
     ds = _folded(_part_brands(spark, sf_dir))
-    found = G.next_generation(ds, LinearScorer(), G.initial_weights(1), seed=1, share=1.0, groups=2)
+    found = G.next_generation(ds, LinearScorer(), G.initial_weights(1), seed=1, first_version=True)
     return G.score_frame(spark, found.ranking)
 
 

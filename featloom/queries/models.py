@@ -20,6 +20,7 @@ from featloom.plans.fitness import (
     ForestScorer,
     HoldoutScorer,
     LinearScorer,
+    baseline_scores,
     permutation_importance,
     score_compare,
 )
@@ -197,6 +198,13 @@ def subset_fitness(spark, sf_dir):
     return spark.createDataFrame([LinearScorer().score(ds.keep(["p_size"]))], "fitness double, std double")
 
 
+@query("baseline_scores")
+def baselines(spark, sf_dir):
+    """Both tasks scored as loaded."""
+    datasets = {"brands": _folded(_part_brands(spark, sf_dir)), "prices": _folded(_parts(spark, sf_dir))}
+    return baseline_scores(datasets, LinearScorer())
+
+
 @query("score_compare")
 def compare(spark, sf_dir):
     """Fitness of the base features, of the derived ones, and the relative increase."""

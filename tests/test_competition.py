@@ -126,6 +126,13 @@ def test_run_end_to_end(table, tmp_path):
     assert again.total.names == total.names and again.weights == result.evolution.weights
 
 
+def test_first_version(table):
+    config = small_config(generations=2, first_version=True, history_limit=3, operators=("square", "add", "product", "sin"))
+    evolution = E.evolve(E.prepared(table), config)
+    assert set(evolution.weights.values()) == {2.0} and {"a", "b", "c"} <= set(evolution.total.names)
+    assert all("y" not in n for n in evolution.total.names) and evolution.total.df.count() == 300
+
+
 def test_stored_values_equal_the_names(table, tmp_path):
     """Every stored column holds what its name says."""
     evolution = E.evolve(E.prepared(table), small_config(tmp_path, generations=1))

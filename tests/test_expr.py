@@ -78,3 +78,8 @@ def test_both_forms_agree(spark):
             want = to_array(e, {"x": x, "y": y})
         assert np.allclose(rows[f"c{i}"].astype(float), want, equal_nan=True), e.name
     assert unary_op("sqrt").suffix == "sqrt"
+
+
+def test_random_feature_names_count_as_an_operator():
+    tree = read_name("(a_rbfFeature+b)_sin", ["a", "b"])
+    assert tree.name == "(a_rbfFeature+b)_sin" and operator_count(tree) == 3 and refs(tree) == {"a", "b"}
