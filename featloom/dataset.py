@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 CLASSIFICATION = "C"
 REGRESSION = "R"
+SPREAD_ROWS = 50_000
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
@@ -103,11 +104,13 @@ class Dataset:
     def spread(self) -> Dataset:
         """Deal the rows to all cores when the table has fewer files than there are cores.
 
-        Meant for work that costs far more than a scan; a table of many files is left as it is.
+        Meant for work that costs far more than a scan. A table of many files is left as it is,
+        and so is one with too few rows to be worth a task per core.
         """
         cores = self.spark.sparkContext.defaultParallelism
-        files = len(self.df.inputFiles())
-        return replace(self, df=self.df.repartition(cores)) if 0 < files < cores else self
+        if not 0 < len(self.df.inputFiles()) < cores or self.df.count() < SPREAD_ROWS:
+            return self
+        return replace(self, df=self.df.repartition(cores))
 
     def keep(self, names: Sequence[str]) -> Dataset:
         """Only these features, in the table's own order."""
