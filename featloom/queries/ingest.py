@@ -22,7 +22,7 @@ def label_codes(spark, sf_dir):
 
 
 _SPARSE = {
-    "half": "CASE WHEN p_partkey % 2 = 0 THEN p_size END",
+    "half": "CASE WHEN p_retailprice < 950 THEN p_size END",
     "some": "CASE WHEN p_size > 10 THEN p_size END",
     "none": "CASE WHEN p_size > 1000 THEN p_size END",
     "brand": "nullif(p_brand, 'Brand#2')",
