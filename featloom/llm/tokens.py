@@ -16,7 +16,7 @@ CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 # Blanks other than single spaces and single line ends.
 ODD = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x85\xa0     　", *map(chr, range(0x2000, 0x200B)))
 MARKS = ".,;:!?|*%&$#"
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 800_000
 ID = np.dtype("<u4")
 
 
