@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from featloom.llm import exact, packing, quality, token_frames  # noqa: F401
+from featloom.llm import bpe, exact, packing, quality, redirects, token_frames  # noqa: F401
 from featloom.llm.base import ORACLES, QUERIES  # noqa: F401

@@ -26,20 +26,72 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Whole texts to ids as little-endian unsigned 32-bit integers.
+class ChunkEncoder:
+    """Whole texts to ids as little-endian unsigned 32-bit integers, by way of their chunks.
 
-    ``kept`` bounds the chunks whose ids are remembered; beyond it the memory starts anew.
+    ``kept`` bounds the chunks whose ids are remembered; beyond it the memory starts anew. ``learn`` adds
+    the ids of unseen chunks to ``known``.
     """
 
+    def __init__(self, kept: int = KEPT_CHUNKS):
+        self.kept = kept
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, chunks: Sequence[str]) -> None:
+        raise NotImplementedError
+
+    def chunk_ids(self, chunks: Sequence[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if len(self.known) + len(chunks) > self.kept:
+            self.known.clear()
+        found = list(map(self.known.get, chunks))
+        unseen = [chunk for chunk, ids in zip(chunks, found) if ids is None]
+        self.learn(unseen)
+        return list(map(self.known.__getitem__, chunks)) if unseen else found
+
+    def encode(self, texts: Sequence[str], end: bytes = b"") -> list[bytes]:
+        """Ids of each text, ``end`` appended to each."""
+        plain = [i for i, text in enumerate(texts) if is_plain(text)]
+        found: list[bytes] = [b""] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            own = CHUNK.findall(texts[i])
+            distinct = list(dict.fromkeys(own))
+            ids = dict(zip(distinct, self.chunk_ids(distinct)))
+            found[i] = b"".join(map(ids.__getitem__, own)) + end
+        if plain:
+            for i, ids in zip(plain, self.encode_plain([texts[i] for i in plain])):
+                found[i] = ids + end
+        return found
+
+    def encode_plain(self, texts: Sequence[str]) -> list[bytes]:
+        """Texts whose blanks are all single are cut, and their chunks told apart, by Arrow."""
+        marked = [FIRST + text.replace("\n", " \n") for text in texts]
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        ids = self.chunk_ids([as_chunk(piece) for piece in coded.dictionary.to_pylist()])
+        flat = np.frombuffer(b"".join(ids), ID)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        code = coded.indices.to_numpy()
+        each = lengths[code]
+        stops = np.cumsum(each)
+        where = np.repeat(starts[code] - (stops - each), each)
+        where += np.arange(len(where))
+        raw = flat[where].tobytes()
+        bounds = np.concatenate([[0], stops])[cut.offsets.to_numpy()] * 4
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+class Encoder(ChunkEncoder):
+    """Ids by the tokenizers library."""
+
     def __init__(self, vocabulary: str, kept: int = KEPT_CHUNKS):
         from tokenizers import Tokenizer
 
+        super().__init__(kept)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         # The name of a special token inside a text is ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.kept = kept
-        self.known: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         # Bytes that an id stands for: byte-level vocabularies write each byte as one character.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -83,47 +135,6 @@ class Encoder:
                 known[marks] = self.ids(marks)
             known[chunk] = known[word] + known[marks]
 
-    def chunk_ids(self, chunks: Sequence[str]) -> list[bytes]:
-        """Ids of distinct chunks."""
-        if len(self.known) + len(chunks) > self.kept:
-            self.known.clear()
-        found = list(map(self.known.get, chunks))
-        unseen = [chunk for chunk, ids in zip(chunks, found) if ids is None]
-        self.learn(unseen)
-        return list(map(self.known.__getitem__, chunks)) if unseen else found
-
-    def encode(self, texts: Sequence[str], end: bytes = b"") -> list[bytes]:
-        """Ids of each text, ``end`` appended to each."""
-        plain = [i for i, text in enumerate(texts) if is_plain(text)]
-        found: list[bytes] = [b""] * len(texts)
-        for i in set(range(len(texts))).difference(plain):
-            own = CHUNK.findall(texts[i])
-            distinct = list(dict.fromkeys(own))
-            ids = dict(zip(distinct, self.chunk_ids(distinct)))
-            found[i] = b"".join(map(ids.__getitem__, own)) + end
-        if plain:
-            for i, ids in zip(plain, self.encode_plain([texts[i] for i in plain])):
-                found[i] = ids + end
-        return found
-
-    def encode_plain(self, texts: Sequence[str]) -> list[bytes]:
-        """Texts whose blanks are all single are cut, and their chunks told apart, by Arrow."""
-        marked = [FIRST + text.replace("\n", " \n") for text in texts]
-        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
-        coded = cut.values.dictionary_encode()
-        ids = self.chunk_ids([as_chunk(piece) for piece in coded.dictionary.to_pylist()])
-        flat = np.frombuffer(b"".join(ids), ID)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(lengths) - lengths
-        code = coded.indices.to_numpy()
-        each = lengths[code]
-        stops = np.cumsum(each)
-        where = np.repeat(starts[code] - (stops - each), each)
-        where += np.arange(len(where))
-        raw = flat[where].tobytes()
-        bounds = np.concatenate([[0], stops])[cut.offsets.to_numpy()] * 4
-        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-
 
 FIRST = "\x01"
 
