@@ -169,17 +169,17 @@ def anchor_requests(bits: int, width: int):
     return request
 
 
-def gathered(table: pa.Table, fields: int) -> tuple[list[int], np.ndarray, list[list[bytes]]]:
-    """Chunks of a bucket's requests, the number of keys of each, and their fields."""
+def gathered(table: pa.Table, fields: int) -> tuple[list[int], list[list[bytes]]]:
+    """Chunks of a bucket's requests and their fields."""
     table = table.sort_by("chunk")
     parts = [C.parted(raw) for raw in table["payload"].to_pylist()]
-    return table["chunk"].to_pylist(), np.zeros(len(parts), np.int64), [[part[i] for part in parts] for i in range(fields)]
+    return table["chunk"].to_pylist(), [[part[i] for part in parts] for i in range(fields)]
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
     """Flags the keys that are a block in one document and a window in another."""
     bucket = table["bucket"][0].as_py()
-    chunk_ids, _, (steps, blocks, shares) = gathered(table, 3)
+    chunk_ids, (steps, blocks, shares) = gathered(table, 3)
     keys = [C.sums(C.unpacked(raw, np.uint64)) for raw in steps]
     sizes = [len(k) for k in keys]
     block = np.concatenate([C.marks(raw, n) for raw, n in zip(blocks, sizes)])
@@ -192,13 +192,7 @@ def answer_anchors(table: pa.Table) -> pa.Table:
     hit = np.logical_or.reduceat(block[order], edges) & (many | np.logical_or.reduceat(shared[order], edges))
     flagged = np.empty(len(every), bool)
     flagged[order] = np.repeat(hit, np.diff(edges, append=len(ordered)))
-    return split_replies(chunk_ids, bucket, 1, flagged, sizes)
-
-
-def split_replies(chunk_ids: list[int], bucket: int, kind: int, flagged: np.ndarray, sizes: list[int]) -> pa.Table:
-    ends = np.cumsum(sizes)
-    rows = [(chunk, bucket, kind, C.as_bits(flagged[end - n : end])) for chunk, end, n in zip(chunk_ids, ends.tolist(), sizes) if flagged[end - n : end].any()]
-    return C.reply_table(rows)
+    return C.split_replies(chunk_ids, bucket, 1, flagged, sizes)
 
 
 def window_requests(bits: int, width: int):
@@ -222,7 +216,7 @@ def window_candidates(words: Words, bits: int, width: int, replies: pa.Table) ->
 def answer_windows(table: pa.Table) -> pa.Table:
     """Flags the fingerprints that start in a smaller document of another chunk."""
     bucket = table["bucket"][0].as_py()
-    chunk_ids, _, (steps, seconds, leasts) = gathered(table, 3)
+    chunk_ids, (steps, seconds, leasts) = gathered(table, 3)
     ones = [C.sums(C.unpacked(raw, np.uint64)) for raw in steps]
     sizes = [len(k) for k in ones]
     one = np.concatenate(ones)
@@ -235,7 +229,7 @@ def answer_windows(table: pa.Table) -> pa.Table:
     smallest = np.repeat(np.minimum.reduceat(least[order], edges), np.diff(edges, append=len(order)))
     flagged = np.empty(len(order), bool)
     flagged[order] = least[order] > smallest
-    return split_replies(chunk_ids, bucket, 2, flagged, sizes)
+    return C.split_replies(chunk_ids, bucket, 2, flagged, sizes)
 
 
 def covered(count: int, at: np.ndarray, length: int) -> np.ndarray:
@@ -279,7 +273,7 @@ def spans(words: Words, gone: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, left_text, spans (removed word runs) of every row.
 
     A word goes if a 13-word window that covers it also starts in a document with a smaller doc_id. The
@@ -287,7 +281,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     null ones are left alone (null becomes empty); rows of one id are no smaller than each other; a
     null id is larger than any; other columns are not looked at; an empty table gives no rows.
     """
-    return removed(C.chunked(texts(docs, doc_id, text)))
+    return removed(C.chunked(texts(docs, doc_id, text), chunk_bytes))
 
 
 def removed(held: C.Chunked, carried: Sequence[str] = ()) -> DataFrame:

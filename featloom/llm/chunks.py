@@ -160,6 +160,13 @@ def as_bits(marked: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.packbits(marked).tobytes())
 
 
+def split_replies(chunk_ids: list[int], bucket: int, kind: int, flagged: np.ndarray, sizes: list[int]) -> pa.Table:
+    """Replies with the bits of each chunk's part; none where no bit is set."""
+    ends = np.cumsum(sizes)
+    rows = [(chunk, bucket, kind, as_bits(flagged[end - n : end])) for chunk, end, n in zip(chunk_ids, ends.tolist(), sizes) if flagged[end - n : end].any()]
+    return reply_table(rows)
+
+
 def ask(docs: Chunked, request: Callable[[Texts, pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], replies: DataFrame | None = None) -> DataFrame:
     """One round: every chunk's requests, built from its texts and earlier replies, answered by bucket."""
     read = docs.table.select("doc_id", "text", "chunk").groupBy("chunk")

@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from featloom.llm import bpe, exact, packing, quality, redirects, token_frames, toxicity  # noqa: F401
+from featloom.llm import blocks, bpe, exact, packing, quality, redirects, suffixes, token_frames, toxicity  # noqa: F401
 from featloom.llm.base import ORACLES, QUERIES  # noqa: F401
