@@ -1,4 +1,10 @@
 """All queries of this package."""
 
-from featloom.llm import blocks, bpe, exact, packing, quality, redirects, suffixes, token_frames, toxicity  # noqa: F401
-from featloom.llm.base import ORACLES, QUERIES  # noqa: F401
+from featloom.llm import blocks, bpe, exact, forest, packing, quality, redirects, suffixes, token_frames, toxicity  # noqa: F401
+from featloom.llm.base import ORACLES, QUERIES, query
+
+import corpus_pipeline
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+__all__ = ["ORACLES", "QUERIES"]
