@@ -297,7 +297,9 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     known = rows.join(label_rows(labels).select("id"), "id", "left_semi")
     rules = fitted_rules(materialise(text_statistics(known).withColumn("base_failed", failed_base()), "text-statistics"), labels)
     wrapped = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(text).alias("text"))
-    return text_statistics(wrapped).where(~failed_base() & ~verdict(rules)).select("row.*")
+    # Above the row count the filter stays where it is; pushed down, it would repeat every statistic it names.
+    counted = text_statistics(wrapped).observe("judged documents", F.count(F.lit(1)).alias("rows"))
+    return counted.where(~failed_base() & ~verdict(rules)).select("row.*")
 
 
 @query("op9_quality_rules")
