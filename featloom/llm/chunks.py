@@ -167,8 +167,12 @@ def split_replies(chunk_ids: list[int], bucket: int, kind: int, flagged: np.ndar
     return reply_table(rows)
 
 
-def ask(docs: Chunked, request: Callable[[Texts, pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], replies: DataFrame | None = None) -> DataFrame:
-    """One round: every chunk's requests, built from its texts and earlier replies, answered by bucket."""
+def ask(docs: Chunked, request: Callable[[Texts, pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], bits: int, replies: DataFrame | None = None) -> DataFrame:
+    """One round: every chunk's requests, built from its texts and earlier replies, answered by bucket.
+
+    Two to the power ``bits`` is the number of buckets, and of tasks that answer: requests are small for
+    the work they make, so their size must not decide it.
+    """
     read = docs.table.select("doc_id", "text", "chunk").groupBy("chunk")
     if replies is None:
         sent = read.applyInArrow(lambda table: request(Texts.of(table), reply_table([])), REQUESTS)
@@ -176,7 +180,8 @@ def ask(docs: Chunked, request: Callable[[Texts, pa.Table], pa.Table], answer: C
         sent = read.cogroup(replies.groupBy("chunk")).applyInArrow(
             lambda table, own: request(Texts.of(table), own) if table.num_rows else request_table([]), REQUESTS
         )
-    return materialise(sent.groupBy("bucket").applyInArrow(answer, REPLIES), "replies")
+    dealt = sent.repartition(1 << bits, "bucket")
+    return materialise(dealt.groupBy("bucket").applyInArrow(answer, REPLIES), "replies")
 
 
 def conclude(docs: Chunked, work: Callable[[Texts, pa.Table], pa.Table], replies: DataFrame, schema: str, carried: Sequence[str] = ()) -> DataFrame:

@@ -185,19 +185,42 @@ def answer_runs(table: pa.Table) -> pa.Table:
     begin = np.cumsum(size) - size
     suffixes = size - LENGTH + 1
     upto = np.cumsum(suffixes) - suffixes
-    flagged = np.zeros(int(suffixes.sum()), bool)
-    for part in slices(key, suffixes):
+    # Of equal runs the earliest stands for all: every suffix of a later one starts earlier too.
+    head = earliest_equal(anchor, size, data, begin, ids, place)
+    later = (ids != ids[head]) | (place != place[head])
+    flagged = np.repeat(later, suffixes)
+    alone = np.flatnonzero(head == np.arange(len(head)))
+    for part in slices(key, suffixes, alone):
         run = np.repeat(part, suffixes[part])
         offset = np.arange(len(run)) - np.repeat(np.cumsum(suffixes[part]) - suffixes[part], suffixes[part])
         group = ranks(key[run], anchor[run] - offset)
         flagged[upto[run] + offset] = repeated(group, data, begin[run] + offset, ids[run], place[run] + offset)
+    for twin in np.flatnonzero(~later & (head != np.arange(len(head)))).tolist():
+        flagged[upto[twin] : upto[twin] + suffixes[twin]] = flagged[upto[head[twin]] : upto[head[twin]] + suffixes[twin]]
     total = [int((f[:, 1].astype(np.int64) - LENGTH + 1).sum()) for f in (np.frombuffer(f[3], np.uint8).reshape(-1, 2) for f in fields)]
     return C.split_replies(table["chunk"].to_pylist(), bucket, 2, flagged, total)
 
 
-def slices(key: np.ndarray, suffixes: np.ndarray) -> Iterator[np.ndarray]:
-    """Runs of whole keys that have a second run, about so many suffixes at a time."""
-    order = np.argsort(key, kind="stable")
+def earliest_equal(anchor: np.ndarray, size: np.ndarray, data: np.ndarray, begin: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each run the equal run with the smallest (id, place)."""
+    content = np.zeros((len(size), WIDTH + 2), np.uint8)
+    content[:, 0], content[:, 1] = anchor, size
+    reach = np.arange(WIDTH)
+    for at in range(0, len(size), 20_000):
+        part = slice(at, at + 20_000)
+        where = np.minimum(begin[part, None] + reach, len(data) - 1)
+        content[part, 2:] = np.where(reach < size[part, None], data[where], 0)
+    _, same = np.unique(content.view(f"V{WIDTH + 2}").ravel(), return_inverse=True)
+    order = np.lexsort((place, ids, same))
+    new = np.flatnonzero(np.diff(same[order], prepend=-1))
+    found = np.empty(len(size), np.int64)
+    found[order] = np.repeat(order[new], np.diff(new, append=len(order)))
+    return found
+
+
+def slices(key: np.ndarray, suffixes: np.ndarray, among: np.ndarray) -> Iterator[np.ndarray]:
+    """The runs among ``among`` whose key has a second one there, whole keys, about so many suffixes at a time."""
+    order = among[np.argsort(key[among], kind="stable")]
     edges = np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]) != 0)
     count = np.diff(edges, append=len(order))
     many = np.repeat(count > 1, count)
@@ -289,9 +312,10 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     not looked at; an empty table gives no rows.
     """
     held = C.chunked(texts(docs, doc_id, text), chunk_bytes)
-    bits, width = C.bucket_bits(held.total * DENSITY * 4), key_width(held.total)
-    anchors = C.ask(held, anchor_requests(bits, width), answer_anchors)
-    runs = C.ask(held, run_requests(bits, width), answer_runs, anchors)
+    # A run is far more work than a key, so a bucket holds fewer.
+    bits, width = C.bucket_bits(held.total * DENSITY * 16), key_width(held.total)
+    anchors = C.ask(held, anchor_requests(bits, width), answer_anchors, bits)
+    runs = C.ask(held, run_requests(bits, width), answer_runs, bits, anchors)
     return C.conclude(held, remove_suffixes(bits, width), anchors.unionByName(runs), RESULT)
 
 
