@@ -7,8 +7,10 @@ pairs that can hardly be links are dropped. Every link is confirmed on the full
 
 Texts with equal sets are one class from the start, so copies are never compared. In a dense group the
 first round proposes a cover only: texts that are like many others, paired with those. The second round
-proposes every likely pair of a group whose two texts the confirmed links have not brought together yet,
-so that no link is lost by the cover.
+looks at every likely pair of a group whose two texts the confirmed links have not brought together yet,
+so that no link is lost by the cover. Where a group has few such pairs they are proposed one by one;
+where it has many, the sets of its texts come to the group, and only links that join two components
+leave it. What moves thus grows with the members of the groups, not with their pairs.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ BATCH_BYTES = 2_000_000
 HASH_BYTES = 6
 SIGNATURES = "doc_id long, text_key long, n_shingles long, digest binary, signature binary"
 PAIRS = "a long, b long"
+# Open pairs per member up to which a group proposes them one by one.
+OPEN_PAIRS = 2
+# Shingles that are compared at a time.
+COLUMNS = 4096
 
 
 def steps() -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +211,13 @@ def least_matches(similarity: float) -> int:
     return int(np.floor(VALUES * (similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / VALUES))))
 
 
-def likely_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray, short: np.ndarray, least: int, cover: bool) -> np.ndarray:
-    """Pairs of nodes of a group, of different labels, that agree in at least so many values.
+def likely_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray, short: np.ndarray, least: int, cover: bool) -> tuple[np.ndarray, list[int]]:
+    """Pairs of nodes of a group, of different labels, that agree in at least so many values; and dense groups.
 
-    With ``cover``, groups beyond a few members give pairs that reach every text with a partner, not all.
+    With ``cover``, groups beyond a few members give pairs that reach every text with a partner. Without,
+    they give all their pairs, or, if those are many, their key.
     """
+    dense = []
     edges = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(edges, append=len(key))
     found = []
@@ -223,10 +231,13 @@ def likely_pairs(key: np.ndarray, node: np.ndarray, label: np.ndarray, short: np
     for begin, size in zip(edges[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         part = slice(begin, begin + size)
         like = alike(short[part], least) & (label[part, None] != label[None, part])
+        if not cover and np.count_nonzero(like) > 2 * OPEN_PAIRS * size:
+            dense.append(int(key[begin]))
+            continue
         one, two = covering(like) if cover else np.nonzero(np.triu(like))
         found.append(np.stack([node[part][one], node[part][two]], axis=1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return np.unique(np.sort(pairs, axis=1), axis=0)
+    return np.unique(np.sort(pairs, axis=1), axis=0), dense
 
 
 def alike(short: np.ndarray, least: int) -> np.ndarray:
@@ -256,32 +267,99 @@ def covering(like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def whole_groups(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of ``key``, cut so that no group is split."""
+    rest = None
+    for frame in frames:
+        table = pa.Table.from_batches([frame])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        key = rest["key"].to_numpy()
+        # The last group may go on in the next batch.
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut:
+            yield rest.slice(0, cut)
+            rest = rest.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "node")
+
+
 def candidate_pairs(groups: DataFrame, similarity: float, cover: bool) -> DataFrame:
-    """Distinct (a, b) from (key, node, label, short) rows; a task sees its groups whole, one after the other."""
-    schema, least = pa.schema([("a", pa.int64()), ("b", pa.int64())]), least_matches(similarity)
+    """Distinct (a, b, dense) from (key, node, label, short) rows; a dense group is named by its key in both."""
+    schema, least = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.bool_())]), least_matches(similarity)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for frame in frames:
-            table = pa.Table.from_batches([frame])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            key = rest["key"].to_numpy()
-            # The last group may go on in the next batch.
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield pairs_of(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None:
-            yield pairs_of(rest)
-
-    def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(-1, VALUES)
-        columns = [table[c].to_numpy() for c in ("key", "node", "label")]
-        pairs = likely_pairs(*columns, short, least, cover)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-
-    ordered = groups.select("key", "node", "label", "short").repartition("key").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, PAIRS).distinct()
+        for table in whole_groups(frames):
+            short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(-1, VALUES)
+            pairs, dense = likely_pairs(*[table[c].to_numpy() for c in ("key", "node", "label")], short, least, cover)
+            keys = np.array(dense, np.int64)
+            sides = [pa.array(np.concatenate([pairs[:, i], keys])) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*sides, pa.array(np.arange(len(sides[0])) >= len(pairs))], schema=schema)
+
+    return by_group(groups.select("key", "node", "label", "short")).mapInArrow(run, PAIRS + ", dense boolean").distinct()
+
+
+def dense_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join components inside dense groups, from (key, node, label, hashes) rows."""
+    schema, percent = pa.schema([("a", pa.int64()), ("b", pa.int64())]), round(similarity * 100)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(frames):
+            key, node, label = (table[c].to_numpy() for c in ("key", "node", "label"))
+            edges = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+            found = []
+            for begin, end in zip(edges.tolist(), np.append(edges[1:], len(key)).tolist()):
+                sets = [read_set(raw.as_py()) for raw in table["hashes"].slice(begin, end - begin)]
+                found += joining_links(node[begin:end], label[begin:end], sets, percent)
+            sides = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(sides[:, 0]), pa.array(sides[:, 1])], schema=schema)
+
+    return by_group(rows.select("key", "node", "label", "hashes")).mapInArrow(run, PAIRS).distinct()
+
+
+def joining_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between texts of different labels, as many as it takes to join what they connect.
+
+    Every text outside the largest label is compared with all others on the full sets, as products of
+    membership matrices; shingles of one text alone need no column.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = often[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    names, own = np.unique(label, return_inverse=True)
+    outside = np.flatnonzero(own != np.bincount(own).argmax())
+    common = np.zeros((len(outside), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        member = np.zeros((len(sets), COLUMNS), np.float32)
+        member[row[a:b], column[a:b] - first] = 1.0
+        common += member[outside] @ member.T
+    like = 100 * common >= percent * (sizes[outside, None] + sizes[None, :] - common)
+    one, two = np.nonzero(like & (own[outside, None] != own[None, :]))
+    one = outside[one]
+    _, first = np.unique(own[one] * len(names) + own[two], return_index=True)
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found = []
+    for a, b in zip(one[first].tolist(), two[first].tolist()):
+        ra, rb = root(own[a]), root(own[b])
+        if ra != rb:
+            parent[ra] = rb
+            found.append((min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b]))))
+    return found
 
 
 def shingle_sets(rows: DataFrame, length: int) -> DataFrame:
@@ -330,7 +408,7 @@ def links(rows: DataFrame, classes: DataFrame, length: int, similarity: float) -
     """Confirmed links (a, b) between classes, enough of them to connect all that are connected."""
     groups, stars = grouped(classes)
     groups = materialise(groups.join(short_signatures(classes), "node"), "tree-groups")
-    proposed = candidate_pairs(groups.withColumn("label", F.col("node")), similarity, cover=True)
+    proposed = candidate_pairs(groups.withColumn("label", F.col("node")), similarity, cover=True).drop("dense")
     proposed = materialise(proposed.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
     # Texts of the classes that share a group: the sets of no other are ever needed.
     wanted = groups.select("node").distinct()
@@ -340,8 +418,10 @@ def links(rows: DataFrame, classes: DataFrame, length: int, similarity: float) -
     first = confirmed(proposed, sets, similarity)
     member = components(first)
     labelled = groups.join(member, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    apart = candidate_pairs(labelled, similarity, cover=False).join(proposed, ["a", "b"], "left_anti")
-    return first.unionByName(confirmed(materialise(apart, "pairs"), sets, similarity))
+    apart = materialise(candidate_pairs(labelled, similarity, cover=False), "pairs")
+    single = apart.where("NOT dense").drop("dense").join(proposed, ["a", "b"], "left_anti")
+    dense = labelled.join(apart.where("dense").select(F.col("a").alias("key")), "key", "left_semi").select("key", "node", "label").join(sets, "node")
+    return first.unionByName(confirmed(single, sets, similarity)).unionByName(materialise(dense_links(dense, similarity), "links"))
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,21 +29,27 @@ MAX_CONDITIONS = 4
 MIN_PRECISION = 0.95
 MIN_COVERED = 5
 
-# The statistics a rule may use; shares are per word, per line or per character.
-STATISTICS: dict[str, Column] = {
-    "symbols_per_char": F.col("n_symbols") / F.col("word_chars"),
-    "chars_per_word": F.col("word_chars") / F.col("n_words"),
-    "repeated_words": F.col("n_repeat_words") / F.col("n_words"),
-    "repeated_lines": F.col("n_dup_lines") / F.col("n_lines"),
-    "capitals_per_char": F.col("n_capitals") / F.col("word_chars"),
-    "digits_per_char": F.col("n_digits") / F.col("word_chars"),
-    "marks_per_word": F.col("n_marks") / F.col("n_words"),
-    "short_words": F.col("n_short") / F.col("n_words"),
-    "distinct_words": F.col("n_distinct") / F.col("n_words"),
-    "words_per_line": F.col("n_words") / F.col("n_lines"),
+# The statistics a rule may use: counts of a text over the count they are shares of.
+STATISTICS = {
+    "symbols_per_char": ("n_symbols", "word_chars"),
+    "chars_per_word": ("word_chars", "n_words"),
+    "repeated_words": ("n_repeat_words", "n_words"),
+    "repeated_lines": ("n_dup_lines", "n_lines"),
+    "capitals_per_char": ("n_capitals", "word_chars"),
+    "digits_per_char": ("n_digits", "word_chars"),
+    "marks_per_word": ("n_marks", "n_words"),
+    "short_words": ("n_short", "n_words"),
+    "distinct_words": ("n_distinct", "n_words"),
+    "words_per_line": ("n_words", "n_lines"),
 }
 
 
+def statistic(name: str) -> Column:
+    """Null where there is nothing to divide by."""
+    count, total = STATISTICS[name]
+    return F.try_divide(F.col(count), F.col(total))
+
+
 @dataclass(frozen=True)
 class Condition:
     """A threshold on one statistic."""
@@ -53,7 +59,7 @@ class Condition:
     threshold: float
 
     def column(self) -> Column:
-        value = STATISTICS[self.statistic]
+        value = statistic(self.statistic)
         test = value > F.lit(self.threshold) if self.above else value <= F.lit(self.threshold)
         return F.coalesce(test, F.lit(False))
 
@@ -142,7 +148,7 @@ def failed_base(min_words: int = MIN_WORDS) -> Column:
 def thresholds(rows: DataFrame, bins: int = BINS) -> dict[str, list[float]]:
     """Cut points of each statistic at equal shares of the rows."""
     shares = [i / bins for i in range(1, bins)]
-    row = rows.agg(*[F.percentile_approx(column, shares, 10_000).alias(name) for name, column in STATISTICS.items()]).first()
+    row = rows.agg(*[F.percentile_approx(statistic(name), shares, 10_000).alias(name) for name in STATISTICS]).first()
     return {name: sorted(set(row[name] or [])) for name in STATISTICS}
 
 
@@ -160,7 +166,7 @@ def learn_rules(labelled: DataFrame, bad: Column, max_rules: int = MAX_RULES, mi
     binned = labelled.select(
         bad.cast("int").alias("bad"),
         (F.pmod(F.xxhash64("id"), F.lit(3)) > 0).alias("grows"),
-        *[bin_of(STATISTICS[name], points).alias(name) for name, points in cuts.items()],
+        *[bin_of(statistic(name), points).alias(name) for name, points in cuts.items()],
     )
     # Rows that fall into the same bins are one row with a count.
     binned = materialise(binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("n")), "binned")
@@ -187,7 +193,7 @@ def centred(labelled: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
     sides = []
     for i, rule in enumerate(rules):
         for k, condition in enumerate(rule):
-            value, others = STATISTICS[condition.statistic], covers(rule[:k] + rule[k + 1 :])
+            value, others = statistic(condition.statistic), covers(rule[:k] + rule[k + 1 :])
             sides.append(F.max(F.when(others & (value <= condition.threshold), value)).alias(f"low{i}_{k}"))
             sides.append(F.min(F.when(others & (value > condition.threshold), value)).alias(f"high{i}_{k}"))
     row = labelled.agg(*sides).first()

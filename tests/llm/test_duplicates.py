@@ -100,10 +100,12 @@ def test_near(docs, rows, length, similarity):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-def test_near_in_dense_groups(spark, docs, rows, monkeypatch):
+@pytest.mark.parametrize("open_pairs", [0, 100])
+def test_near_in_dense_groups(docs, rows, monkeypatch, open_pairs):
     """Prefixes that have to grow, and covers in place of all pairs, lose no link."""
     monkeypatch.setattr(forest, "GROUP", 12)
     monkeypatch.setattr(forest, "SMALL", 2)
+    monkeypatch.setattr(forest, "OPEN_PAIRS", open_pairs)
     label, _ = brute_components(rows, 3, 85)
     found = forest.near_duplicates(docs, 3, 0.85).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == label
