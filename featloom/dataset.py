@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 CLASSIFICATION = "C"
 REGRESSION = "R"
 SPREAD_ROWS = 50_000
-NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
+NUMERIC = (T.DoubleType, T.FloatType, T.DecimalType, T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+# Read as the text they are written as.
+TEXTUAL = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
 
@@ -30,6 +32,18 @@ def string_columns(df: DataFrame) -> list[str]:
     return [field.name for field in df.schema.fields if isinstance(field.dataType, T.StringType)]
 
 
+def readable(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Booleans, dates and times among ``columns`` as text; a type without a rule is an error, never left out."""
+    wanted, texts = set(columns), {}
+    for field in df.schema.fields:
+        if field.name not in wanted or isinstance(field.dataType, (*NUMERIC, T.StringType)):
+            continue
+        if not isinstance(field.dataType, TEXTUAL):
+            raise ValueError(f"column {field.name!r} has type {field.dataType.simpleString()}, which has no encoding")
+        texts[field.name] = quoted(field.name).cast("string")
+    return df.withColumns(texts) if texts else df
+
+
 @dataclass(frozen=True)
 class Feature:
     """A column together with the derivation it is known by."""

@@ -20,7 +20,6 @@ ONE_HOT_BELOW = 8
 NULL_TEXT = "nan"
 NULL_CODE_TEXT = "NULL"
 
-CLASS_LIMIT = 10_000
 INLINE_LIMIT = 64
 
 
@@ -50,21 +49,32 @@ def drop_empty_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def class_values(df: DataFrame, label: str) -> list:
-    """Distinct label values in ascending order. Classes are few by nature; the number is checked."""
-    values = [r[0] for r in df.select(quoted(label)).filter(quoted(label).isNotNull()).distinct().limit(CLASS_LIMIT + 1).collect()]
-    if len(values) > CLASS_LIMIT:
-        raise ValueError(f"label {label!r} has more than {CLASS_LIMIT} classes; is it a regression target?")
-    return sorted(values)
-
-
-def encode_label(df: DataFrame, label: str, out: str | None = None) -> tuple[DataFrame, list]:
-    """Replace the label by 0..k-1 in the order of the sorted class values."""
-    values = class_values(df, label)
-    code = F.lit(None).cast("double")
-    if values:
-        table = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(float(i)))])
-        code = F.element_at(table, quoted(label)) if len(values) > 64 else _case(label, values)
-    return df.withColumn(out or label, code), values
+    """Distinct label values in ascending order, for models that hold something per class anyway."""
+    return sorted(r[0] for r in df.select(quoted(label)).filter(quoted(label).isNotNull()).distinct().collect())
+
+
+def encode_label(df: DataFrame, label: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Replace the label by 0..k-1 in the order of the sorted class values; also returns (value, code).
+
+    A few classes are told apart inside the plan, more of them by a dictionary that is joined.
+    """
+    keys = df.select(quoted(label).alias("key")).filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    few = keys.limit(INLINE_LIMIT + 1).collect()
+    if len(few) <= INLINE_LIMIT:
+        values = sorted(r["key"] for r in few)
+        code = _case(label, values) if values else F.lit(None).cast("double")
+        kind = df.schema[label].dataType.simpleString()
+        codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(values)], f"value {kind}, code double")
+        return df.withColumn(out or label, code), codes
+    keys = materialise(keys, "classes")
+    coded = keys.join(sorted_codes(keys, "key"), "key").select("key", F.col("code").cast("double").alias("value"), "n")
+    coded = materialise(coded, "classes")
+    codes = coded.select(F.col("key").alias("value"), F.col("value").alias("code"))
+    if out is None:
+        order = df.columns
+        keyed = df.withColumn("__label", quoted(label)).drop(label)
+        return lookup(keyed, "__label", coded, label).select(*[quoted(c) for c in order]), codes
+    return lookup(df, label, coded, out), codes
 
 
 def _case(label: str, values: Sequence):

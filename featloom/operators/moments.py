@@ -12,12 +12,11 @@ and a class that holds most of the rows costs no more than any other.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featloom.dataset import REGRESSION, Dataset, as_double, quoted
@@ -29,8 +28,8 @@ NARROW_LIMIT = 6
 _BLOCK = 64
 
 _PARTIAL_SCHEMA = (
-    "fid int, cls double, rows bigint, nulls bigint, zeros bigint, near_zeros bigint, "
-    "s1 double, s2 double, lo double, hi double, sy double, syy double, sxy double"
+    "fid int, cls double, rows bigint, nulls bigint, zeros bigint, near_zeros bigint, mean double, m2 double, "
+    "lo double, hi double, pairs bigint, xmean double, ymean double, xm2 double, ym2 double, cxy double"
 )
 
 
@@ -39,11 +38,11 @@ def base_exprs(ds: Dataset) -> list[Expr]:
 
 
 def moments_frame(ds: Dataset, exprs: Sequence[Expr] | None = None, by_label: bool = False) -> DataFrame:
-    """Columns feature, cls, rows, nulls, zeros, near_zeros, mean, m2, lo, hi, ym2, cxy.
+    """Columns feature, cls, rows, nulls, zeros, near_zeros, mean, m2, lo, hi, pairs, xm2, ym2, cxy.
 
     ``cls`` is the class code when ``by_label`` is set on a classification table, else NULL.
-    ``cxy`` and ``ym2`` (co-moment with, and squared deviation of, the label over the rows
-    where the feature is present) are filled for a regression table.
+    ``pairs``, ``xm2``, ``ym2`` and ``cxy`` (count, squared deviations and co-moment over the rows
+    where both the feature and the label are present) are filled for a regression table.
     """
     exprs = base_exprs(ds) if exprs is None else list(exprs)
     if not exprs:
@@ -75,10 +74,13 @@ def _narrow(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
     for i, expr in enumerate(exprs):
         x = F.col(f"x{i}")
         n = F.count(x)
-        target, cross = F.lit(None).cast("double"), F.lit(None).cast("double")
+        pairs, own, target, cross = F.lit(0).cast("long"), *[F.lit(None).cast("double")] * 3
         if _with_target(ds):
-            target = F.var_pop(F.when(x.isNotNull(), F.col("y"))) * n
-            cross = F.covar_pop(x, F.col("y")) * n
+            y = F.when(x.isNotNull(), F.col("y"))
+            pairs = F.count(y)
+            own = F.var_pop(F.when(F.col("y").isNotNull(), x)) * pairs
+            target = F.var_pop(y) * pairs
+            cross = F.covar_pop(x, F.col("y")) * pairs
         summaries.append(
             F.struct(
                 F.lit(expr.name).alias("feature"),
@@ -90,6 +92,8 @@ def _narrow(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
                 (F.var_pop(x) * n).alias("m2"),
                 F.min(x).alias("lo"),
                 F.max(x).alias("hi"),
+                pairs.alias("pairs"),
+                own.alias("xm2"),
                 target.alias("ym2"),
                 cross.alias("cxy"),
             ).alias(f"s{i}")
@@ -99,7 +103,7 @@ def _narrow(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
     return stacked.select("s.feature", "cls", *[f"s.{c}" for c in _MEASURES])
 
 
-_MEASURES = ["rows", "nulls", "zeros", "near_zeros", "mean", "m2", "lo", "hi", "ym2", "cxy"]
+_MEASURES = ["rows", "nulls", "zeros", "near_zeros", "mean", "m2", "lo", "hi", "pairs", "xm2", "ym2", "cxy"]
 
 
 def _wide(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
@@ -110,50 +114,79 @@ def _wide(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
         target.alias("y"),
         *[ds.value(name).alias(f"b{i}") for i, name in enumerate(needed)],
     )
-    shifts, y_shift = _anchor(table, exprs, needed)
-    partial = table.mapInArrow(_partial_sums(list(exprs), needed, shifts, y_shift), _PARTIAL_SCHEMA)
-    merged = partial.groupBy("fid", "cls").agg(
-        *[F.sum(c).alias(c) for c in ("rows", "nulls", "zeros", "near_zeros", "s1", "s2", "sy", "syy", "sxy")],
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-    )
+    partial = table.mapInArrow(_partial_moments(list(exprs), needed), _PARTIAL_SCHEMA)
+    return _merged(ds, exprs, partial)
+
+
+def _merged(ds: Dataset, exprs: Sequence[Expr], partial: DataFrame) -> DataFrame:
+    """Parts put together around their common mean, so nothing cancels however large the values are."""
+    own = Window.partitionBy("fid", "cls")
     n = F.col("rows") - F.col("nulls")
-    keyed = ds.spark.createDataFrame(
-        [(i, e.name, float(shifts[i])) for i, e in enumerate(exprs)], "fid int, feature string, shift double"
+    centred = partial.withColumns(
+        {
+            "grand": F.sum(n * F.col("mean")).over(own) / F.nullif(F.sum(n).over(own), F.lit(0)),
+            "xgrand": F.sum(F.col("pairs") * F.col("xmean")).over(own) / F.nullif(F.sum("pairs").over(own), F.lit(0)),
+            "ygrand": F.sum(F.col("pairs") * F.col("ymean")).over(own) / F.nullif(F.sum("pairs").over(own), F.lit(0)),
+        }
     )
-    has_values = n > 0
-    has_target = has_values & F.lit(_with_target(ds))
-    return (
-        merged.join(keyed, "fid")
-        .withColumn("mean", F.when(has_values, F.col("shift") + F.col("s1") / n))
-        .withColumn("m2", F.when(has_values, F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / n, F.lit(0.0))))
-        .withColumn("ym2", F.when(has_target, F.col("syy") - F.col("sy") * F.col("sy") / n))
-        .withColumn("cxy", F.when(has_target, F.col("sxy") - F.col("s1") * F.col("sy") / n))
-        .select("feature", "cls", *_MEASURES)
+    dx, dy = F.col("xmean") - F.col("xgrand"), F.col("ymean") - F.col("ygrand")
+    away = F.col("mean") - F.col("grand")
+    target = F.lit(_with_target(ds)) & (F.sum("pairs") > 0)
+    merged = centred.groupBy("fid", "cls").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "nulls", "zeros", "near_zeros", "pairs")],
+        F.first("grand").alias("mean"),
+        F.sum(F.col("m2") + n * away * away).alias("m2"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.when(target, F.sum(F.col("xm2") + F.col("pairs") * dx * dx)).alias("xm2"),
+        F.when(target, F.sum(F.col("ym2") + F.col("pairs") * dy * dy)).alias("ym2"),
+        F.when(target, F.sum(F.col("cxy") + F.col("pairs") * dx * dy)).alias("cxy"),
     )
-
-
-def _anchor(table: DataFrame, exprs: Sequence[Expr], needed: Sequence[str]) -> tuple[np.ndarray, float]:
-    """Each feature's value on one row; sums are kept relative to it so that they do not cancel."""
-    row = table.limit(1).collect()
-    if not row:
-        return np.zeros(len(exprs)), 0.0
-    values = {
-        name: np.array([np.nan if row[0][f"b{i}"] is None else row[0][f"b{i}"]]) for i, name in enumerate(needed)
-    }
-    with np.errstate(all="ignore"):
-        shifts = np.array([float(to_array(e, values)[0]) for e in exprs])
-    shifts[~np.isfinite(shifts) | (np.abs(shifts) > 1e100)] = 0.0
-    y = row[0]["y"]
-    return shifts, 0.0 if y is None else float(y)
-
-
-def _partial_sums(exprs: list[Expr], needed: list[str], shifts: np.ndarray, y_shift: float):
+    keyed = ds.spark.createDataFrame([(i, e.name) for i, e in enumerate(exprs)], "fid int, feature string")
+    return merged.join(keyed, "fid").select("feature", "cls", *_MEASURES)
+
+
+class _Sums:
+    """Counts, means and squared deviations of one class, for all features, by the parallel update."""
+
+    def __init__(self, m: int):
+        self.counts = np.zeros((4, m), np.int64)
+        self.n, self.mean, self.m2 = np.zeros(m), np.zeros(m), np.zeros(m)
+        self.lo, self.hi = np.full(m, np.nan), np.full(m, np.nan)
+        self.pairs, self.xmean, self.ymean = np.zeros(m), np.zeros(m), np.zeros(m)
+        self.xm2, self.ym2, self.cxy = np.zeros(m), np.zeros(m), np.zeros(m)
+
+    def add(self, at: slice, n, mean, m2) -> None:
+        total = self.n[at] + n
+        share = np.divide(n, total, out=np.zeros_like(total), where=total > 0)
+        away = np.where(n > 0, mean - self.mean[at], 0.0)
+        self.m2[at] += np.where(n > 0, m2, 0.0) + away * away * self.n[at] * share
+        self.mean[at] += away * share
+        self.n[at] = total
+
+    def add_pairs(self, at: slice, n, xmean, ymean, xm2, ym2, cxy) -> None:
+        total = self.pairs[at] + n
+        share = np.divide(n, total, out=np.zeros_like(total), where=total > 0)
+        dx, dy = np.where(n > 0, xmean - self.xmean[at], 0.0), np.where(n > 0, ymean - self.ymean[at], 0.0)
+        old = self.pairs[at] * share
+        self.xm2[at] += xm2 + dx * dx * old
+        self.ym2[at] += ym2 + dy * dy * old
+        self.cxy[at] += cxy + dx * dy * old
+        self.xmean[at] += dx * share
+        self.ymean[at] += dy * share
+        self.pairs[at] = total
+
+
+def _group_means(values: np.ndarray, present: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.add.reduceat(present, starts, axis=1, dtype=np.int64).astype(float)
+    total = np.add.reduceat(np.where(present, values, 0.0), starts, axis=1)
+    return n, np.divide(total, n, out=np.zeros_like(total), where=n > 0)
+
+
+def _partial_moments(exprs: list[Expr], needed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(exprs)
-        counts: dict = defaultdict(lambda: np.zeros((4, m), dtype=np.int64))
-        sums: dict = defaultdict(lambda: np.zeros((5, m)))
-        extremes: dict = defaultdict(lambda: np.stack([np.full(m, np.nan), np.full(m, np.nan)]))
+        sums: dict = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -166,65 +199,57 @@ def _partial_sums(exprs: list[Expr], needed: list[str], shifts: np.ndarray, y_sh
             starts = np.concatenate([[0], change])
             sizes = np.diff(np.concatenate([starts, [len(cls)]]))
             keys = [None if np.isnan(c) else float(c) for c in cls[starts]]
-            y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)[order] - y_shift
-            has_target = not np.isnan(y).all()
-            y = np.nan_to_num(y)
+            y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)[order]
+            labelled = ~np.isnan(y)
             values = {
                 name: batch.column(i + 2).to_numpy(zero_copy_only=False).astype(float)[order]
                 for i, name in enumerate(needed)
             }
             with np.errstate(all="ignore"):
-                for at in range(0, m, _BLOCK):
-                    x = np.stack([to_array(e, values) for e in exprs[at:at + _BLOCK]])
-                    missing = np.isnan(x)
-                    any_missing = bool(missing.any())
-                    centred = x - shifts[at:at + _BLOCK, None]
-                    if any_missing:
-                        centred = np.where(missing, 0.0, centred)
-                    block = slice(at, at + x.shape[0])
+                for first in range(0, m, _BLOCK):
+                    x = np.stack([to_array(e, values) for e in exprs[first:first + _BLOCK]])
+                    present = ~np.isnan(x)
+                    at = slice(first, first + x.shape[0])
+                    n, mean = _group_means(x, present, starts)
+                    away = np.where(present, x - np.repeat(mean, sizes, axis=1), 0.0)
+                    m2 = np.add.reduceat(away * away, starts, axis=1)
                     tally = [
-                        np.add.reduceat(missing, starts, axis=1, dtype=np.int64) if any_missing else None,
+                        np.add.reduceat(~present, starts, axis=1, dtype=np.int64),
                         np.add.reduceat(x == 0, starts, axis=1, dtype=np.int64),
                         np.add.reduceat(np.abs(x) < NEAR_ZERO, starts, axis=1, dtype=np.int64),
                     ]
-                    first = np.add.reduceat(centred, starts, axis=1)
-                    second = np.add.reduceat(centred * centred, starts, axis=1)
-                    low = np.fmin.reduceat(x, starts, axis=1)
-                    high = np.fmax.reduceat(x, starts, axis=1)
-                    if has_target:
-                        yy = np.where(missing, 0.0, y)
-                        cross = [
-                            np.add.reduceat(yy, starts, axis=1),
-                            np.add.reduceat(yy * yy, starts, axis=1),
-                            np.add.reduceat(centred * y, starts, axis=1),
-                        ]
+                    low, high = np.fmin.reduceat(x, starts, axis=1), np.fmax.reduceat(x, starts, axis=1)
+                    if labelled.any():
+                        both = present & labelled
+                        pairs, xmean = _group_means(x, both, starts)
+                        _, ymean = _group_means(np.broadcast_to(y, x.shape), both, starts)
+                        dx = np.where(both, x - np.repeat(xmean, sizes, axis=1), 0.0)
+                        dy = np.where(both, y - np.repeat(ymean, sizes, axis=1), 0.0)
+                        cross = [np.add.reduceat(p, starts, axis=1) for p in (dx * dx, dy * dy, dx * dy)]
                     for g, key in enumerate(keys):
-                        count, total, extreme = counts[key], sums[key], extremes[key]
-                        count[0, block] += sizes[g]
+                        own = sums.setdefault(key, _Sums(m))
+                        own.counts[0, at] += sizes[g]
                         for j, part in enumerate(tally):
-                            if part is not None:
-                                count[j + 1, block] += part[:, g]
-                        total[0, block] += first[:, g]
-                        total[1, block] += second[:, g]
-                        extreme[0, block] = np.fmin(extreme[0, block], low[:, g])
-                        extreme[1, block] = np.fmax(extreme[1, block], high[:, g])
-                        if has_target:
-                            for j, part in enumerate(cross):
-                                total[j + 2, block] += part[:, g]
-        for key, count in counts.items():
-            total, extreme = sums[key], extremes[key]
+                            own.counts[j + 1, at] += part[:, g]
+                        own.add(at, n[:, g], mean[:, g], m2[:, g])
+                        own.lo[at], own.hi[at] = np.fmin(own.lo[at], low[:, g]), np.fmax(own.hi[at], high[:, g])
+                        if labelled.any():
+                            own.add_pairs(at, pairs[:, g], xmean[:, g], ymean[:, g], *[part[:, g] for part in cross])
+        for key, own in sums.items():
+            empty, unpaired = own.n == 0, own.pairs == 0
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(m, dtype=np.int32)),
                     pa.array([key] * m, type=pa.float64()),
-                    *[pa.array(count[j]) for j in range(4)],
-                    pa.array(total[0]),
-                    pa.array(total[1]),
-                    pa.array(extreme[0], from_pandas=True),
-                    pa.array(extreme[1], from_pandas=True),
-                    *[pa.array(total[j]) for j in (2, 3, 4)],
+                    *[pa.array(own.counts[j]) for j in range(4)],
+                    pa.array(own.mean, mask=empty),
+                    pa.array(own.m2, mask=empty),
+                    pa.array(own.lo, from_pandas=True),
+                    pa.array(own.hi, from_pandas=True),
+                    pa.array(own.pairs.astype(np.int64)),
+                    *[pa.array(part, mask=unpaired) for part in (own.xmean, own.ymean, own.xm2, own.ym2, own.cxy)],
                 ],
-                names=["fid", "cls", "rows", "nulls", "zeros", "near_zeros", "s1", "s2", "lo", "hi", "sy", "syy", "sxy"],
+                names=[name.split()[0] for name in _PARTIAL_SCHEMA.split(", ")],
             )
 
     return run

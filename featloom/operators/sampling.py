@@ -14,7 +14,6 @@ from featloom.dataset import Dataset, quoted
 from featloom.operators.ordering import ROWS_PER_BUCKET, with_position
 
 ROW_LIMIT = 100_000
-OLDER_ROW_LIMIT = 10_000
 BALANCED_BELOW = 0.1
 
 _HASH_MIN, _HASH_MAX = -(2**63), 2**63 - 1

@@ -16,10 +16,13 @@ def univariate_scores(ds: Dataset, exprs=None) -> DataFrame:
 
 
 def anova_scores(frame: DataFrame) -> DataFrame:
-    """One-way F from class sizes, means and squared deviations (a few rows per feature)."""
+    """One-way F from class sizes, means and squared deviations (a few rows per feature and class).
+
+    Rows without a class take no part.
+    """
     n = F.col("rows") - F.col("nulls")
     feature = Window.partitionBy("feature")
-    present = frame.filter(n > 0).withColumn("n", n)
+    present = frame.filter((n > 0) & F.col("cls").isNotNull()).withColumn("n", n)
     centred = present.withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(feature) / F.sum("n").over(feature))
     parts = centred.groupBy("feature").agg(
         F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).alias("between"),
@@ -39,10 +42,10 @@ def anova_scores(frame: DataFrame) -> DataFrame:
 
 
 def correlation_scores(frame: DataFrame) -> DataFrame:
-    """r^2 / (1 - r^2) * (n - 2) of every feature with the target."""
-    n = F.col("rows") - F.col("nulls")
-    squared = F.col("cxy") * F.col("cxy") / (F.col("m2") * F.col("ym2"))
-    return frame.filter((F.col("m2") > 0) & (F.col("ym2") > 0) & (n > 2)).select(
+    """r^2 / (1 - r^2) * (n - 2) of every feature with the target, over the rows that have both."""
+    n = F.col("pairs")
+    squared = F.col("cxy") * F.col("cxy") / (F.col("xm2") * F.col("ym2"))
+    return frame.filter((F.col("xm2") > 0) & (F.col("ym2") > 0) & (n > 2)).select(
         "feature",
         F.when(squared < 1, squared / (F.lit(1.0) - squared) * (n - 2)).otherwise(F.lit(float("inf"))).alias("score"),
     )

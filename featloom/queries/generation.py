@@ -14,6 +14,7 @@ from featloom.operators.generate import append, children, fit_operator
 from featloom.operators.moments import base_exprs, moments_frame, stats_of
 from featloom.operators.unary import fit_unary, fourier_weights
 from featloom.operators.univariate import anova_scores, univariate_scores
+from featloom.session import materialise
 from featloom.queries.base import (
     LINE_FEATURES,
     LINE_SQL,
@@ -249,7 +250,7 @@ def ranked_children(spark, sf_dir, size: int = 10):
     ds = ds.spread()
     exprs = base_exprs(ds)
     made = [e for op in OPERATOR_NAMES if op != RBF for e in fit_operator(op, exprs, stats)]
-    frame = moments_frame(ds, made, by_label=True).persist()
+    frame = materialise(moments_frame(ds, made, by_label=True), "scores")
     checked = {e.name for op in (*BINARY, "square") for e in fit_operator(op, exprs, stats)}
     totals = frame.groupBy("feature").agg(
         F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.sum("near_zeros").alias("near"))
@@ -269,6 +270,48 @@ def anova(spark, sf_dir):
     return univariate_scores(ds).select("feature", single(F.col("score")).alias("score"))
 
 
+_SHIFTED = "l_quantity + CASE WHEN l_returnflag = 'R' THEN 1700000000.0 ELSE 0.0 END"
+_WIDE = {**{c: c for c in LINE_FEATURES}, "l_linenumber": "l_linenumber", "shifted": _SHIFTED}
+
+
+@query(
+    "anova_scores_wide",
+    _scores_sql([_long(n, e) for n, e in _WIDE.items()]).replace("l_returnflag FROM lineitem", "l_returnflag, l_linenumber FROM lineitem"),
+)
+def anova_wide(spark, sf_dir):
+    """Seven features, one far from zero in one class only: the per-batch form of the statistics."""
+    ds = labelled_line_items(spark, sf_dir)
+    wide = ds.df.withColumn("shifted", F.expr(_SHIFTED))
+    return univariate_scores(Dataset.of(wide, list(_WIDE), "y")).select("feature", single(F.col("score")).alias("score"))
+
+
+def _missing_label_sql() -> str:
+    parts = []
+    for c in [*LINE_FEATURES[2:], "l_linenumber", "l_quantity", "q2", "d2"]:
+        r = f"corr({c}, y) ** 2 / (1 - corr({c}, y) ** 2) * (count(*) - 2)"
+        parts.append(f"SELECT {text(c)} AS feature, {single_sql(r)} AS score FROM base WHERE y IS NOT NULL AND {c} IS NOT NULL")
+    base = (
+        "SELECT *, l_discount - l_tax AS net, CASE WHEN l_quantity > 5 THEN l_quantity END AS q2, l_discount + l_linenumber AS d2, "
+        "CASE WHEN l_linenumber > 1 THEN l_extendedprice END AS y FROM lineitem"
+    )
+    return f"WITH base AS ({base}) " + " UNION ALL ".join(parts)
+
+
+@query("correlation_scores_missing_label", _missing_label_sql())
+def correlation_missing(spark, sf_dir):
+    """Rows without a label, or without the feature, take no part in that feature's score."""
+    df = load(spark, sf_dir, "lineitem").withColumns(
+        {
+            "net": F.col("l_discount") - F.col("l_tax"),
+            "q2": F.when(F.col("l_quantity") > 5, F.col("l_quantity")),
+            "d2": F.col("l_discount") + F.col("l_linenumber"),
+            "y": F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice")),
+        }
+    )
+    names = [*LINE_FEATURES[2:], "l_linenumber", "l_quantity", "q2", "d2"]
+    return univariate_scores(Dataset.of(df, names, "y", "R")).select("feature", single(F.col("score")).alias("score"))
+
+
 def _correlation_sql() -> str:
     parts = [
         f"SELECT {text(c)} AS feature, {single_sql(f'corr({c}, l_extendedprice) ** 2 / (1 - corr({c}, l_extendedprice) ** 2) * (count(*) - 2)')} AS score FROM base"

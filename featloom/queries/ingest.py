@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from featloom.dataset import Dataset, numeric_columns
+from featloom.dataset import Dataset, numeric_columns, quoted
 from featloom.operators import cleaning, encoding, sampling
 from featloom.operators.folds import FOLD, with_folds
-from featloom.plans.load import LoadOptions, load_frame, preprocess
+from featloom.plans.load import LoadOptions, load_data, load_frame, preprocess
 from featloom.queries.base import load, query, single, single_sql, summary, summary_sql
+from featloom.session import work_dir
 
 
 @query(
@@ -21,6 +24,17 @@ def label_codes(spark, sf_dir):
     return df.groupBy("o_orderstatus", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "label_codes_many",
+    "SELECT o_custkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS DOUBLE) AS code, n "
+    "FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) t",
+)
+def label_codes_many(spark, sf_dir):
+    """A label with as many classes as there are customers: coded by a dictionary join."""
+    df, _ = encoding.encode_label(load(spark, sf_dir, "orders"), "o_custkey", "code")
+    return df.groupBy("o_custkey", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SPARSE = {
     "half": "CASE WHEN p_retailprice < 950 THEN p_size END",
     "some": "CASE WHEN p_size > 10 THEN p_size END",
@@ -228,12 +242,78 @@ def _loaded_sql() -> str:
 
 @query("load_frame", _loaded_sql())
 def loaded(spark, sf_dir):
-    """All loading steps: encode, impute, clean; every row is kept here."""
+    """All loading steps with their defaults: encode, impute, clean; every row is kept."""
     df = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    ds = load_frame(df, "o_orderstatus", "C", "o_orderkey", LoadOptions(row_limit=10**15))
+    ds = load_frame(df, "o_orderstatus", "C", "o_orderkey")
     return summary(ds)
 
 
+def _csv_orders(spark, sf_dir) -> str:
+    """The orders as a folder of CSV files, written from the given table; the label comes last."""
+    path = f"{work_dir(spark)}/featloom/orders-{uuid.uuid4().hex}.csv"
+    columns = ["o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+    load(spark, sf_dir, "orders").select(*columns).write.option("header", True).csv(path)
+    return path
+
+
+@query("load_csv", _loaded_sql())
+def loaded_csv(spark, sf_dir):
+    """CSV scan with inferred types, then all loading steps."""
+    return summary(load_data(spark, _csv_orders(spark, sf_dir)))
+
+
+@query(
+    "load_csv_older",
+    "WITH s AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) "
+    "SELECT CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS DOUBLE) AS o_orderstatus, (SELECT max(n) FROM s) AS n, "
+    "(SELECT count(DISTINCT o_orderpriority) + 2 FROM orders) AS features, 0::BIGINT AS wrong FROM s",
+)
+def loaded_csv_older(spark, sf_dir):
+    """The older order: every class at the size of the largest, then text columns encoded.
+
+    ``wrong`` counts rows whose indicators and count encoding do not agree with each other.
+    """
+    ds = load_data(spark, _csv_orders(spark, sf_dir), options=LoadOptions(order="older"))
+    indicators = [ds.value(n) for n in ds.names if n.startswith("o_orderpriority_") and n != "o_orderpriority_kterm"]
+    kterm = ds.value("o_orderpriority_kterm")
+    coded = sum((F.when(c == 1, F.lit(i + 1)) .otherwise(0) for i, c in enumerate(indicators)), F.lit(0))
+    pairs = ds.df.select(quoted(ds.label).alias("o_orderstatus"), coded.alias("value"), kterm.alias("kterm"))
+    sizes = pairs.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
+    judged = pairs.join(sizes, "value")
+    return judged.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.lit(len(ds.names)).cast("long").alias("features"),
+        F.count_if(F.col("kterm") != F.col("size")).alias("wrong"),
+    )
+
+
+def _mixed_sql() -> str:
+    source = (
+        "raw AS (SELECT CAST(o_totalprice AS DECIMAL(14,2)) AS price, CAST(o_custkey % 100 AS SMALLINT) AS small, "
+        "o_totalprice > 150000 AS high, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), "
+        "base AS (SELECT *, count(*) OVER (PARTITION BY high) AS high_kterm, count(*) OVER (PARTITION BY day) AS day_kterm, "
+        "dense_rank() OVER (ORDER BY day) - 1 AS day_code FROM raw)"
+    )
+    items = [("price", "price"), ("small", "small"), ("high_kterm", "high_kterm"), ("day_kterm", "day_kterm"),
+             ("high_true", "CASE WHEN high THEN 1 ELSE 0 END"), ("day", "day_code")]
+    kept = "count_if(x = 0) < 0.8 * count(*) AND min(x) < max(x)"
+    return summary_sql(source, [(n, f"CAST(CAST({e} AS DOUBLE) AS FLOAT)", kept) for n, e in items])
+
+
+@query("load_mixed_types", _mixed_sql())
+def loaded_mixed(spark, sf_dir):
+    """Fixed-point, short, boolean and date columns all reach the loaded table."""
+    df = load(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_totalprice").cast("decimal(14,2)").alias("price"),
+        (F.col("o_custkey") % 100).cast("short").alias("small"),
+        (F.col("o_totalprice") > 150000).alias("high"),
+        F.to_date("o_orderdate").alias("day"),
+        "o_orderstatus",
+    )
+    return summary(load_frame(df, "o_orderstatus", "C", "o_orderkey"))
+
+
 @query(
     "subsample",
     "SELECT least(count(*), 10000)::BIGINT AS n, least(count(*), 10000)::BIGINT AS ids, 0::BIGINT AS unknown FROM orders",

@@ -8,12 +8,12 @@ from featloom.functions.scalar import BINARY, OPERATOR_NAMES, OPTIONAL_UNARY, UN
 from featloom.operators.expr import Binary, Ref, Unary, canonical_key, distinct_exprs, operator_count, read_name, refs, to_array, to_column
 
 NAMES = [
-    (["oz1", "oz2"], "(oz2_sin_exp+oz1)"),
-    (["oz4"], "oz4_negative_zscore_radian"),
-    (["oz1", "oz2"], "((oz2_mmnorm+oz2)*oz1_mmnorm_adde)"),
-    (["223122_s_at", "201744_s_at", "210809_s_at"], "((223122_s_at_sigmoid/201744_s_at)_zscore-210809_s_at)"),
-    (["F7S", "F10S", "F17R", "F20S"], "((F7S+F10S)_square*((F17R*F20S)/(F7S+F10S)))"),
-    (["33.6", "0.627"], "(0.627/33.6)_recip"),
+    (["u1", "u2"], "(u2_sin_exp+u1)"),
+    (["u4"], "u4_negative_zscore_radian"),
+    (["u1", "u2"], "((u2_mmnorm+u2)*u1_mmnorm_adde)"),
+    (["9a_b", "8c_d", "7e_f"], "((9a_b_sigmoid/8c_d)_zscore-7e_f)"),
+    (["K1", "K2", "K3", "K4"], "((K1+K2)_square*((K3*K4)/(K1+K2)))"),
+    (["4.25", "1.5"], "(1.5/4.25)_recip"),
 ]
 
 
