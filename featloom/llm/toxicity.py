@@ -35,7 +35,8 @@ SHARDS = 4
 # Lengths of word beginnings that are features beside the words themselves.
 BEGINNINGS = (3, 4, 5, 6)
 # A feature is used from this share of the positive texts on, if it is clearly more frequent there than
-# among unlabelled texts; the most frequent ones first.
+# among unlabelled texts: so many times, or half as often as a feature of positive texts alone would be,
+# which is one by the class prior; the most frequent ones first.
 LEAST_SHARE = 0.005
 LEAST_TEXTS = 4
 LEAST_LIFT = 4.0
@@ -103,7 +104,7 @@ def training_rows(rows: DataFrame, labels: DataFrame, max_positive: int, max_unl
     return materialise(usable.join(chosen, "id").select("id", "text", "positive"), "toxicity-training")
 
 
-def vocabulary(training: DataFrame, least_share: float = LEAST_SHARE, most: int = MAX_FEATURES) -> list[str]:
+def vocabulary(training: DataFrame, prior: float, least_share: float = LEAST_SHARE, most: int = MAX_FEATURES) -> list[str]:
     """Features of many positive texts that stand out against the unlabelled ones."""
     totals = {row["positive"]: row["count"] for row in training.groupBy("positive").count().collect()}
     n_positive, n_unlabelled = totals.get(1, 0), totals.get(0, 0)
@@ -113,7 +114,7 @@ def vocabulary(training: DataFrame, least_share: float = LEAST_SHARE, most: int
     counted = training.select("positive", words.alias("words")).select("positive", features).groupBy("feature")
     counts = counted.agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
     # Two standard deviations below the count, so that chance does not make a rare feature stand out.
-    sure = (F.col("p") - 2 * F.sqrt("p")) / max(1, n_positive) >= LEAST_LIFT * F.col("u") / max(1, n_unlabelled)
+    sure = (F.col("p") - 2 * F.sqrt("p")) / max(1, n_positive) >= min(LEAST_LIFT, 0.5 / prior) * F.col("u") / max(1, n_unlabelled)
     frequent = F.col("p") >= max(LEAST_TEXTS, int(least_share * n_positive))
     return [row["feature"] for row in counts.where(frequent & sure).orderBy(F.desc("p"), "feature").limit(most).collect()]
 
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     rows = texts(docs).withColumnRenamed("doc_id", "id")
     prior = class_prior(label_rows(labels))
     training = training_rows(rows, labels, max_positive, max_unlabelled) if prior else None
-    features = vocabulary(training) if prior else []
+    features = vocabulary(training, prior) if prior else []
     if not features:
         return Classifier({}, -30.0)
     place = {feature: i for i, feature in enumerate(features)}
