@@ -79,7 +79,8 @@ class Runs:
         self.first, self.anchor = start[edges], anchor[edges]
         self.last = start[np.append(edges[1:], len(start)) - 1] if len(edges) else edges
         self.row = row[self.first]
-        key = hashes[self.anchor] >> np.uint64(64 - width)
+        # Anchors are small hashes by choice; mixed once more they spread evenly over the buckets.
+        key = mixed(hashes[self.anchor]) >> np.uint64(64 - width)
         order = np.argsort(key, kind="stable")
         self.first, self.last, self.anchor, self.row, self.key = (a[order] for a in (self.first, self.last, self.anchor, self.row, key))
         self.edges = np.flatnonzero(np.diff(self.key, prepend=~self.key[:1]) != 0) if len(key) else np.zeros(0, np.int64)
