@@ -116,15 +116,16 @@ class Dataset:
         return replace(self, df=self.df.withColumns({f.column: as_double(quoted(f.column)) for f in self.features}), plain=True)
 
     def spread(self) -> Dataset:
-        """Deal the rows to all cores when the table has fewer files than there are cores.
+        """Deal the rows to tasks by their content alone, in an order that follows from it too.
 
-        Meant for work that costs far more than a scan. A table of many files is left as it is,
-        and so is one with too few rows to be worth a task per core.
+        Seeded fits draw per partition. Here partitions and their order depend on the rows, not on
+        files, cores or earlier plans, so a model is the same on every cluster.
         """
-        cores = self.spark.sparkContext.defaultParallelism
-        if not 0 < len(self.df.inputFiles()) < cores or self.df.count() < SPREAD_ROWS:
-            return self
-        return replace(self, df=self.df.repartition(cores))
+        parts = max(1, -(-self.df.count() // SPREAD_ROWS))
+        keys = [self.row_id] if self.row_id else self.df.columns
+        dealt = self.df.withColumn("__dealt", F.xxhash64(*[quoted(c) for c in keys]))
+        order = ["__dealt", *([quoted(self.row_id)] if self.row_id else [])]
+        return replace(self, df=dealt.repartition(parts, "__dealt").sortWithinPartitions(*order).drop("__dealt"))
 
     def keep(self, names: Sequence[str]) -> Dataset:
         """Only these features, in the table's own order."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -65,9 +65,27 @@ class FourierMap:
         return np.sqrt(2.0 / len(self.bias)) * np.cos((x - self.means) / self.scales @ self.weights + self.bias)
 
 
+def fitted_means(ds: Dataset) -> dict[str, float]:
+    """Mean of the finite values of every feature; 0 where there is none."""
+    stats = stats_of(ds.with_df(ds.df.withColumns(_finite_values(ds))))
+    return {n: 0.0 if np.isnan(s.mean) else s.mean for n, s in stats.items()}
+
+
+def _finite_values(ds: Dataset) -> dict[str, Column]:
+    return {f.column: F.when(F.abs(ds.value(f.name)) != float("inf"), ds.value(f.name)) for f in ds.features}
+
+
+def filled_forward(ds: Dataset, means: Mapping[str, float]) -> Dataset:
+    """No gap left: :func:`complete_rows_forward`, then the fitted mean where no row before has a value."""
+    done = complete_rows_forward(ds)
+    if done is ds:
+        return ds
+    return done.with_df(done.df.withColumns({f.column: F.coalesce(quoted(f.column), F.lit(means[f.name])) for f in done.features}))
+
+
 def complete_rows_forward(ds: Dataset) -> Dataset:
     """Infinity as missing, missing values from the last row before that has one."""
-    finite = {f.column: F.when(F.abs(ds.value(f.name)) != float("inf"), ds.value(f.name)) for f in ds.features}
+    finite = _finite_values(ds)
     stats = stats_of(ds)
     if not any(s.nulls or not np.isfinite(s.lo) or not np.isfinite(s.hi) for s in stats.values()):
         return ds
@@ -96,11 +114,12 @@ class StackResidual:
     seed: int = 0
 
     def fit(self, ds: Dataset) -> FittedStack:
-        ds = complete_rows_forward(ds).spread()
+        means = fitted_means(ds)
+        ds = filled_forward(ds, means).spread()
         classes = len(class_values(ds.df, ds.label)) if self.task == CLASSIFICATION else 0
         map1 = FourierMap.fit(ds, seed=self.seed, mixed=self.mixed) if self.kernel else None
         first = _fit_model(self.estimator(classes), _inputs(ds, map1), as_double(quoted(ds.label)))
-        stage = FittedStack(self, map1, first, None, None)
+        stage = FittedStack(self, map1, first, None, None, means)
         predicted = stage.predict(ds, f"__{self.name}_pred")
         column = quoted(f"__{self.name}_pred")
         label = as_double(quoted(ds.label))
@@ -114,7 +133,7 @@ class StackResidual:
             target = label - column
         map2 = FourierMap.fit(predicted, seed=self.seed + 1, mixed=self.mixed) if self.kernel else None
         second = _fit_model(self.estimator(2 if classes else 0), _inputs(predicted, map2), target)
-        return FittedStack(self, map1, first, map2, second)
+        return FittedStack(self, map1, first, map2, second, means)
 
 
 @dataclass(frozen=True)
@@ -124,13 +143,14 @@ class FittedStack:
     first: object
     map2: FourierMap | None
     second: object | None
+    means: Mapping[str, float]
 
     def predict(self, ds: Dataset, column: str) -> Dataset:
         df = _apply_model(self.first, _inputs(ds, self.map1), column)
         return Dataset(df, (*ds.features, Feature(f"{self.spec.name}_pred", column)), ds.label, ds.task, ds.row_id)
 
     def transform(self, ds: Dataset) -> Dataset:
-        done = self.predict(ds, f"__{self.spec.name}_pred")
+        done = self.predict(filled_forward(ds, self.means), f"__{self.spec.name}_pred")
         if self.second is None:
             return done
         column = f"__{self.spec.name}_pred_diff"

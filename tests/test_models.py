@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,23 @@ def test_missing_inputs_are_filled_forward(spark):
     df = spark.createDataFrame([(1, 7.0), (2, None), (3, float("inf")), (4, 9.0)], "id long, v double")
     out = M.complete_rows_forward(Dataset.of(df, ["v"], row_id="id"))
     assert [r["v"] for r in out.df.orderBy("id").collect()] == [7.0, 7.0, 7.0, 9.0]
+
+
+def test_stacks_apply_to_rows_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, 300)
+    rows = [(i, None if i == 0 or i % 11 == 0 else float(v), float(3 * v + 1)) for i, v in enumerate(x)]
+    ds = Dataset.of(spark.createDataFrame(rows, "id long, x double, y double").repartition(3), ["x"], "y", "R", "id")
+    made = M.linear_regression().fit(ds).transform(ds)
+    got = made.df.select("id", made.value("x").alias("x"), made.value("linear_pred").alias("p")).orderBy("id").toPandas()
+    filled = pd.Series([r[1] for r in rows], dtype=float).ffill().fillna(np.nanmean([r[1] for r in rows if r[1] is not None]))
+    assert np.allclose(got["x"], filled) and got["p"].notna().all()
+    slope, level = np.polyfit(filled, [r[2] for r in rows], 1)
+    assert np.allclose(got["p"], slope * filled + level, atol=1e-4)
+
+
+def test_fits_do_not_follow_the_partitioning(spark):
+    df = spark.range(3000).select("id", *[F.rand(i).alias(f"x{i}") for i in range(3)]).withColumn("y", (F.col("x1") > 0.6).cast("double"))
+    df = spark.createDataFrame(df.toPandas())
+    found = [selection.forest_importances(Dataset.of(df.repartition(n), ["x0", "x1", "x2"], "y", "C", "id"), trees=5) for n in (2, 5)]
+    assert found[0] == found[1]
