@@ -18,6 +18,7 @@ from featloom.dataset import quoted
 from featloom.session import materialise
 
 ROWS_PER_BUCKET = 2_000_000
+# Buckets whose cut points are literals of the plan.
 MAX_BUCKETS = 4096
 SMALL_DICTIONARY = 100_000
 HOT_KEYS = 1000
@@ -28,7 +29,11 @@ _BUCKET = "__bucket"
 def with_bucket(df: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> DataFrame:
     """Add ``__bucket``, non-decreasing in the numeric column ``order``."""
     rows = df.count() if rows is None else rows
-    buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket))
+    buckets = -(-rows // rows_per_bucket)
+    if buckets > MAX_BUCKETS:
+        # Too many cut points for the driver and the plan: ranges, fixed by writing them.
+        ranged = df.repartitionByRange(buckets, quoted(order)).withColumn(_BUCKET, F.spark_partition_id())
+        return materialise(ranged, "ranges")
     if buckets <= 1:
         return df.withColumn(_BUCKET, F.lit(0))
     points = df.select(quoted(order).cast("double").alias("o")).approxQuantile(
@@ -63,7 +68,7 @@ def with_position(
     keys = list(by)
     amount = F.lit(1).cast("long") if weight is None else quoted(weight).cast("long")
     sizes = bucketed.groupBy(*keys, _BUCKET).agg(F.sum(amount).alias("__n"))
-    # One row per (group, bucket), at most MAX_BUCKETS per group.
+    # One row per (group, bucket).
     carried = Window.partitionBy(*keys).orderBy(_BUCKET)
     offsets = sizes.select(
         *[quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)],

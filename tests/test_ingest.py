@@ -163,7 +163,9 @@ def test_sorted_codes_over_many_parts(spark):
     assert (codes["code"].to_numpy() == np.arange(1000)).all()
 
 
-def test_positions_and_fill_over_many_buckets(spark):
+@pytest.mark.parametrize("literal_buckets", [4096, 5])
+def test_positions_and_fill_over_many_buckets(spark, monkeypatch, literal_buckets):
+    monkeypatch.setattr(ordering, "MAX_BUCKETS", literal_buckets)
     rng = np.random.default_rng(2)
     n = 4000
     pdf = pd.DataFrame({"id": rng.permutation(n) * 3 - 1000, "g": rng.choice(["a", "b", None], n, p=[0.7, 0.2, 0.1]),
