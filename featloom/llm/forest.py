@@ -404,8 +404,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialise(both.select("a", "b", "one", "two").mapInArrow(run, PAIRS), "links")
 
 
-def links(rows: DataFrame, classes: DataFrame, length: int, similarity: float) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough of them to connect all that are connected."""
+def linked(rows: DataFrame, classes: DataFrame, length: int, similarity: float) -> DataFrame:
+    """(node, component) of the classes that have a link."""
     groups, stars = grouped(classes)
     groups = materialise(groups.join(short_signatures(classes), "node"), "tree-groups")
     proposed = candidate_pairs(groups.withColumn("label", F.col("node")), similarity, cover=True).drop("dense")
@@ -421,7 +421,21 @@ def links(rows: DataFrame, classes: DataFrame, length: int, similarity: float) -
     apart = materialise(candidate_pairs(labelled, similarity, cover=False), "pairs")
     single = apart.where("NOT dense").drop("dense").join(proposed, ["a", "b"], "left_anti")
     dense = labelled.join(apart.where("dense").select(F.col("a").alias("key")), "key", "left_semi").select("key", "node", "label").join(sets, "node")
-    return first.unionByName(confirmed(single, sets, similarity)).unionByName(materialise(dense_links(dense, similarity), "links"))
+    more = confirmed(single, sets, similarity).unionByName(dense_links(dense, similarity))
+    return joined_components(member, materialise(more, "links"))
+
+
+def joined_components(member: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of the first round, put together by the links of the second.
+
+    Only components that a new link touches are worked on again.
+    """
+    label = lambda side: member.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    met = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    upper = components(met.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    above = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = member.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return known.unionByName(upper.join(member.select("node"), "node", "left_anti").select("node", "component"))
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -440,7 +454,7 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, similarity: float =
     grouped_sets = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("group_size"), F.first("signature").alias("signature"))
     classes = materialise(grouped_sets.select(F.col("first.doc_id").alias("node"), F.col("first.text_key").alias("text_key"), "digest", "group_size", "signature"), "classes")
     single = classes.groupBy("node").agg(F.min(F.struct("text_key", "signature")).alias("one"))
-    member = components(links(rows, single.select("node", "one.text_key", "one.signature"), length, similarity))
+    member = linked(rows, single.select("node", "one.text_key", "one.signature"), length, similarity)
     groups = classes.join(member, "node", "left").select("digest", F.coalesce("component", "node").alias("keep_id"), "group_size")
     groups = materialise(groups, "near-groups")
     columns = ["doc_id", "text_key", "n_shingles"]
