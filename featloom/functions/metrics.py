@@ -38,12 +38,13 @@ def weighted_f1(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def relative_absolute_error(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum of absolute errors over the sum of absolute deviations from the group's mean.
 
-    ``by`` names low-cardinality columns such as the fold; their means travel as one small row each.
+    ``by`` names columns such as the fold. The table of their means is broadcast only if the optimizer
+    finds it small enough.
     """
     y, p = quoted(label), quoted(prediction)
     means = df.groupBy(*by).agg(F.avg(y).alias("__mean"))
     if by:
-        joined = df.join(F.broadcast(means), list(by))
+        joined = df.join(means, list(by))
     else:
         joined = df.withColumn("__mean", F.lit(means.collect()[0]["__mean"]))
     return joined.groupBy(*by).agg((F.sum(F.abs(y - p)) / F.sum(F.abs(y - F.col("__mean")))).alias("rae"))
