@@ -11,6 +11,10 @@ looks at every likely pair of a group whose two texts the confirmed links have n
 so that no link is lost by the cover. Where a group has few such pairs they are proposed one by one;
 where it has many, the sets of its texts come to the group, and only links that join two components
 leave it. What moves thus grows with the members of the groups, not with their pairs.
+
+Longer prefixes only bring a dense region together early; they may part texts that are alike. So a group
+that was split is also compared whole: its texts outside its largest component, with one another and with
+that component, in pairs of blocks that fit a task.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ SIMILARITY = 0.8
 TREES = 24
 LEADING = 4
 VALUES = TREES * LEADING
-# Members of a group that one task compares; beyond it the prefix grows.
+# Members of a group that one task compares; beyond it the prefix grows, and blocks of half as many meet in pairs.
 GROUP = 4096
 DEPTHS = (8, 16, 32, 64, VALUES)
 # Groups up to this size are compared pair by pair without a cover.
@@ -151,15 +155,16 @@ def prefix(values: np.ndarray, tree: int, first: int, last: int) -> np.ndarray:
     return found.view(np.int64)
 
 
-def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, node) of all groups of two or more that fit a task, and pairs of those that never do.
+def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, node) of all groups of two or more that fit a task, pairs of those that never do, and the split groups.
 
     A group beyond the limit is split by longer prefixes of its tree's order. Texts that agree on the
-    whole signature and are still too many are paired with the smallest of them.
+    whole signature and are still too many are paired with the smallest of them. The third table has the
+    (key, node) rows of the groups as they were before the first split.
     """
     rows = materialise(tree_rows(classes), "tree-rows")
     found, stars = [], classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    depth = LEADING
+    depth, split = LEADING, classes.select(F.col("node").alias("key"), "node").where("false")
     for deeper in (*DEPTHS, None):
         sizes = materialise(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1"), "tree-sizes")
         met = rows.join(sizes.where(F.col("size") <= GROUP).select("tree", "key"), ["tree", "key"])
@@ -167,7 +172,10 @@ def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = sizes.where(F.col("size") > GROUP)
         if large.isEmpty():
             break
-        kept = rows.join(large, ["tree", "key"])
+        # Large groups are few: no more than trees times nodes over the limit.
+        kept = rows.join(F.broadcast(large), ["tree", "key"])
+        if depth == LEADING:
+            split = materialise(kept.select("key", "node"), "split-groups")
         if deeper is None:
             stars = kept.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
             break
@@ -176,7 +184,29 @@ def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every, stars
+    return every, stars, split
+
+
+def blocked(split: DataFrame, member: DataFrame, block: int) -> DataFrame:
+    """(key, node, label) of the split groups as groups of two blocks at most, each with a key of its own.
+
+    Every pair of texts of one group and different labels meets in a block or in a pair of blocks. Texts
+    of the group's largest label are not paired with one another; a group of one label is left out.
+    """
+    labelled = split.join(member, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    labelled = materialise(labelled, "split-labels")
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    groups = groups.where("size > top.n").select("key", F.col("top.label").alias("main"), blocks(F.col("size") - F.col("top.n")).alias("outer"), blocks(F.col("top.n")).alias("inner"))
+    met = labelled.join(F.broadcast(materialise(groups, "split-sizes")), "key")
+    inside = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("node", "key"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    # Blocks of the largest label are numbered behind the others.
+    placed = met.withColumn("own", F.when(inside, F.col("outer") + own).otherwise(own))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    paired = placed.withColumn("other", F.explode(others)).where("other <> own")
+    return paired.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "label")
 
 
 def deepened(rows: DataFrame, first: int, last: int) -> DataFrame:
@@ -406,23 +436,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def linked(rows: DataFrame, classes: DataFrame, length: int, similarity: float) -> DataFrame:
     """(node, component) of the classes that have a link."""
-    groups, stars = grouped(classes)
-    groups = materialise(groups.join(short_signatures(classes), "node"), "tree-groups")
+    groups, stars, split = grouped(classes)
+    short = short_signatures(classes)
+    groups = materialise(groups.join(short, "node"), "tree-groups")
     proposed = candidate_pairs(groups.withColumn("label", F.col("node")), similarity, cover=True).drop("dense")
     proposed = materialise(proposed.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
     # Texts of the classes that share a group: the sets of no other are ever needed.
-    wanted = groups.select("node").distinct()
+    wanted = groups.select("node").unionByName(split.select("node")).distinct()
     keyed = classes.join(wanted, "node", "left_semi").select(F.col("node").alias("doc_id"), "text_key", "node")
     texts_of = rows.withColumn("text_key", F.xxhash64("text")).join(keyed, ["doc_id", "text_key"]).select("node", "text")
     sets = materialise(shingle_sets(texts_of.dropDuplicates(["node"]), length), "sets")
     first = confirmed(proposed, sets, similarity)
     member = components(first)
     labelled = groups.join(member, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    member = joined_components(member, links_between(labelled, sets, similarity, proposed))
+    if split.isEmpty():
+        return member
+    member = materialise(member, "components")
+    pairs = materialise(blocked(split, member, GROUP // 2), "split-blocks")
+    return joined_components(member, links_between(materialise(pairs.join(short, "node"), "split-groups"), sets, similarity, proposed))
+
+
+def links_between(labelled: DataFrame, sets: DataFrame, similarity: float, known: DataFrame) -> DataFrame:
+    """Links of texts of different labels in (key, node, label, short) groups; ``known`` pairs are not looked at again."""
     apart = materialise(candidate_pairs(labelled, similarity, cover=False), "pairs")
-    single = apart.where("NOT dense").drop("dense").join(proposed, ["a", "b"], "left_anti")
+    single = apart.where("NOT dense").drop("dense").join(known, ["a", "b"], "left_anti")
     dense = labelled.join(apart.where("dense").select(F.col("a").alias("key")), "key", "left_semi").select("key", "node", "label").join(sets, "node")
-    more = confirmed(single, sets, similarity).unionByName(dense_links(dense, similarity))
-    return joined_components(member, materialise(more, "links"))
+    return materialise(confirmed(single, sets, similarity).unionByName(dense_links(dense, similarity)), "links")
 
 
 def joined_components(member: DataFrame, links: DataFrame) -> DataFrame:
