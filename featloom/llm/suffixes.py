@@ -8,6 +8,10 @@ anchor occurs once in the corpus leaves before any byte of it is moved. One anch
 35 neighbouring suffixes; round one asks which anchors occur again. Round two sends, for those, the
 bytes of each distinct run once per chunk to the anchor's bucket, where the passes over the remaining
 digits run, eight bytes at a time.
+
+An anchor with more runs than a task should sort is hot: its suffixes are dealt by a hash of all their 100
+bytes instead. One round asks which hashes occur again; for those a second one sends each distinct string
+once per chunk, with its earliest place, to the hash's bucket, which compares the bytes.
 """
 
 from __future__ import annotations
@@ -36,6 +40,11 @@ WIDTH = 2 * LENGTH - GRAM
 SPARE_BITS = 12
 # Suffixes that a pass sorts at a time, about.
 SORTED_AT_ONCE = 2_000_000
+# Runs with one anchor that meet in its bucket; with more the anchor is hot.
+HOT_RUNS = SORTED_AT_ONCE // (LENGTH - GRAM + 1)
+STRING_BITS = 63
+# What a reply tells of: cold anchors that occur again, their runs, hot anchors, hashes of their strings, strings.
+ANCHORS, RUNS, HOT, AGAIN, STRINGS = 1, 2, 3, 4, 5
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, left_bytes binary, spans array<struct<start: long, stop: long>>"
 COUNTS = [(name, pa.int64()) for name in ("doc_id", "n_bytes", "n_removed", "n_spans")]
 RESULT_KINDS = pa.schema([*COUNTS, ("left_bytes", pa.binary()), ("spans", SPAN)])
@@ -121,6 +130,55 @@ class Entries:
         self.suffixes = self.content[:, 1].astype(np.int64) - LENGTH + 1
 
 
+class Strings:
+    """Distinct 100-byte strings of the runs with a hot anchor, in order of their hash, each with its earliest place.
+
+    ``start`` has every suffix, ``of`` its string; ``later`` tells suffixes that lie behind their string's place.
+    """
+
+    def __init__(self, runs: Runs, hot: np.ndarray):
+        given, pick = runs.given, np.flatnonzero(np.repeat(hot, runs.sizes()))
+        count = runs.last[pick] - runs.first[pick] + 1
+        start = np.repeat(runs.first[pick], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        row = np.repeat(runs.row[pick], count)
+        ids, place, key = given.doc_id[row], start - given.starts[row], string_hashes(given.data, start)
+        order = np.lexsort((place, ids, key))
+        self.start, ids, place, key = start[order], ids[order], place[order], key[order]
+        self.keys, first, self.counts = np.unique(key, return_index=True, return_counts=True)
+        head = np.repeat(first, self.counts)
+        # Strings that share a hash with another one of the chunk stay apart.
+        every = np.arange(len(key))
+        head = np.where(equal_strings(given.data, self.start, self.start[head]), head, every)
+        self.of = (np.cumsum(head == every) - 1)[head]
+        self.later = (ids != ids[head]) | (place != place[head])
+        own = np.flatnonzero(head == every)
+        self.key, self.ids, self.place, self.at = key[own], ids[own], place[own], self.start[own]
+
+    def again(self, bits: int, replies: pa.Table) -> np.ndarray:
+        """The strings whose hash occurs a second time."""
+        found = flags(self.keys, bits, STRING_BITS, C.bits_of(replies, AGAIN))
+        return np.flatnonzero(found[np.searchsorted(self.keys, self.key)])
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of the 100 bytes at every start, from the grams that cover them."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    grams, found = gram_hashes(data), np.zeros(len(start), np.uint64)
+    for at in [*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM]:
+        found = mixed(found * MULTIPLIER + grams[start + at])
+    return found >> np.uint64(64 - STRING_BITS)
+
+
+def equal_strings(data: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    found, reach = one == two, np.arange(LENGTH)
+    open_ = np.flatnonzero(~found)
+    for at in range(0, len(open_), 20_000):
+        part = open_[at : at + 20_000]
+        found[part] = (data[one[part, None] + reach] == data[two[part, None] + reach]).all(axis=1)
+    return found
+
+
 def key_width(total: int) -> int:
     return int(min(63, np.ceil(np.log2(max(2.0, total * DENSITY))) + SPARE_BITS))
 
@@ -128,38 +186,96 @@ def key_width(total: int) -> int:
 def anchor_requests(bits: int, width: int):
     def request(given: C.Texts, _: pa.Table) -> pa.Table:
         runs = Runs(given, width)
-        keys, again = runs.key[runs.edges], runs.sizes() > 1
-        rows = []
-        for bucket, first, last in C.cut_points(keys, bits, width):
-            rows.append((bucket, given.chunk, C.joined([C.packed(C.differences(keys[first:last])), C.as_bits(again[first:last])])))
+        return key_requests(given.chunk, runs.key[runs.edges], runs.sizes(), bits, width)
+
+    return request
+
+
+def key_requests(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int) -> pa.Table:
+    """How often each of the ascending keys occurs in the chunk."""
+    rows, counts = [], counts.astype(np.uint32)
+    for bucket, first, last in C.cut_points(keys, bits, width):
+        rows.append((bucket, chunk, C.joined([C.packed(C.differences(keys[first:last])), C.packed(counts[first:last])])))
+    return C.request_table(rows)
+
+
+def answer_keys(kind: int, hot_runs: int | None = None):
+    """Flags the keys that occur a second time, in one chunk or two; those that occur too often are hot instead."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        bucket, table = table["bucket"][0].as_py(), table.sort_by("chunk")
+        fields = [C.parted(raw) for raw in table["payload"].to_pylist()]
+        keys = [C.sums(C.unpacked(steps, np.uint64)) for steps, _ in fields]
+        counts = np.concatenate([C.unpacked(raw, np.uint32) for _, raw in fields]).astype(np.int64)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        edges = np.flatnonzero(np.diff(every[order], prepend=~every[order][:1]) != 0)
+        total = np.empty(len(every), np.int64)
+        total[order] = np.repeat(np.add.reduceat(counts[order], edges), np.diff(edges, append=len(order)))
+        hot = total > hot_runs if hot_runs is not None else np.zeros(len(total), bool)
+        reply = lambda kind, flagged: C.split_replies(table["chunk"].to_pylist(), bucket, kind, flagged, [len(k) for k in keys])
+        return pa.concat_tables([reply(kind, (total > 1) & ~hot), reply(HOT, hot)])
+
+    return answer
+
+
+def hot_strings(runs: Runs, bits: int, width: int, replies: pa.Table) -> Strings:
+    return Strings(runs, flags(runs.key[runs.edges], bits, width, C.bits_of(replies, HOT)))
+
+
+def hash_requests(bits: int, width: int, hot_bits: int):
+    def request(given: C.Texts, replies: pa.Table) -> pa.Table:
+        found = hot_strings(Runs(given, width), bits, width, replies)
+        return key_requests(given.chunk, found.keys, found.counts, hot_bits, STRING_BITS)
+
+    return request
+
+
+def string_requests(bits: int, width: int, hot_bits: int):
+    def request(given: C.Texts, replies: pa.Table) -> pa.Table:
+        found = hot_strings(Runs(given, width), bits, width, replies)
+        sent, rows = found.again(hot_bits, replies), []
+        for bucket, first, last in C.cut_points(found.key[sent], hot_bits, STRING_BITS):
+            part = sent[first:last]
+            raw = zstandard.ZstdCompressor(level=3).compress(given.data[found.at[part, None] + np.arange(LENGTH)].tobytes())
+            rows.append((bucket, given.chunk, C.joined([C.packed(found.ids[part]), C.packed(found.place[part]), raw])))
         return C.request_table(rows)
 
     return request
 
 
-def answer_anchors(table: pa.Table) -> pa.Table:
-    """Flags the keys that occur a second time, in one chunk or two."""
+def answer_strings(table: pa.Table) -> pa.Table:
+    """Flags every sent string that also starts earlier."""
     bucket, table = table["bucket"][0].as_py(), table.sort_by("chunk")
     fields = [C.parted(raw) for raw in table["payload"].to_pylist()]
-    keys = [C.sums(C.unpacked(steps, np.uint64)) for steps, _ in fields]
-    again = np.concatenate([C.marks(raw, len(own)) for (_, raw), own in zip(fields, keys)])
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    edges = np.flatnonzero(np.diff(every[order], prepend=~every[order][:1]) != 0)
-    count = np.diff(edges, append=len(order))
-    flagged = np.empty(len(every), bool)
-    flagged[order] = np.repeat((count > 1) | np.logical_or.reduceat(again[order], edges), count)
-    return C.split_replies(table["chunk"].to_pylist(), bucket, 1, flagged, [len(k) for k in keys])
+    sizes = [len(C.unpacked(f[0], np.int64)) for f in fields]
+    ids, place = (np.concatenate([C.unpacked(f[i], np.int64) for f in fields]) for i in (0, 1))
+    data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(f[2]) for f in fields), f"V{LENGTH}")
+    _, same = np.unique(data, return_inverse=True)
+    order = np.lexsort((place, ids, same))
+    new = np.flatnonzero(np.diff(same[order], prepend=-1))
+    head = np.empty(len(order), np.int64)
+    head[order] = np.repeat(order[new], np.diff(new, append=len(order)))
+    return C.split_replies(table["chunk"].to_pylist(), bucket, STRINGS, (ids != ids[head]) | (place != place[head]), sizes)
+
 
+def hot_starts(given: C.Texts, runs: Runs, bits: int, width: int, hot_bits: int, replies: pa.Table) -> np.ndarray:
+    """The suffixes under hot anchors whose 100 bytes also start earlier."""
+    found = hot_strings(runs, bits, width, replies)
+    sent, bits_of = found.again(hot_bits, replies), C.bits_of(replies, STRINGS)
+    marked = np.zeros(len(found.key), bool)
+    for bucket, first, last in C.cut_points(found.key[sent], hot_bits, STRING_BITS):
+        marked[sent[first:last]] = C.marks(bits_of.get(bucket), last - first)
+    return found.start[found.later | marked[found.of]]
 
-def flagged_entries(given: C.Texts, bits: int, width: int, replies: pa.Table) -> Entries:
-    runs = Runs(given, width)
-    return Entries(runs, flags(runs.key[runs.edges], bits, width, C.bits_of(replies, 1)))
+
+def flagged_entries(runs: Runs, bits: int, width: int, replies: pa.Table) -> Entries:
+    return Entries(runs, flags(runs.key[runs.edges], bits, width, C.bits_of(replies, ANCHORS)))
 
 
 def run_requests(bits: int, width: int):
     def request(given: C.Texts, replies: pa.Table) -> pa.Table:
-        found = flagged_entries(given, bits, width, replies)
+        found = flagged_entries(Runs(given, width), bits, width, replies)
         rows = []
         for bucket, first, last in C.cut_points(found.key, bits, width):
             part = slice(first, last)
@@ -199,7 +315,7 @@ def answer_runs(table: pa.Table) -> pa.Table:
     for twin in np.flatnonzero(~later & (head != np.arange(len(head)))).tolist():
         flagged[upto[twin] : upto[twin] + suffixes[twin]] = flagged[upto[head[twin]] : upto[head[twin]] + suffixes[twin]]
     total = [int((f[:, 1].astype(np.int64) - LENGTH + 1).sum()) for f in (np.frombuffer(f[3], np.uint8).reshape(-1, 2) for f in fields)]
-    return C.split_replies(table["chunk"].to_pylist(), bucket, 2, flagged, total)
+    return C.split_replies(table["chunk"].to_pylist(), bucket, RUNS, flagged, total)
 
 
 def earliest_equal(anchor: np.ndarray, size: np.ndarray, data: np.ndarray, begin: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -268,10 +384,11 @@ def repeated(group: np.ndarray, data: np.ndarray, at: np.ndarray, ids: np.ndarra
     return found
 
 
-def remove_suffixes(bits: int, width: int):
+def remove_suffixes(bits: int, width: int, hot_bits: int):
     def work(given: C.Texts, replies: pa.Table) -> pa.Table:
-        found = flagged_entries(given, bits, width, replies)
-        bits_of = C.bits_of(replies, 2)
+        runs = Runs(given, width)
+        found = flagged_entries(runs, bits, width, replies)
+        bits_of = C.bits_of(replies, RUNS)
         upto = np.concatenate([[0], np.cumsum(found.suffixes)])
         marked = np.zeros(int(upto[-1]), bool)
         for bucket, first, last in C.cut_points(found.key, bits, width):
@@ -281,6 +398,7 @@ def remove_suffixes(bits: int, width: int):
         entry = np.repeat(found.of, count)
         gone = marked[upto[entry] + offset] | np.repeat(found.later, count)
         start = (np.repeat(found.first, count) + offset)[gone]
+        start = np.concatenate([start, hot_starts(given, runs, bits, width, hot_bits, replies)])
         cut = covered(len(given.data), start, LENGTH)
         return result(given, cut)
 
@@ -304,7 +422,7 @@ def result(given: C.Texts, cut: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, RESULT_KINDS)], schema=RESULT_KINDS)
 
 
-def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = C.CHUNK_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, left_bytes, spans (removed byte runs) of every row.
 
     A byte goes if a 100-byte string of its document that covers it also starts earlier: in a smaller
@@ -315,9 +433,15 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     held = C.chunked(texts(docs, doc_id, text), chunk_bytes)
     # A run is far more work than a key, so a bucket holds fewer.
     bits, width = C.bucket_bits(held.total * DENSITY * 16), key_width(held.total)
-    anchors = C.ask(held, anchor_requests(bits, width), answer_anchors, bits)
-    runs = C.ask(held, run_requests(bits, width), answer_runs, bits, anchors)
-    return C.conclude(held, remove_suffixes(bits, width), anchors.unionByName(runs), RESULT)
+    # A string is more bytes than a run's share of it.
+    hot_bits = bits + 2
+    anchors = C.ask(held, anchor_requests(bits, width), answer_keys(ANCHORS, hot_runs), bits)
+    replies = anchors.unionByName(C.ask(held, run_requests(bits, width), answer_runs, bits, anchors))
+    if not anchors.where(F.col("kind") == HOT).isEmpty():
+        hashes = C.ask(held, hash_requests(bits, width, hot_bits), answer_keys(AGAIN), hot_bits, anchors)
+        replies = replies.unionByName(hashes)
+        replies = replies.unionByName(C.ask(held, string_requests(bits, width, hot_bits), answer_strings, hot_bits, anchors.unionByName(hashes)))
+    return C.conclude(held, remove_suffixes(bits, width, hot_bits), replies, RESULT)
 
 
 SQL = r"""
