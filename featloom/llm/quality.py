@@ -3,8 +3,8 @@
 Every text gets a row of statistics. Sequential covering learns, from labelled rows, an ordered list of
 conjunctions of thresholds that reject: a rule grows on one part of the rows by the best gain, is
 pruned on the other part, and enters the list only if it is precise there; the rows it covers are
-taken out before the next one grows. All counts come from Spark aggregations over binned statistics,
-so the driver sees numbers per statistic, bin and part, never rows. The list is applied as one ordered
+taken out before the next one grows. Cut points are quantiles of the bad and of the good rows that are
+still at hand. All counts come from Spark aggregations over binned statistics, so the driver sees numbers per statistic, bin and part, never rows. The list is applied as one ordered
 conditional expression.
 """
 
@@ -146,41 +146,36 @@ def failed_base(min_words: int = MIN_WORDS) -> Column:
 
 
 def thresholds(rows: DataFrame, bins: int = BINS) -> dict[str, list[float]]:
-    """Cut points of each statistic at equal shares of the rows."""
-    shares = [i / bins for i in range(1, bins)]
-    row = rows.agg(*[F.percentile_approx(statistic(name), shares, 10_000).alias(name) for name in STATISTICS]).first()
-    return {name: sorted(set(row[name] or [])) for name in STATISTICS}
+    """Cut points of each statistic: equal shares of the bad and of the good rows, ends included, and the middles between."""
+    shares = [i / bins for i in range(bins + 1)]
+    points = lambda name, bad: F.percentile_approx(F.when(F.col("bad") == bad, statistic(name)), shares, 10_000)
+    row = rows.agg(*[points(name, bad).alias(f"{name}_{bad}") for name in STATISTICS for bad in (0, 1)]).first()
+    found = {name: sorted({*(row[f"{name}_0"] or []), *(row[f"{name}_1"] or [])}) for name in STATISTICS}
+    return {name: sorted({*points, *((a + b) / 2 for a, b in zip(points, points[1:]))}) for name, points in found.items()}
 
 
 def learn_rules(labelled: DataFrame, bad: Column, max_rules: int = MAX_RULES, min_precision: float = MIN_PRECISION) -> list[Rule]:
     """The ordered rules that reject, from rows with statistics, an ``id`` and the label ``bad``.
 
     All labelled rows take part. Two thirds of them, by a hash of their id, grow the rules, the rest
-    prunes them and has to confirm them; a rule that covers too few rows there, or too many good ones,
-    ends the list. No labelled rows, or none of a class: no rules.
+    prunes them and has to confirm them. A rule that covers too few rows there, or too many good ones, gives
+    way to one that starts from the next best condition; the list ends when no start is left. No labelled
+    rows, or none of a class: no rules.
     """
-    cuts = thresholds(labelled)
-    cuts = {name: points for name, points in cuts.items() if points}
-    if not cuts:
-        return []
-    binned = labelled.select(
-        bad.cast("int").alias("bad"),
-        (F.pmod(F.xxhash64("id"), F.lit(3)) > 0).alias("grows"),
-        *[bin_of(statistic(name), points).alias(name) for name, points in cuts.items()],
-    )
-    # Rows that fall into the same bins are one row with a count.
-    binned = materialise(binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("n")), "binned")
-    rules: list[list[tuple[str, bool, int]]] = []
+    counts = sorted({column for pair in STATISTICS.values() for column in pair})
+    rows = labelled.select(bad.cast("int").alias("bad"), (F.pmod(F.xxhash64("id"), F.lit(3)) > 0).alias("grows"), *counts)
+    # Rows with equal counts are one row with a number.
+    rows = materialise(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "labelled")
+    rules: list[Rule] = []
     while len(rules) < max_rules:
-        rest = binned
+        rest = rows
         for rule in rules:
-            rest = rest.where(~binned_cover(rule))
-        rule = grow(rest.where("grows"), cuts)
-        rule = prune(rest.where("NOT grows"), rule, min_precision) if rule else None
+            rest = rest.where(~covers(rule))
+        rule = next_rule(rest.where("grows"), rest.where("NOT grows"), min_precision)
         if not rule:
             break
         rules.append(rule)
-    return centred(labelled, [tuple(Condition(name, above, cuts[name][bin_]) for name, above, bin_ in rule) for rule in rules])
+    return centred(labelled, rules)
 
 
 def centred(labelled: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
@@ -207,65 +202,75 @@ def centred(labelled: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
     return [tuple(moved(i, k, condition) for k, condition in enumerate(rule)) for i, rule in enumerate(rules)]
 
 
-def bin_of(value: Column, points: Sequence[float]) -> Column:
-    """How many cut points lie below the value; null stays null."""
-    return F.when(value.isNotNull(), sum((F.coalesce(value > F.lit(p), F.lit(False)).cast("int") for p in points), F.lit(0)))
-
-
-def binned_cover(rule: Sequence[tuple[str, bool, int]]) -> Column:
-    test = F.lit(True)
-    for name, above, bin_ in rule:
-        one = F.col(name) > bin_ if above else F.col(name) <= bin_
-        test = test & F.coalesce(one, F.lit(False))
-    return test
-
-
 def class_counts(rows: DataFrame) -> tuple[int, int]:
     row = rows.agg(F.sum(F.col("bad") * F.col("n")).alias("bad"), F.sum((1 - F.col("bad")) * F.col("n")).alias("good")).first()
     return row["bad"] or 0, row["good"] or 0
 
 
-def grow(rows: DataFrame, cuts: Mapping[str, Sequence[float]]) -> list[tuple[str, bool, int]]:
-    """Conditions added one by one, each the one with the highest gain, until no good row is covered."""
-    rule: list[tuple[str, bool, int]] = []
-    bad, good = class_counts(rows)
-    while bad and good and len(rule) < MAX_CONDITIONS:
-        covered = rows.where(binned_cover(rule))
-        cells = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("bin")) for name in cuts]))
-        sums = covered.select(cells.alias("cell"), "bad", "n").where("cell.bin IS NOT NULL").groupBy("cell.name", "cell.bin")
-        counts = sums.agg(F.sum(F.col("bad") * F.col("n")).alias("bad"), F.sum((1 - F.col("bad")) * F.col("n")).alias("good")).collect()
-        best, gain = None, 0.0
-        for name, points in cuts.items():
-            own = {row["bin"]: (row["bad"], row["good"]) for row in counts if row["name"] == name}
-            all_bad, all_good = (sum(c[i] for c in own.values()) for i in (0, 1))
-            low_bad = low_good = 0
-            for bin_ in range(len(points)):
-                low_bad, low_good = low_bad + own.get(bin_, (0, 0))[0], low_good + own.get(bin_, (0, 0))[1]
-                for above, p, n in ((False, low_bad, low_good), (True, all_bad - low_bad, all_good - low_good)):
-                    if p >= MIN_COVERED:
-                        found = p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))
-                        if found > gain + 1e-9:
-                            best, gain, left = (name, above, bin_), found, (p, n)
-        if best is None:
+def next_rule(growing: DataFrame, pruning: DataFrame, min_precision: float) -> Rule | None:
+    """The first rule the pruning rows confirm, from the best start on."""
+    for start, left in conditions(growing, *class_counts(growing)):
+        rule = prune(pruning, grow(growing, start, left), min_precision)
+        if rule:
+            return rule
+    return None
+
+
+def grow(rows: DataFrame, start: Condition, left: tuple[int, int]) -> Rule:
+    """Conditions added to the first, each the one with the highest gain, until no good row is covered."""
+    rule: Rule = (start,)
+    while left[1] and len(rule) < MAX_CONDITIONS:
+        found = conditions(rows.where(covers(rule)), *left)
+        if not found:
             break
-        rule.append(best)
-        bad, good = left
+        rule, left = (*rule, found[0][0]), found[0][1]
     return rule
 
 
-def prune(rows: DataFrame, rule: Sequence[tuple[str, bool, int]], min_precision: float) -> list[tuple[str, bool, int]] | None:
+def conditions(rows: DataFrame, bad: int, good: int) -> list[tuple[Condition, tuple[int, int]]]:
+    """The best condition of each statistic and side with the (bad, good) rows it leaves, by falling gain.
+
+    Cut points come from the rows at hand, so they grow finer as a rule or the list proceeds.
+    """
+    if not bad or not good:
+        return []
+    cuts = {name: points for name, points in thresholds(rows).items() if points}
+    if not cuts:
+        return []
+    below = lambda name: F.size(F.filter(F.array(*map(F.lit, cuts[name])), lambda point: point < statistic(name)))
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.when(statistic(name).isNotNull(), below(name)).alias("bin")) for name in cuts]))
+    sums = rows.select(cells.alias("cell"), "bad", "n").where("cell.bin IS NOT NULL").groupBy("cell.name", "cell.bin")
+    counts = sums.agg(F.sum(F.col("bad") * F.col("n")).alias("bad"), F.sum((1 - F.col("bad")) * F.col("n")).alias("good")).collect()
+    best: dict[tuple[str, bool], tuple[float, float, tuple[int, int]]] = {}
+    for name, points in cuts.items():
+        own = {row["bin"]: (row["bad"], row["good"]) for row in counts if row["name"] == name}
+        all_bad, all_good = (sum(c[i] for c in own.values()) for i in (0, 1))
+        low_bad = low_good = 0
+        for bin_, point in enumerate(points):
+            low_bad, low_good = low_bad + own.get(bin_, (0, 0))[0], low_good + own.get(bin_, (0, 0))[1]
+            for above, p, n in ((False, low_bad, low_good), (True, all_bad - low_bad, all_good - low_good)):
+                if p >= MIN_COVERED:
+                    gain = p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))
+                    # Of equal gains the later: the middle of a gap, not the last value before it.
+                    if gain > 1e-9 and gain >= best.get((name, above), (0.0,))[0] - 1e-9:
+                        best[name, above] = (gain, point, (p, n))
+    ranked = sorted(best.items(), key=lambda item: -item[1][0])
+    return [(Condition(name, above, point), left) for (name, above), (_, point, left) in ranked]
+
+
+def prune(rows: DataFrame, rule: Rule, min_precision: float) -> Rule | None:
     """The shortest head of the rule that is as precise as any, or None if none is precise enough."""
     heads = [rule[:length] for length in range(1, len(rule) + 1)]
     sums = []
     for i, head in enumerate(heads):
-        weight = F.when(binned_cover(head), F.col("n")).otherwise(0)
+        weight = F.when(covers(head), F.col("n")).otherwise(0)
         sums += [F.sum(weight * F.col("bad")).alias(f"bad{i}"), F.sum(weight).alias(f"all{i}")]
     row = rows.agg(*sums).first()
     best, worth = None, -1.0
     for i, head in enumerate(heads):
         bad, total = row[f"bad{i}"] or 0, row[f"all{i}"] or 0
         if total and bad >= max(1, MIN_COVERED // 2) and bad / total >= min_precision and bad / total > worth + 1e-9:
-            best, worth = list(head), bad / total
+            best, worth = head, bad / total
     return best
 
 
