@@ -224,7 +224,7 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     # Only groups of several rows have something to drop; single texts are kept as they pass.
     several = groups.where(F.col("group_size") > 1)
-    lost = rows.join(several, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct()
+    lost = with_groups(rows, several, F.col("digest"), rows.count()).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct()
     same = (F.col("wrapped.doc_id").eqNullSafe(F.col("lost.doc_id"))) & (F.col("wrapped.digest") == F.col("lost.digest"))
     kept = wrapped.alias("wrapped").join(lost.alias("lost"), same, "left_anti")
     repeated = materialise(rows.groupBy("digest", "doc_id").count().where("count > 1").select("digest", "doc_id"), "repeated")
