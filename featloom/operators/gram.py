@@ -1,37 +1,69 @@
-"""Sums of small matrices over all rows, merged in two levels.
+"""Sums of small matrices over all rows, merged in a tree.
 
-Every task adds its batches up and emits one matrix per key. The partial matrices are then
-added in a bounded number of tasks that stream over them, so neither a task nor the driver
-holds more than a fixed number of matrices per key.
+Every task adds its batches up and emits one row per key. The rows of a key are then merged in two
+levels, the first as wide as the tasks are many, up to a bound; each merge streams over its rows, so
+neither a task nor the driver holds more than a few matrices per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-FAN_IN = 8
+# Rows of a key that the last level merges.
+FAN_IN = 64
 
-_SCHEMA = "block int, fold int, rows int, cols int, payload binary"
-_NAMES = ["block", "fold", "rows", "cols", "payload"]
+_SCHEMA = "block int, fold int, rows int, cols int, slot int, payload binary"
+_NAMES = ["block", "fold", "rows", "cols", "slot", "payload"]
 
 Key = tuple[int, int]
 BlockFunction = Callable[[pa.RecordBatch], Iterable[tuple[Key, np.ndarray]]]
 
 
-def gram_matrices(table: DataFrame, blocks: BlockFunction, fan_in: int = FAN_IN) -> dict[Key, np.ndarray]:
+def task_slot() -> int:
+    """Number of the running task, which spreads the first level of a merge."""
+    context = TaskContext.get()
+    return context.partitionId() if context is not None else 0
+
+
+def merged_tree(partial: DataFrame, keys: Sequence[str], combine: Callable[..., bytes], keyed: bool = False) -> DataFrame:
+    """One row per key of the (keys, slot int, payload binary) rows, payloads combined two by two.
+
+    ``keyed`` gives ``combine`` the key as a dictionary before the two payloads.
+    """
+    schema = partial.select(*keys, "payload").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first, own = None, None, ()
+        for batch in batches:
+            if first is None and batch.num_rows:
+                first = batch.slice(0, 1)
+                own = ({k: first.column(k)[0].as_py() for k in keys},) if keyed else ()
+            for payload in batch.column("payload"):
+                raw = payload.as_py()
+                total = raw if total is None else combine(*own, total, raw)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([*[first.column(k) for k in keys], pa.array([total], pa.binary())], names=[*keys, "payload"])
+
+    narrow = partial.select(*keys, "payload", F.pmod("slot", F.lit(FAN_IN)).alias("slot"))
+    level = narrow.groupBy(*keys, "slot").applyInArrow(run, schema)
+    return level.groupBy(*keys).applyInArrow(run, schema)
+
+
+def gram_matrices(table: DataFrame, blocks: BlockFunction) -> dict[Key, np.ndarray]:
     """Sum over all batches of the matrices ``blocks`` gives for each key."""
     partial = table.mapInArrow(_add_batches(blocks), _SCHEMA)
-    merged = partial.repartition(fan_in).mapInArrow(_add_partials, _SCHEMA)
-    total: dict[Key, np.ndarray] = {}
-    for row in merged.collect():
-        matrix = np.frombuffer(row["payload"]).reshape(row["rows"], row["cols"])
-        key = (row["block"], row["fold"])
-        total[key] = total[key] + matrix if key in total else matrix.copy()
-    return total
+    merged = merged_tree(partial, ["block", "fold", "rows", "cols"], _add)
+    return {(r["block"], r["fold"]): np.frombuffer(r["payload"]).reshape(r["rows"], r["cols"]) for r in merged.collect()}
+
+
+def _add(left: bytes, right: bytes) -> bytes:
+    return (np.frombuffer(left) + np.frombuffer(right)).tobytes()
 
 
 def _add_batches(blocks: BlockFunction):
@@ -44,33 +76,11 @@ def _add_batches(blocks: BlockFunction):
                         total[key] += matrix
                     else:
                         total[key] = np.array(matrix, dtype=float)
-        yield from _as_batches(total)
+        slot = task_slot()
+        for (block, fold), matrix in total.items():
+            row = [block, fold, *matrix.shape, slot]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([v], pa.int32()) for v in row], pa.array([np.ascontiguousarray(matrix).tobytes()], pa.binary())], names=_NAMES
+            )
 
     return run
-
-
-def _add_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            matrix = np.frombuffer(row["payload"]).reshape(row["rows"], row["cols"])
-            key = (row["block"], row["fold"])
-            if key in total:
-                total[key] += matrix
-            else:
-                total[key] = matrix.copy()
-    yield from _as_batches(total)
-
-
-def _as_batches(total: dict) -> Iterator[pa.RecordBatch]:
-    for (block, fold), matrix in total.items():
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([block], pa.int32()),
-                pa.array([fold], pa.int32()),
-                pa.array([matrix.shape[0]], pa.int32()),
-                pa.array([matrix.shape[1]], pa.int32()),
-                pa.array([np.ascontiguousarray(matrix).tobytes()], pa.binary()),
-            ],
-            names=_NAMES,
-        )

@@ -5,32 +5,53 @@ rule, the cleaning rules, the scalers and the univariate scores, so a table is s
 for all of them.
 
 Few features are aggregated by Catalyst. Many features (candidates of a generation) are
-evaluated per Arrow batch from the columns they derive from; every task emits one partial row
-per (feature, class), so what is shuffled depends on the number of features and tasks only,
-and a class that holds most of the rows costs no more than any other.
+evaluated per Arrow batch from the columns they derive from, a block at a time; every task emits
+one packed row per block and class, so what is shuffled depends on the number of features and tasks
+only, and a class that holds most of the rows costs no more than any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.dataset import REGRESSION, Dataset, as_double, quoted
 from featloom.functions.summary import NEAR_ZERO, FeatureStats
 from featloom.operators.expr import Expr, Ref, refs, to_array, to_column
+from featloom.operators.gram import merged_tree, task_slot
 
 # Above this number of features the per-batch form is used.
 NARROW_LIMIT = 6
-_BLOCK = 64
+# Features of a block that is made of expressions.
+BLOCK = 64
 
-_PARTIAL_SCHEMA = (
-    "fid int, cls double, rows bigint, nulls bigint, zeros bigint, near_zeros bigint, mean double, m2 double, "
-    "lo double, hi double, pairs bigint, xmean double, ymean double, xm2 double, ym2 double, cxy double"
-)
+PACKED = "block int, cls double, slot int, payload binary"
+# Rows of a block's matrix of sums; a column per feature.
+FIELDS = ("rows", "nulls", "zeros", "near_zeros", "n", "mean", "m2", "lo", "hi", "pairs", "xmean", "ymean", "xm2", "ym2", "cxy")
+AT = {name: i for i, name in enumerate(FIELDS)}
+
+
+@dataclass(frozen=True)
+class ExprBlock:
+    """Features that are evaluated together."""
+
+    exprs: tuple[Expr, ...]
+
+    @property
+    def size(self) -> int:
+        return len(self.exprs)
+
+    def refs(self) -> set[str]:
+        return set().union(*(refs(e) for e in self.exprs))
+
+    def parts(self, values: Mapping[str, np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+        """(features, their values as rows) for the rows of a batch."""
+        yield slice(0, self.size), np.stack([to_array(e, values) for e in self.exprs])
 
 
 def base_exprs(ds: Dataset) -> list[Expr]:
@@ -107,74 +128,67 @@ _MEASURES = ["rows", "nulls", "zeros", "near_zeros", "mean", "m2", "lo", "hi", "
 
 
 def _wide(ds: Dataset, exprs: Sequence[Expr], by_label: bool) -> DataFrame:
-    needed = sorted(set().union(*(refs(e) for e in exprs)))
+    blocks = [ExprBlock(tuple(exprs[i : i + BLOCK])) for i in range(0, len(exprs), BLOCK)]
+    names = {i: [e.name for e in b.exprs] for i, b in enumerate(blocks)}
+    schema = "feature string, cls double, " + ", ".join(f"{m} {'bigint' if m in _COUNTS else 'double'}" for m in _MEASURES)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, cls, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sums = unpacked(payload)
+                empty, unpaired = sums[AT["n"]] == 0, sums[AT["pairs"]] == 0
+                gone = {m: empty for m in ("mean", "m2")} | {m: unpaired for m in ("xm2", "ym2", "cxy")}
+                columns = [
+                    pa.array(sums[AT[m]].astype(np.int64)) if m in _COUNTS else pa.array(sums[AT[m]], mask=gone.get(m), from_pandas=True)
+                    for m in _MEASURES
+                ]
+                names_ = names[block]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names_, pa.string()), pa.array([cls] * len(names_), pa.float64()), *columns], names=["feature", "cls", *_MEASURES]
+                )
+
+    return block_sums(ds, blocks, by_label).mapInArrow(opened, schema)
+
+
+_COUNTS = {"rows", "nulls", "zeros", "near_zeros", "pairs"}
+
+
+def block_sums(ds: Dataset, blocks: Sequence, by_label: bool) -> DataFrame:
+    """(block, cls, payload): the sums of every block and class over all rows; blocks by their place."""
+    needed = sorted(set().union(*(b.refs() for b in blocks)))
     target = as_double(quoted(ds.label)) if _with_target(ds) else F.lit(None).cast("double")
     table = ds.df.select(
         _class_column(ds, by_label).alias("cls"),
         target.alias("y"),
         *[ds.value(name).alias(f"b{i}") for i, name in enumerate(needed)],
     )
-    partial = table.mapInArrow(_partial_moments(list(exprs), needed), _PARTIAL_SCHEMA)
-    return _merged(ds, exprs, partial)
-
-
-def _merged(ds: Dataset, exprs: Sequence[Expr], partial: DataFrame) -> DataFrame:
-    """Parts put together around their common mean, so nothing cancels however large the values are."""
-    own = Window.partitionBy("fid", "cls")
-    n = F.col("rows") - F.col("nulls")
-    centred = partial.withColumns(
-        {
-            "grand": F.sum(n * F.col("mean")).over(own) / F.nullif(F.sum(n).over(own), F.lit(0)),
-            "xgrand": F.sum(F.col("pairs") * F.col("xmean")).over(own) / F.nullif(F.sum("pairs").over(own), F.lit(0)),
-            "ygrand": F.sum(F.col("pairs") * F.col("ymean")).over(own) / F.nullif(F.sum("pairs").over(own), F.lit(0)),
-        }
-    )
-    dx, dy = F.col("xmean") - F.col("xgrand"), F.col("ymean") - F.col("ygrand")
-    away = F.col("mean") - F.col("grand")
-    target = F.lit(_with_target(ds)) & (F.sum("pairs") > 0)
-    merged = centred.groupBy("fid", "cls").agg(
-        *[F.sum(c).alias(c) for c in ("rows", "nulls", "zeros", "near_zeros", "pairs")],
-        F.first("grand").alias("mean"),
-        F.sum(F.col("m2") + n * away * away).alias("m2"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-        F.when(target, F.sum(F.col("xm2") + F.col("pairs") * dx * dx)).alias("xm2"),
-        F.when(target, F.sum(F.col("ym2") + F.col("pairs") * dy * dy)).alias("ym2"),
-        F.when(target, F.sum(F.col("cxy") + F.col("pairs") * dx * dy)).alias("cxy"),
-    )
-    keyed = ds.spark.createDataFrame([(i, e.name) for i, e in enumerate(exprs)], "fid int, feature string")
-    return merged.join(keyed, "fid").select("feature", "cls", *_MEASURES)
-
-
-class _Sums:
-    """Counts, means and squared deviations of one class, for all features, by the parallel update."""
-
-    def __init__(self, m: int):
-        self.counts = np.zeros((4, m), np.int64)
-        self.n, self.mean, self.m2 = np.zeros(m), np.zeros(m), np.zeros(m)
-        self.lo, self.hi = np.full(m, np.nan), np.full(m, np.nan)
-        self.pairs, self.xmean, self.ymean = np.zeros(m), np.zeros(m), np.zeros(m)
-        self.xm2, self.ym2, self.cxy = np.zeros(m), np.zeros(m), np.zeros(m)
-
-    def add(self, at: slice, n, mean, m2) -> None:
-        total = self.n[at] + n
-        share = np.divide(n, total, out=np.zeros_like(total), where=total > 0)
-        away = np.where(n > 0, mean - self.mean[at], 0.0)
-        self.m2[at] += np.where(n > 0, m2, 0.0) + away * away * self.n[at] * share
-        self.mean[at] += away * share
-        self.n[at] = total
-
-    def add_pairs(self, at: slice, n, xmean, ymean, xm2, ym2, cxy) -> None:
-        total = self.pairs[at] + n
-        share = np.divide(n, total, out=np.zeros_like(total), where=total > 0)
-        dx, dy = np.where(n > 0, xmean - self.xmean[at], 0.0), np.where(n > 0, ymean - self.ymean[at], 0.0)
-        old = self.pairs[at] * share
-        self.xm2[at] += xm2 + dx * dx * old
-        self.ym2[at] += ym2 + dy * dy * old
-        self.cxy[at] += cxy + dx * dy * old
-        self.xmean[at] += dx * share
-        self.ymean[at] += dy * share
-        self.pairs[at] = total
+    return merged_tree(table.mapInArrow(_batch_sums(list(blocks), needed), PACKED), ["block", "cls"], merged)
+
+
+def unpacked(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload).reshape(len(FIELDS), -1)
+
+
+def merged(left: bytes, right: bytes) -> bytes:
+    return add_sums(unpacked(left), unpacked(right)).tobytes()
+
+
+def add_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of two sets of rows put together around their common mean, so nothing cancels however large the values are."""
+    out = a + b
+    for name, choose in (("lo", np.fmin), ("hi", np.fmax)):
+        out[AT[name]] = choose(a[AT[name]], b[AT[name]])
+    for count, means, squares in (("n", ("mean",), (("m2", 0, 0),)), ("pairs", ("xmean", "ymean"), (("xm2", 0, 0), ("ym2", 1, 1), ("cxy", 0, 1)))):
+        total = out[AT[count]]
+        share = np.divide(b[AT[count]], total, out=np.zeros_like(total), where=total > 0)
+        # A side without rows has nothing to say about the mean.
+        both = (a[AT[count]] > 0) & (b[AT[count]] > 0)
+        away = [np.where(both, b[AT[m]] - a[AT[m]], 0.0) for m in means]
+        for m, d in zip(means, away):
+            out[AT[m]] = np.where(a[AT[count]] > 0, a[AT[m]] + d * share, b[AT[m]])
+        for m, i, j in squares:
+            out[AT[m]] += away[i] * away[j] * a[AT[count]] * share
+    return out
 
 
 def _group_means(values: np.ndarray, present: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,15 +197,52 @@ def _group_means(values: np.ndarray, present: np.ndarray, starts: np.ndarray) ->
     return n, np.divide(total, n, out=np.zeros_like(total), where=n > 0)
 
 
-def _partial_moments(exprs: list[Expr], needed: list[str]):
+def _sums_of(x: np.ndarray, y: np.ndarray | None, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(field, feature, class) sums of feature rows whose values are in class order."""
+    missing = np.isnan(x)
+    some = bool(missing.any())
+    present = ~missing
+    found = np.zeros((len(FIELDS), len(x), len(starts)))
+    n, mean = _group_means(x, present, starts) if some else (np.broadcast_to(sizes.astype(float), (len(x), len(sizes))), np.add.reduceat(x, starts, axis=1) / sizes)
+    away = x - np.repeat(mean, sizes, axis=1)
+    if some:
+        away[missing] = 0.0
+        found[AT["nulls"]] = sizes - n
+    found[AT["rows"]], found[AT["n"]], found[AT["mean"]] = sizes, n, mean
+    found[AT["m2"]] = np.add.reduceat(away * away, starts, axis=1)
+    near = np.abs(x) < NEAR_ZERO
+    if near.any():
+        found[AT["zeros"]] = np.add.reduceat(x == 0, starts, axis=1, dtype=np.int64)
+        found[AT["near_zeros"]] = np.add.reduceat(near, starts, axis=1, dtype=np.int64)
+    found[AT["lo"]], found[AT["hi"]] = np.fmin.reduceat(x, starts, axis=1), np.fmax.reduceat(x, starts, axis=1)
+    if y is not None:
+        both = present & ~np.isnan(y)
+        pairs, xmean = _group_means(x, both, starts)
+        _, ymean = _group_means(np.broadcast_to(y, x.shape), both, starts)
+        dx = np.where(both, x - np.repeat(xmean, sizes, axis=1), 0.0)
+        dy = np.where(both, y - np.repeat(ymean, sizes, axis=1), 0.0)
+        for name, part in (("pairs", pairs), ("xmean", xmean), ("ymean", ymean)):
+            found[AT[name]] = part
+        for name, part in (("xm2", dx * dx), ("ym2", dy * dy), ("cxy", dx * dy)):
+            found[AT[name]] = np.add.reduceat(part, starts, axis=1)
+    return found
+
+
+def _empty_sums(size: int) -> np.ndarray:
+    found = np.zeros((len(FIELDS), size))
+    found[[AT["lo"], AT["hi"]]] = np.nan
+    return found
+
+
+def _batch_sums(blocks: list, needed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(exprs)
         sums: dict = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             cls = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-            order = np.argsort(cls, kind="stable")
+            # Without classes, or with one in the batch, rows stay as they are.
+            order = slice(None) if np.isnan(cls).all() or (cls == cls[0]).all() else np.argsort(cls, kind="stable")
             cls = cls[order]
             change = np.flatnonzero(cls[1:] != cls[:-1]) + 1
             if np.isnan(cls).any():
@@ -200,56 +251,23 @@ def _partial_moments(exprs: list[Expr], needed: list[str]):
             sizes = np.diff(np.concatenate([starts, [len(cls)]]))
             keys = [None if np.isnan(c) else float(c) for c in cls[starts]]
             y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)[order]
-            labelled = ~np.isnan(y)
+            y = None if np.isnan(y).all() else y
             values = {
                 name: batch.column(i + 2).to_numpy(zero_copy_only=False).astype(float)[order]
                 for i, name in enumerate(needed)
             }
             with np.errstate(all="ignore"):
-                for first in range(0, m, _BLOCK):
-                    x = np.stack([to_array(e, values) for e in exprs[first:first + _BLOCK]])
-                    present = ~np.isnan(x)
-                    at = slice(first, first + x.shape[0])
-                    n, mean = _group_means(x, present, starts)
-                    away = np.where(present, x - np.repeat(mean, sizes, axis=1), 0.0)
-                    m2 = np.add.reduceat(away * away, starts, axis=1)
-                    tally = [
-                        np.add.reduceat(~present, starts, axis=1, dtype=np.int64),
-                        np.add.reduceat(x == 0, starts, axis=1, dtype=np.int64),
-                        np.add.reduceat(np.abs(x) < NEAR_ZERO, starts, axis=1, dtype=np.int64),
-                    ]
-                    low, high = np.fmin.reduceat(x, starts, axis=1), np.fmax.reduceat(x, starts, axis=1)
-                    if labelled.any():
-                        both = present & labelled
-                        pairs, xmean = _group_means(x, both, starts)
-                        _, ymean = _group_means(np.broadcast_to(y, x.shape), both, starts)
-                        dx = np.where(both, x - np.repeat(xmean, sizes, axis=1), 0.0)
-                        dy = np.where(both, y - np.repeat(ymean, sizes, axis=1), 0.0)
-                        cross = [np.add.reduceat(p, starts, axis=1) for p in (dx * dx, dy * dy, dx * dy)]
-                    for g, key in enumerate(keys):
-                        own = sums.setdefault(key, _Sums(m))
-                        own.counts[0, at] += sizes[g]
-                        for j, part in enumerate(tally):
-                            own.counts[j + 1, at] += part[:, g]
-                        own.add(at, n[:, g], mean[:, g], m2[:, g])
-                        own.lo[at], own.hi[at] = np.fmin(own.lo[at], low[:, g]), np.fmax(own.hi[at], high[:, g])
-                        if labelled.any():
-                            own.add_pairs(at, pairs[:, g], xmean[:, g], ymean[:, g], *[part[:, g] for part in cross])
-        for key, own in sums.items():
-            empty, unpaired = own.n == 0, own.pairs == 0
+                for number, block in enumerate(blocks):
+                    for at, x in block.parts(values):
+                        found = _sums_of(x, y, starts, sizes)
+                        for g, key in enumerate(keys):
+                            own = sums.setdefault((number, key), _empty_sums(block.size))
+                            own[:, at] = add_sums(own[:, at], found[:, :, g])
+        slot = task_slot()
+        for (number, key), own in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(m, dtype=np.int32)),
-                    pa.array([key] * m, type=pa.float64()),
-                    *[pa.array(own.counts[j]) for j in range(4)],
-                    pa.array(own.mean, mask=empty),
-                    pa.array(own.m2, mask=empty),
-                    pa.array(own.lo, from_pandas=True),
-                    pa.array(own.hi, from_pandas=True),
-                    pa.array(own.pairs.astype(np.int64)),
-                    *[pa.array(part, mask=unpaired) for part in (own.xmean, own.ymean, own.xm2, own.ym2, own.cxy)],
-                ],
-                names=[name.split()[0] for name in _PARTIAL_SCHEMA.split(", ")],
+                [pa.array([number], pa.int32()), pa.array([key], pa.float64()), pa.array([slot], pa.int32()), pa.array([own.tobytes()], pa.binary())],
+                names=["block", "cls", "slot", "payload"],
             )
 
     return run

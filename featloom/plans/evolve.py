@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from featloom.dataset import Dataset, quoted
 from featloom.functions.scalar import OPERATOR_NAMES
+from featloom.operators.catalog import DEFAULT_SET, OperatorSet
 from featloom.operators.expr import Ref, operator_count, read_name, to_column
 from featloom.operators.folds import FOLD, with_folds
 from featloom.plans.fitness import FOLDS, ForestScorer, LinearScorer
@@ -36,14 +37,18 @@ class Config:
     """Limits count the label as a column where the selection rules do.
 
     ``first_version`` runs the earlier competition and enforces the limits by repeated importance
-    selection instead of the univariate score.
+    selection instead of the univariate score. ``candidate_limit`` is how many candidates of an operator
+    enter the competition, the best by the univariate score that enforces ``current_limit`` after it.
+    ``rules`` choose the operator library, ``OLDER_SET`` the older one.
     """
 
     generations: int = 4
     inflation: int = 10
     current_limit: int = 2000
     history_limit: int = 1000
+    candidate_limit: int | None = 2000
     operators: tuple[str, ...] = tuple(OPERATOR_NAMES)
+    rules: OperatorSet = DEFAULT_SET
     scorer: object = field(default_factory=LinearScorer)
     final_scorer: object = field(default_factory=ForestScorer)
     selector: Selector = important_features
@@ -119,7 +124,7 @@ def evolve(ds: Dataset, config: Config = Config()) -> Evolution:
     size, history = len(current), []
     for generation in range(1, config.generations + 1):
         found: NextGeneration = next_generation(
-            table, config.scorer, weights, previous, config.seed + generation, config.first_version
+            table, config.scorer, weights, previous, config.seed + generation, config.first_version, config.candidate_limit, config.rules
         )
         weights = found.weights
         history += [(generation, op, fitness, std) for op, fitness, std in found.ranking]

@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 from featloom.dataset import Dataset
 from featloom.functions.scalar import OPERATOR_NAMES
 from featloom.functions.summary import FeatureStats
-from featloom.operators.cleaning import constant, mostly_null, mostly_zero
-from featloom.operators.expr import Expr, distinct_exprs
-from featloom.operators.generate import fit_operator, is_checked
-from featloom.operators.moments import base_exprs, collect_stats, moments_frame
+from featloom.operators.catalog import DEFAULT_SET, OperatorSet, surviving
+from featloom.operators.expr import Expr
 from featloom.operators.sampling import random_groups
 
 # Fixed values of the competition.
@@ -72,39 +70,14 @@ def sample_operators(weights: Mapping[str, float], share: float = OPERATOR_SHARE
 
 
 def new_candidates(
-    ds: Dataset, previous: Sequence[str], operators: Sequence[str], seed: int = 0
+    ds: Dataset, previous: Sequence[str], operators: Sequence[str], seed: int = 0, limit: int | None = None, rules: OperatorSet = DEFAULT_SET
 ) -> tuple[dict[str, list[Expr]], dict[str, FeatureStats]]:
     """Children of every operator that are valid and survive cleaning, and their statistics.
 
-    Two summary passes: one over the parents (gates and parameters), one over all children.
+    All candidates are judged in a distributed catalog; the ``limit`` best of an operator by univariate
+    score come back (all, without one).
     """
-    parents = base_exprs(ds)
-    stats = collect_stats(moments_frame(ds, parents))
-    old = set(previous)
-    current, history = [e for e in parents if e.name not in old], [e for e in parents if e.name in old]
-    made = {op: fit_operator(op, current, stats, history, seed) for op in operators}
-    everything = distinct_exprs(e for children in made.values() for e in children)
-    if not everything:
-        return {}, {}
-    child_stats = collect_stats(moments_frame(ds, everything))
-    tribes: dict[str, list[Expr]] = {}
-    taken = {e.name for e in parents}
-    for op, children in made.items():
-        kept = []
-        for expr in children:
-            s = child_stats.get(expr.name)
-            if s is None or expr.name in taken or not _usable(s, is_checked(op)):
-                continue
-            taken.add(expr.name)
-            kept.append(expr)
-        if kept:
-            tribes[op] = kept
-    return tribes, {e.name: child_stats[e.name] for kept in tribes.values() for e in kept}
-
-
-def _usable(s: FeatureStats, checked: bool) -> bool:
-    finite = s.nulls == 0 and math.isfinite(s.lo) and math.isfinite(s.hi)
-    return finite and (s.valid or not checked) and not (mostly_null(s) or constant(s) or mostly_zero(s))
+    return surviving(ds, operators, previous, seed, limit, rules)
 
 
 def inner_competition(arena: Arena, tribes: Mapping[str, Sequence[str]], groups: Mapping[str, int]) -> dict[str, list[Group]]:
@@ -191,14 +164,17 @@ def next_generation(
     previous: Sequence[str] = (),
     seed: int = 0,
     first_version: bool = False,
+    limit: int | None = None,
+    rules: OperatorSet = DEFAULT_SET,
 ) -> NextGeneration:
     """Candidates, competition inside tribes, ranking, trade between tribes, union of the survivors.
 
     The first version of the competition applied every operator, split every tribe in two, let the
-    worse half challenge the better one and kept all tribes; weights stayed as they were.
+    worse half challenge the better one and kept all tribes; weights stayed as they were. ``limit``
+    bounds the candidates of an operator that compete, ``rules`` choose the operator library.
     """
     operators = sample_operators(weights, 1.0 if first_version else OPERATOR_SHARE, seed)
-    tribes, stats = new_candidates(ds, previous, operators, seed)
+    tribes, stats = new_candidates(ds, previous, operators, seed, limit, rules)
     if not tribes:
         return NextGeneration((), dict(weights), ())
     exprs = {e.name: e for children in tribes.values() for e in children}

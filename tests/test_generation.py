@@ -5,8 +5,9 @@ import pytest
 
 from featloom import Dataset
 from featloom.functions.summary import FeatureStats
-from featloom.operators import moments
-from featloom.operators.binary import pair_catalog
+from featloom.functions.scalar import BINARY, RBF
+from featloom.operators import catalog, moments
+from featloom.operators.binary import fit_binary, pair_catalog
 from featloom.operators.expr import Ref
 from featloom.operators.generate import append, children, fit_operator
 from featloom.operators.moments import base_exprs, collect_stats, moments_frame, stats_of
@@ -139,3 +140,82 @@ def test_label_is_never_a_feature(spark):
     assert Dataset.of(df, label="y").names == ["x"]
     with pytest.raises(ValueError):
         Dataset.of(df, ["x", "y"], "y")
+
+
+@pytest.fixture(scope="module")
+def parents(spark):
+    """Two generations of columns: zeros, constants, gaps, large and tiny values among them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(1, 2, (200, 7))
+    x[:, 2] = np.abs(x[:, 2]) + 0.1
+    x[:, 3] = 0.0
+    x[:, 4] = np.where(rng.random(200) < 0.9, 0.0, x[:, 4])
+    x[:, 5] = 1e200 * x[:, 5]
+    y = (x[:, 0] * x[:, 1] > 1) + (x[:, 2] > 2).astype(float)
+    rows = [(i, *[None if k == 6 and i % 3 == 0 else float(v) for k, v in enumerate(r)], float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    names = list("abcdefg")
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names) + ", y double").repartition(5)
+    return {task: Dataset.of(df, names, "y", task, "id") for task in ("C", "R")}
+
+
+def listed(ds, operators, previous, rules):
+    """Candidates listed one by one, judged from their own statistics: the plain way."""
+    exprs = base_exprs(ds)
+    stats = stats_of(ds)
+    current, history = [e for e in exprs if e.name not in previous], [e for e in exprs if e.name in previous]
+    found, taken = {}, set(ds.names)
+    for op in operators:
+        if op in BINARY:
+            made = fit_binary(op, current, stats, history, rules.with_self, rules.skip_zero)
+        else:
+            made = fit_unary(rules.unary_name(op) if op != RBF else op, current, stats, seed=3)
+        own = stats_of(ds, made) if made else {}
+        for e in made:
+            s = own[e.name]
+            usable = s.nulls == 0 and math.isfinite(s.lo) and math.isfinite(s.hi) and s.lo < s.hi and s.zeros < 0.8 * s.rows
+            if usable and (s.valid or not catalog.is_checked(rules.unary_name(op))) and e.name not in taken:
+                taken.add(e.name)
+                found.setdefault(op, []).append((e, s))
+    return found
+
+
+@pytest.mark.parametrize("task", ["C", "R"])
+@pytest.mark.parametrize("rules", [catalog.DEFAULT_SET, catalog.OLDER_SET])
+def test_blocks_give_the_listed_candidates(parents, monkeypatch, task, rules):
+    monkeypatch.setattr(catalog, "SIDE", 2)
+    monkeypatch.setattr(catalog, "PASS_BYTES", 4000)
+    monkeypatch.setattr(catalog, "side_of", lambda classes: 2)
+    ds, operators = parents[task], ["ln", "square", "sigmoid", "reciprocal", "abs", RBF, "div", "minus", "product"]
+    want = listed(ds, operators, ["b", "f"], rules)
+    tribes, stats = catalog.surviving(ds, operators, ["b", "f"], 3, None, rules)
+    assert tribes == {op: [e for e, _ in own] for op, own in want.items()}
+    for own in want.values():
+        for e, s in own:
+            got = stats[e.name]
+            assert (got.rows, got.nulls, got.zeros, got.near_zeros) == (s.rows, s.nulls, s.zeros, s.near_zeros)
+            assert np.allclose([got.mean, got.m2, got.lo, got.hi], [s.mean, s.m2, s.lo, s.hi], rtol=1e-9, equal_nan=True)
+
+
+@pytest.mark.parametrize("task", ["C", "R"])
+def test_best_candidates_by_score(parents, task):
+    ds = parents[task]
+    table = catalog.candidates(ds, ["product", "sin"], ["b"])
+    scores = {r["feature"]: r["score"] for r in table.collect()}
+    every, _ = catalog.surviving(ds, ["product", "sin"], ["b"])
+    for op, exprs in every.items():
+        want = univariate_scores(ds, exprs).collect()
+        assert all(scores[r["feature"]] == pytest.approx(r["score"], rel=1e-6) for r in want)
+    kept, stats = catalog.surviving(ds, ["product", "sin"], ["b"], limit=3)
+    for op, exprs in kept.items():
+        ranked = sorted(every[op], key=lambda e: -scores[e.name])[:3]
+        assert {e.name for e in exprs} == {e.name for e in ranked} and set(stats) >= {e.name for e in exprs}
+
+
+def test_catalog_bounds():
+    assert catalog.side_of(1) == catalog.SIDE and catalog.side_of(10**6) == 1
+    stats = {f"c{i}": FeatureStats(10, 0, 0, 0, 1.0, 1.0, 0.5, 2.0) for i in range(150)}
+    names = list(stats)
+    blocks = list(catalog.blocks_of(["add", "sin", "div"], names[:100], names[100:], stats))
+    assert sum(b.size for b in blocks if b.operator == "add") == 100 * 99 // 2 + 100 * 50
+    assert all(sum(b.size for b in part) * catalog.SUM_BYTES <= catalog.PASS_BYTES for part in catalog.passes(blocks, 1))
+    assert all(len(list(b.rows())) == b.size for b in blocks)
