@@ -1,30 +1,28 @@
 """Exact k nearest neighbours of every row among the fitted rows.
 
 A fitted table of checked size travels to the executors and every batch is compared with it.
-A larger one is cut into cells around pivots. For each query the distance to a sample of fitted
-rows bounds its k-th neighbour from above, and the triangle inequality tells which cells can hold
-anything nearer; only those are visited, in blocks of bounded size on both sides.
+A larger one is cut into a tree of cells. Two passes of bounds tell which cells a query must see: its
+nearest cell gives k rows, the farthest of which bounds its k-th neighbour from above; then it visits the
+cells whose boxes the ball of that radius touches. Queries and rows meet in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featloom.dataset import CLASSIFICATION, Dataset, Feature, as_double, quoted
-from featloom.operators.batches import append_batches, batch_matrix
+from featloom.operators.batches import append_batches
+from featloom.operators.cells import Cells, grow, in_chunks, matrix, nearest_box, touched, visits
 from featloom.operators.encoding import class_values
+from featloom.session import materialise
 
 NEIGHBOURS = 5
 MAX_BROADCAST_CELLS = 8_000_000
-PIVOTS = 64
-BOUND_SAMPLE = 2048
 BLOCK_ROWS = 4096
 _QUERY_CHUNK = 256
 
@@ -103,51 +101,18 @@ class NearestNeighbours:
         return append_batches(ds.df, ds.columns, columns, compute)
 
     def _by_cells(self, ds: Dataset, columns, rows: int) -> DataFrame:
-        names = ds.names
-        width = len(names)
-        train = self._table(names)
-        order = F.xxhash64(F.lit(17), F.col("tid"))
-        sample_rows = min(BOUND_SAMPLE, rows)
-        share = -(2**63) + int(min(1.0, 2.0 * sample_rows / rows + 1e-6) * (2**64 - 1))
-        sample = train.filter(order <= F.lit(min(share, 2**63 - 1))).orderBy(order).limit(sample_rows).toPandas()
-        sample = sample.to_numpy(dtype=float)
-        if len(sample) < self.k:
-            sample = train.limit(sample_rows).toPandas().to_numpy(dtype=float)
-        points, pivots = sample[:, 2:], sample[:PIVOTS, 2:]
-        shared = ds.spark.sparkContext.broadcast((points, pivots))
-        k = self.k
-
-        xs = [f"x{i}" for i in range(width)]
+        train, k = self._table(ds.names), self.k
+        xs = [f"x{i}" for i in range(len(ds.names))]
         # Of equal rows only the k with the smallest ids can be among the nearest; the limit is
         # applied before the shuffle, so copies of one row cost no more than k rows per task.
         copy = F.row_number().over(Window.partitionBy(*xs).orderBy("tid"))
-        single = train.withColumn("copy", copy).filter(F.col("copy") <= k).drop("copy")
-        schema = ", ".join(["tid bigint", "y double", *[f"{x} double" for x in xs], "cell int", "away double"])
-        placed = single.mapInArrow(_place(shared, width), schema)
-        cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
-        radius = np.full(len(pivots), -1.0)
-        for c, (_, r) in cells.items():
-            radius[c] = r
-
-        query = ds.df.select(quoted(ds.row_id).cast("long").alias("qid"), *[ds.value(n).alias(x) for n, x in zip(names, xs)])
-        q_schema = ", ".join(["qid bigint", *[f"{x} double" for x in xs], "cell int"])
-        visits = query.mapInArrow(_visits(shared, radius, width, k), q_schema)
-        visited = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-
-        # Both sides of a cell are cut into blocks; every pair of blocks is one bounded group.
-        t_blocks = {c: max(1, -(-n // BLOCK_ROWS)) for c, (n, _) in cells.items()}
-        q_blocks = {c: max(1, -(-n // BLOCK_ROWS)) for c, n in visited.items()}
-        left = _blocked(visits, "qid", q_blocks, t_blocks, "qb", "tb")
-        right = _blocked(placed.drop("away"), "tid", t_blocks, q_blocks, "tb", "qb")
-        key = ["cell", "qb", "tb"]
-        pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-            _block_neighbours(xs, k), "qid bigint, cell int, distance double, tid bigint, y double"
-        )
-        # At most k rows per block, then per cell, then per query.
-        best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "tid", "y"))), 1, k)
-        per_cell = pairs.groupBy("qid", "cell").agg(best.alias("near"))
-        merged = per_cell.groupBy("qid").agg(
+        cells = grow(train.withColumn("copy", copy).filter(F.col("copy") <= k).drop("copy"), xs, "tid")
+        query = ds.df.select(quoted(ds.row_id).cast("long").alias("qid"), *[ds.value(n).alias(x) for n, x in zip(ds.names, xs)])
+        home = materialise(met(visits(query, cells, "qid", nearest_box), cells, k), "home-cells")
+        away = visits(home.select("qid", *xs, "bound", F.col("cell").alias("home")), cells, "qid", touched).where("cell <> home")
+        others = met(away.drop("home", "bound"), cells, k)
+        # At most k rows per block, then per query.
+        merged = home.select("qid", "near").unionByName(others.select("qid", "near")).groupBy("qid").agg(
             F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
         )
         targets = F.transform("near", lambda s: s["y"])
@@ -159,6 +124,36 @@ class NearestNeighbours:
         return ds.df.join(outcome, quoted(ds.row_id).cast("long") == F.col("qid"), "left").drop("qid")
 
 
+def met(visiting: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """Every visit with its ``k`` nearest rows of the cell, ``near``, and the distance of the k-th, ``bound``.
+
+    The visitors of a cell are dealt into blocks; a cell goes to each of its blocks.
+    """
+    xs = cells.xs
+    sizes = visiting.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("chunks"))
+    left, chunks = in_chunks(visiting, sizes, "cell", "qid")
+    right = cells.rows.join(chunks, "cell").select(F.col("cell").alias("of"), F.col("chunk").alias("of_chunk"), "tid", "y", *xs)
+    numbers = ", ".join(f"{x} double" for x in xs)
+    schema = f"qid long, {numbers}, cell long, bound double, near array<struct<distance: double, tid: long, y: double>>"
+    item = pa.struct([("distance", pa.float64()), ("tid", pa.int64()), ("y", pa.float64())])
+    kinds = pa.schema([("qid", pa.int64()), *((x, pa.float64()) for x in xs), ("cell", pa.int64()), ("bound", pa.float64()), ("near", pa.list_(item))])
+
+    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
+        if not own.num_rows or not rows.num_rows:
+            return kinds.empty_table()
+        ids, y = rows["tid"].to_numpy(), rows["y"].to_numpy()
+        found, distance = nearest(matrix(own, xs), matrix(rows, xs), ids, k)
+        width = found.shape[1]
+        bound = distance[:, -1] if width == k else np.full(len(found), np.inf)
+        flat = found.ravel()
+        items = pa.StructArray.from_arrays([pa.array(distance.ravel()), pa.array(ids[flat]), pa.array(y[flat], from_pandas=True)], fields=list(item))
+        near = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), items)
+        columns = [*(own[c].combine_chunks() for c in ("qid", *xs, "cell")), pa.array(bound), near]
+        return pa.Table.from_arrays(columns, schema=kinds)
+
+    return left.groupBy("cell", "chunk").cogroup(right.groupBy("of", "of_chunk")).applyInArrow(run, schema)
+
+
 def _outcome_of(classes: int):
     def outcome(y: np.ndarray) -> np.ndarray:
         if not classes:
@@ -170,78 +165,3 @@ def _outcome_of(classes: int):
 
 def _share_of(targets, code: int):
     return F.size(F.filter(targets, lambda y: y == F.lit(float(code)))).cast("double")
-
-
-def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
-
-
-def _place(shared, width):
-    """Nearest pivot of every fitted row, and the distance to it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                far = _distances(batch_matrix(batch, 2, width), shared.value[1])
-                cell = far.argmin(axis=1)
-                away = far[np.arange(len(far)), cell]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)],
-                    names=[*batch.schema.names, "cell", "away"],
-                )
-
-    return run
-
-
-def _visits(shared, radius, width, k):
-    """One row per query and cell that can hold one of its ``k`` nearest rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            points, pivots = shared.value
-            x = batch_matrix(batch, 1, width)
-            _, near = nearest(x, points, np.arange(len(points)), k)
-            bound = near[:, -1] * (1.0 + 1e-9) if near.shape[1] == k else np.full(len(x), np.inf)
-            gap = _distances(x, pivots) - radius[None, :]
-            rows, cells = np.nonzero((gap <= bound[:, None] + 1e-12) & (radius >= 0)[None, :])
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(pa.array(rows)) for c in batch.columns], pa.array(cells.astype(np.int32))],
-                names=[*batch.schema.names, "cell"],
-            )
-
-    return run
-
-
-def _blocked(df: DataFrame, row: str, own: dict, other: dict, own_name: str, other_name: str) -> DataFrame:
-    """Give a row its block in the cell and copy it to every block of the other side."""
-    cells = sorted(set(own) & set(other))
-    if not cells:
-        return df.filter(F.lit(False)).withColumn(own_name, F.lit(0)).withColumn(other_name, F.lit(0))
-    sizes = F.create_map(*[v for c in cells for v in (F.lit(c), F.struct(F.lit(own[c]).alias("own"), F.lit(other[c]).alias("other")))])
-    size = F.element_at(sizes, F.col("cell"))
-    kept = df.withColumn("__size", size).filter(F.col("__size").isNotNull())
-    block = F.pmod(F.xxhash64(F.lit(5), F.col(row)), F.col("__size.own")).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.col("__size.other").cast("int") - 1))
-    return kept.withColumn(own_name, block).withColumn(other_name, copies).drop("__size")
-
-
-def _block_neighbours(xs, k):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "cell": [], "distance": [], "tid": [], "y": []})
-        ids = right["tid"].to_numpy()
-        found, distance = nearest(left[xs].to_numpy(float), right[xs].to_numpy(float), ids, k)
-        flat = found.ravel()
-        return pd.DataFrame(
-            {
-                "qid": np.repeat(left["qid"].to_numpy(), found.shape[1]),
-                "cell": left["cell"].iloc[0],
-                "distance": distance.ravel(),
-                "tid": ids[flat],
-                "y": right["y"].to_numpy(float)[flat],
-            }
-        )
-
-    return run

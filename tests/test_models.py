@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from featloom import Dataset
 from featloom.functions import metrics
-from featloom.operators import neighbors
+from featloom.operators import cells, neighbors
 from featloom.operators import supervised as M
 from featloom.operators.expr import Ref, Unary
 from featloom.operators.folds import with_folds
@@ -219,14 +219,13 @@ def test_embedding(frames):
 
 def test_neighbours_both_ways(frames, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(neighbors, "PIVOTS", 8)
-    monkeypatch.setattr(neighbors, "BOUND_SAMPLE", 100)
+    monkeypatch.setattr(cells, "CELL_ROWS", 40)
     for ds in frames:
         pdf = ds.df.toPandas().sort_values("id")
         x = pdf[["a", "b", "c"]].to_numpy()
         near = np.argsort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1, kind="stable")[:, :5]
-        for cells in (10**6, 0):
-            made = neighbors.NearestNeighbours.fit(ds, max_cells=cells).transform(ds)
+        for room in (10**6, 0):
+            made = neighbors.NearestNeighbours.fit(ds, max_cells=room).transform(ds)
             names = made.names[3:]
             out = predictions(made, names).sort_values("id")[names].to_numpy()
             y = pdf[ds.label].to_numpy()[near]
@@ -237,8 +236,8 @@ def test_neighbours_both_ways(frames, monkeypatch):
 def test_duplicates_do_not_hide_neighbours(spark):
     rows = [(i, 0.0 if i < 60 else float(i), float(i)) for i in range(120)]
     ds = Dataset.of(spark.createDataFrame(rows, "id long, x double, y double"), ["x"], "y", "R", "id")
-    for cells in (10**6, 0):
-        made = neighbors.NearestNeighbours.fit(ds, max_cells=cells).transform(ds)
+    for room in (10**6, 0):
+        made = neighbors.NearestNeighbours.fit(ds, max_cells=room).transform(ds)
         out = predictions(made, ["nn_target"]).sort_values("id")["nn_target"]
         assert out.iloc[10] == 2.0 and out.iloc[119] == 117.0
 
