@@ -49,9 +49,9 @@ def test_differences_and_rolling(one_row):
     assert all(found[f"tempWinAgg_{k}_e"] == pytest.approx(v) and found[f"tempWinAgg_{k}_d"] is None for k, v in want.items())
 
 
-def test_exact_quantiles_over_buckets(table):
+def test_exact_quantiles_over_passes(table):
     shares = np.linspace(0, 1, 37)
-    found = exact_quantiles(table, shares, rows_per_bucket=50)
+    found = exact_quantiles(table, shares, room=20)
     pdf = table.df.toPandas()
     for n in table.names:
         assert np.allclose(found[n], np.percentile(pdf[n], shares * 100))
