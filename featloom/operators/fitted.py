@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from featloom.dataset import Dataset, as_double, quoted
 from featloom.functions.scalar import UNARY
 from featloom.functions.summary import FeatureStats
-from featloom.operators.batches import append_features
+from featloom.operators.batches import append_features, batch_matrix
+from featloom.operators.gram import gram_matrices, merged_tree, task_slot
 from featloom.operators.moments import stats_of
 from featloom.operators.ordering import lookup
 from featloom.operators.quantiles import exact_quantiles
@@ -24,6 +26,9 @@ from featloom.session import materialise, run_parallel
 
 CLUSTERS = 16
 QUANTILES = 1000
+# Steps of one-dimensional clustering at most, and the share of a variance below which its moves end it.
+ROUNDS = 300
+TOLERANCE = 1e-4
 SPARSE_SHARE = 0.3
 MANY_COLUMNS = 10
 
@@ -86,8 +91,11 @@ class Clustering:
     def fit(cls, ds: Dataset, k: int = CLUSTERS, seed: int = 0, name: str = "clustering_whole", inputs: Sequence[str] | None = None) -> Clustering:
         inputs = tuple(ds.names if inputs is None else inputs)
         ds = ds.spread()
-        data = assembled(ds.df.select(*[quoted(ds.by_name[n]) for n in inputs]), [ds.by_name[n] for n in inputs])
-        return cls(KMeans(k=k, seed=seed, featuresCol="__x").fit(data.select("__x")), inputs, name)
+        data = assembled(ds.df.select(*[quoted(ds.by_name[n]) for n in inputs]), [ds.by_name[n] for n in inputs]).select("__x").persist()
+        try:
+            return cls(KMeans(k=k, seed=seed, featuresCol="__x").fit(data), inputs, name)
+        finally:
+            data.unpersist()
 
     def transform(self, ds: Dataset) -> Dataset:
         model = self.model.copy().setPredictionCol("__cluster")
@@ -97,29 +105,30 @@ class Clustering:
 
 @dataclass(frozen=True)
 class Binning:
-    """Each feature's bin: nearest of at most ``CLUSTERS`` centres, numbered upwards."""
+    """Each feature's bin: nearest of at most ``CLUSTERS`` centres, numbered upwards.
+
+    A column with no more values than centres has its values as centres. The others are clustered
+    together: centres start at evenly spaced quantiles (fewer where one value fills several shares), and
+    every step moves all centres of all columns to the means of their rows in one pass, until the
+    moves of a column fall below ``TOLERANCE`` of its variance or ``rounds`` are through.
+    """
 
     centres: Mapping[str, tuple[float, ...]]
     clean: PreClean
 
     @classmethod
-    def fit(cls, ds: Dataset, k: int = CLUSTERS, seed: int = 0) -> Binning:
+    def fit(cls, ds: Dataset, k: int = CLUSTERS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Binning:
         clean = PreClean.fit(ds)
         table = clean.transform(ds)
-
-        def fit_one(name: str):
-            counts = materialise(
-                table.df.groupBy(table.value(name).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n")), "bins"
-            )
-            values = [r["v"] for r in counts.select("v").limit(k + 1).collect()]
-            if len(values) <= k:
-                return tuple(sorted(values))
-            data = assembled(counts, ["v"])
-            model = KMeans(k=k, seed=seed, featuresCol="__x", weightCol="n").fit(data)
-            return tuple(sorted(float(c[0]) for c in model.clusterCenters()))
-
-        jobs = [lambda n=n: fit_one(n) for n in table.names]
-        return cls(dict(zip(table.names, run_parallel(ds.spark, jobs))), clean)
+        if not table.names:
+            return cls({}, clean)
+        centres = {n: v for n, v in zip(table.names, few_values(table, k)) if v is not None}
+        many = [n for n in table.names if n not in centres]
+        if many:
+            wide = table.keep(many)
+            spread = wide.with_df(materialise(wide.df.select(*[quoted(c) for c in wide.columns]), "bins"))
+            centres |= _line_means(spread, k, rounds, tolerance)
+        return cls({n: centres[n] for n in table.names}, clean)
 
     def transform(self, ds: Dataset) -> Dataset:
         table = self.clean.transform(ds)
@@ -128,6 +137,67 @@ class Binning:
         return table.derived({**base, **bins})
 
 
+def few_values(ds: Dataset, limit: int) -> list[tuple[float, ...] | None]:
+    """Per feature its values in order, None where there are more than ``limit``: one pass for all."""
+    table = ds.df.select(*[v.alias(f"v{i}") for i, v in enumerate(ds.values().values())])
+    count = len(ds.names)
+
+    def kept(values: np.ndarray) -> bytes:
+        return np.unique(values[~np.isnan(values)] + 0.0)[: limit + 1].astype("<f8").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b""] * count
+        for batch in batches:
+            x = batch_matrix(batch, 0, count)
+            found = [kept(np.concatenate([np.frombuffer(f), x[:, i]])) for i, f in enumerate(found)]
+        slots = [task_slot()] * count
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(count), pa.int32()), pa.array(slots, pa.int32()), pa.array(found, pa.binary())], names=["col", "slot", "payload"]
+        )
+
+    def combine(left: bytes, right: bytes) -> bytes:
+        return kept(np.concatenate([np.frombuffer(left), np.frombuffer(right)]))
+
+    merged = merged_tree(table.mapInArrow(run, "col int, slot int, payload binary"), ["col"], combine)
+    values = {r["col"]: np.frombuffer(r["payload"]) for r in merged.collect()}
+    own = [values.get(i, np.zeros(0)) for i in range(count)]
+    return [tuple(v.tolist()) if len(v) <= limit else None for v in own]
+
+
+def _line_means(ds: Dataset, k: int, rounds: int, tolerance: float) -> dict[str, tuple[float, ...]]:
+    """One-dimensional k-means of every feature; a pass gives (column, centre, rows, sum) of all."""
+    starts = exact_quantiles(ds, (np.arange(k) + 0.5) / k)
+    centres = [np.unique(starts[n]) for n in ds.names]
+    variance = [s.std**2 for s in stats_of(ds).values()]
+    table = ds.df.select(*[v.alias(f"v{i}") for i, v in enumerate(ds.values().values())])
+    moving = np.ones(len(centres), bool)
+    for _ in range(rounds):
+        at = [c if m else None for c, m in zip(centres, moving)]
+        sums = gram_matrices(table, partial(_centre_sums, at, k))[(0, 0)]
+        for i in np.flatnonzero(moving):
+            own = sums[2 * i : 2 * i + 2, : len(centres[i])]
+            moved = centres[i] + np.divide(own[1], own[0], out=np.zeros(len(own[0])), where=own[0] > 0)
+            shift = float(((moved - centres[i]) ** 2).sum())
+            centres[i] = moved
+            # Moves by rounding are none.
+            moving[i] = shift > max(tolerance, 1e-20) * variance[i]
+        if not moving.any():
+            break
+    return {n: tuple(c.tolist()) for n, c in zip(ds.names, centres)}
+
+
+def _centre_sums(centres: list[np.ndarray | None], k: int, batch: pa.RecordBatch):
+    """Rows, and sums of the distances from their centre, per centre of each column that still moves."""
+    x = batch_matrix(batch, 0, len(centres))
+    sums = np.zeros((2 * len(centres), k))
+    for i, own in enumerate(centres):
+        if own is not None:
+            at = np.searchsorted((own[1:] + own[:-1]) / 2, x[:, i], "left")
+            sums[2 * i, : len(own)] = np.bincount(at, minlength=len(own))
+            sums[2 * i + 1, : len(own)] = np.bincount(at, x[:, i] - own[at], len(own))
+    yield (0, 0), sums
+
+
 def _bin_of(x: Column, centres: Sequence[float]) -> Column:
     passed = [(x > F.lit((a + b) / 2)).cast("double") for a, b in zip(centres, centres[1:])]
     return reduce(lambda a, b: a + b, passed, F.lit(0.0))

@@ -1,8 +1,8 @@
 """Sums of small matrices over all rows, merged in a tree.
 
-Every task adds its batches up and emits one row per key. The rows of a key are then merged in two
-levels, the first as wide as the tasks are many, up to a bound; each merge streams over its rows, so
-neither a task nor the driver holds more than a few matrices per key.
+Every task adds its batches up and emits one row per key. The rows of a key are then merged, on a
+cluster with many cores in two levels, the first ``FAN_IN`` groups wide; each merge streams over its
+rows, so neither a task nor the driver holds more than a few matrices per key.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a key that the last level merges.
+# Groups of the first level, and cores from which there is one.
 FAN_IN = 64
 
 _SCHEMA = "block int, fold int, rows int, cols int, slot int, payload binary"
@@ -50,9 +50,10 @@ def merged_tree(partial: DataFrame, keys: Sequence[str], combine: Callable[...,
         if first is not None:
             yield pa.RecordBatch.from_arrays([*[first.column(k) for k in keys], pa.array([total], pa.binary())], names=[*keys, "payload"])
 
-    narrow = partial.select(*keys, "payload", F.pmod("slot", F.lit(FAN_IN)).alias("slot"))
-    level = narrow.groupBy(*keys, "slot").applyInArrow(run, schema)
-    return level.groupBy(*keys).applyInArrow(run, schema)
+    if partial.sparkSession.sparkContext.defaultParallelism > FAN_IN:
+        narrow = partial.select(*keys, "payload", F.pmod("slot", F.lit(FAN_IN)).alias("slot"))
+        partial = narrow.groupBy(*keys, "slot").applyInArrow(run, schema)
+    return partial.select(*keys, "payload").groupBy(*keys).applyInArrow(run, schema)
 
 
 def gram_matrices(table: DataFrame, blocks: BlockFunction) -> dict[Key, np.ndarray]:

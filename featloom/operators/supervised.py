@@ -3,41 +3,37 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.dataset import CLASSIFICATION, REGRESSION, Dataset, Feature, as_double, quoted
-from featloom.operators.batches import append_features, append_vector
+from featloom.operators.batches import append_vector
+from featloom.operators.boosting import DEPTH, ROUNDS, HistogramBoosting
+from featloom.operators.dual import ROUNDS as SVM_ROUNDS
+from featloom.operators.dual import DualAscent
 from featloom.operators.encoding import class_values
 from featloom.operators.fitted import assembled
 from featloom.operators.gram import gram_matrices
+from featloom.operators.linear import GramRegression
 from featloom.operators.moments import stats_of
+from featloom.operators.network import NetworkEmbedding  # noqa: F401
 from featloom.operators.ordering import forward_fill
+from featloom.operators.process import DOT, RATIONAL, RBF, InducingProcess
 from featloom.operators.unary import fourier_weights
 from featloom.plans.selection import _standard_products, top_important
 
 FOURIER_FEATURES = 64
-RIDGE = 1e-3
 TREE_DEPTH = 4
 FULL_DEPTH = 12
 LEAKY_COLUMNS = 10
-HIDDEN = 32
 
 
 @dataclass(frozen=True)
@@ -50,13 +46,10 @@ class FourierMap:
     bias: np.ndarray
 
     @classmethod
-    def fit(cls, ds: Dataset, outputs: int = FOURIER_FEATURES, seed: int = 0, mixed: bool = False) -> FourierMap:
-        """``mixed`` draws a length scale per output, which gives a rational-quadratic kernel."""
+    def fit(cls, ds: Dataset, outputs: int = FOURIER_FEATURES, seed: int = 0) -> FourierMap:
         stats = stats_of(ds)
         d = len(ds.names)
         weights, bias = fourier_weights(d, outputs, 1.0 / d, seed)
-        if mixed:
-            weights = weights * np.sqrt(np.random.default_rng(seed + 1).gamma(1.0, 1.0, outputs))[None, :]
         return cls(
             np.array([stats[n].mean for n in ds.names]), np.array([stats[n].std or 1.0 for n in ds.names]), weights, bias
         )
@@ -110,14 +103,16 @@ class StackResidual:
     task: str
     estimator: Callable[[int], object]
     kernel: bool = False
-    mixed: bool = False
     seed: int = 0
+    drawn: bool = True
 
     def fit(self, ds: Dataset) -> FittedStack:
         means = fitted_means(ds)
-        ds = filled_forward(ds, means).spread()
+        ds = filled_forward(ds, means)
+        # Only fits that draw per partition need their rows dealt by content.
+        ds = ds.spread() if self.drawn else ds
         classes = len(class_values(ds.df, ds.label)) if self.task == CLASSIFICATION else 0
-        map1 = FourierMap.fit(ds, seed=self.seed, mixed=self.mixed) if self.kernel else None
+        map1 = FourierMap.fit(ds, seed=self.seed) if self.kernel else None
         first = _fit_model(self.estimator(classes), _inputs(ds, map1), as_double(quoted(ds.label)))
         stage = FittedStack(self, map1, first, None, None, means)
         predicted = stage.predict(ds, f"__{self.name}_pred")
@@ -131,7 +126,7 @@ class StackResidual:
             target = right
         else:
             target = label - column
-        map2 = FourierMap.fit(predicted, seed=self.seed + 1, mixed=self.mixed) if self.kernel else None
+        map2 = FourierMap.fit(predicted, seed=self.seed + 1) if self.kernel else None
         second = _fit_model(self.estimator(2 if classes else 0), _inputs(predicted, map2), target)
         return FittedStack(self, map1, first, map2, second, means)
 
@@ -180,28 +175,16 @@ def _apply_model(model, inputs: DataFrame, column: str) -> DataFrame:
 _COLUMNS = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__p"}
 
 
-def _one_vs_rest(binary, classes: int):
-    return binary if classes <= 2 else OneVsRest(classifier=binary, parallelism=2, **_COLUMNS)
-
-
 def linear_regression(seed: int = 0) -> StackResidual:
-    return StackResidual("linear", REGRESSION, lambda k: LinearRegression(**_COLUMNS), seed=seed)
-
+    return StackResidual("linear", REGRESSION, lambda k: GramRegression(), seed=seed, drawn=False)
 
-def support_vector_regression(seed: int = 0) -> StackResidual:
-    make = lambda k: LinearRegression(loss="huber", maxIter=50, regParam=RIDGE, **_COLUMNS)
-    return StackResidual("svr", REGRESSION, make, kernel=True, seed=seed)
 
+def support_vector_regression(seed: int = 0, rounds: int = SVM_ROUNDS) -> StackResidual:
+    return StackResidual("svr", REGRESSION, lambda k: DualAscent(rounds=rounds), kernel=True, seed=seed, drawn=False)
 
-def support_vector_classification(seed: int = 0) -> StackResidual:
-    make = lambda k: _one_vs_rest(LinearSVC(maxIter=50, regParam=RIDGE, **_COLUMNS), k)
-    return StackResidual("svc", CLASSIFICATION, make, kernel=True, seed=seed)
 
-
-def _ridge(k: int):
-    if k:
-        return LogisticRegression(regParam=RIDGE, maxIter=50, **_COLUMNS)
-    return LinearRegression(regParam=RIDGE, **_COLUMNS)
+def support_vector_classification(seed: int = 0, rounds: int = SVM_ROUNDS) -> StackResidual:
+    return StackResidual("svc", CLASSIFICATION, lambda k: DualAscent(max(k, 2), rounds=rounds), kernel=True, seed=seed, drawn=False)
 
 
 def _suffix(task: str) -> str:
@@ -209,15 +192,15 @@ def _suffix(task: str) -> str:
 
 
 def dot_product_process(task: str, seed: int = 0) -> StackResidual:
-    return StackResidual(f"gaudotwhite_{_suffix(task)}", task, _ridge, seed=seed)
+    return StackResidual(f"gaudotwhite_{_suffix(task)}", task, lambda k: InducingProcess(DOT, k), seed=seed, drawn=False)
 
 
 def rational_quadratic_process(task: str, seed: int = 0) -> StackResidual:
-    return StackResidual(f"gauexp_{_suffix(task)}", task, _ridge, kernel=True, mixed=True, seed=seed)
+    return StackResidual(f"gauexp_{_suffix(task)}", task, lambda k: InducingProcess(RATIONAL, k), seed=seed, drawn=False)
 
 
 def rbf_process(task: str, seed: int = 0) -> StackResidual:
-    return StackResidual(f"gaurbf_{_suffix(task)}", task, _ridge, kernel=True, seed=seed)
+    return StackResidual(f"gaurbf_{_suffix(task)}", task, lambda k: InducingProcess(RBF, k), seed=seed, drawn=False)
 
 
 def random_forest(task: str, seed: int = 0, trees: int = 100, depth: int = 10) -> StackResidual:
@@ -228,12 +211,10 @@ def random_forest(task: str, seed: int = 0, trees: int = 100, depth: int = 10) -
     return StackResidual("rfr", task, make, seed=seed)
 
 
-def gradient_boosting(task: str, seed: int = 0, rounds: int = 20, depth: int = 5) -> StackResidual:
-    if task == CLASSIFICATION:
-        make = lambda k: _one_vs_rest(GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, **_COLUMNS), k)
-        return StackResidual("xgb_cla", task, make, seed=seed)
-    make = lambda k: GBTRegressor(maxIter=rounds, maxDepth=depth, seed=seed, **_COLUMNS)
-    return StackResidual("xgb_reg", task, make, seed=seed)
+def gradient_boosting(task: str, seed: int = 0, rounds: int = ROUNDS, depth: int = DEPTH) -> StackResidual:
+    """Histogram boosting; nothing in it is drawn, so ``seed`` changes nothing."""
+    name = "xgb_cla" if task == CLASSIFICATION else "xgb_reg"
+    return StackResidual(name, task, lambda k: HistogramBoosting(k, rounds, depth), seed=seed, drawn=False)
 
 
 def _tree(task: str, depth: int, seed: int):
@@ -336,54 +317,3 @@ class LeakyInfo:
             guess = reduce(lambda a, b: a + b, [base[n] * F.lit(v) for n, v in slopes.items()], F.lit(start))
             added[f"{name}_leaky"] = guess - base[name]
         return ds.derived({**base, **added})
-
-
-@dataclass(frozen=True)
-class NetworkEmbedding:
-    """Last hidden layer of a two-layer perceptron classifier: ``mlp_pred_<i>_<inputs>``."""
-
-    means: np.ndarray
-    scales: np.ndarray
-    layers: tuple
-    model: object
-
-    @classmethod
-    def fit(cls, ds: Dataset, hidden: int = HIDDEN, rounds: int = 100, seed: int = 0) -> NetworkEmbedding:
-        if ds.task != CLASSIFICATION:
-            raise ValueError("the embedding is fitted on classes")
-        stats = stats_of(ds)
-        means = np.array([stats[n].mean for n in ds.names])
-        scales = np.array([stats[n].std or 1.0 for n in ds.names])
-        classes = len(class_values(ds.df, ds.label))
-        sizes = [len(ds.names), hidden, hidden, classes]
-        network = MultilayerPerceptronClassifier(layers=sizes, maxIter=rounds, seed=seed, **_COLUMNS)
-        model = _fit_model(network, _standard_inputs(ds, means, scales), as_double(quoted(ds.label)))
-        return cls(means, scales, _unpack(model.weights.toArray(), sizes), model)
-
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.means) / self.scales
-        for weight, bias in self.layers[:-1]:
-            z = 1.0 / (1.0 + np.exp(-(z @ weight + bias)))
-        return z
-
-    def transform(self, ds: Dataset) -> Dataset:
-        means, scales, layers = self.means, self.scales, self.layers
-        plain = NetworkEmbedding(means, scales, layers, None)
-        width = layers[-2][1].shape[0]
-        return append_features(ds, [f"mlp_pred_{i}_{len(ds.names)}" for i in range(width)], plain.hidden)
-
-
-def _standard_inputs(ds: Dataset, means, scales) -> DataFrame:
-    arrays = append_vector(ds.df, ds.columns, "__a", lambda x: (x - means) / scales)
-    return arrays.withColumn("__x", array_to_vector("__a")).drop("__a")
-
-
-def _unpack(flat: np.ndarray, sizes: Sequence[int]) -> tuple:
-    """(inputs x outputs weights, bias) per layer from the model's flat weight vector."""
-    layers, at = [], 0
-    for inputs, outputs in zip(sizes, sizes[1:]):
-        weight = flat[at:at + inputs * outputs].reshape(inputs, outputs)
-        at += inputs * outputs
-        layers.append((weight, flat[at:at + outputs]))
-        at += outputs
-    return tuple(layers)

@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from featloom.functions.summary import FeatureStats
 from featloom.operators.batches import batch_matrix
 from featloom.operators.expr import Expr, Ref, refs, to_array, to_column
 from featloom.operators.folds import FOLD
+from featloom.operators.forest import ForestArrays
 from featloom.operators.gram import gram_matrices
 from featloom.operators.moments import stats_of
 from featloom.operators.sampling import donors, holdout
@@ -285,27 +285,46 @@ def baseline_scores(datasets: Mapping[str, Dataset], scorer) -> DataFrame:
 def permutation_importance(ds: Dataset, forest: ForestScorer | None = None, repeats: int = 5, seed: int = 0) -> DataFrame:
     """Columns feature, importance: mean loss of the metric when one feature's values are permuted.
 
-    Permuted values come from a donor row. All features are scored in one job per repeat: every
-    test row is predicted once per feature with only that feature replaced.
+    Permuted values come from a donor row. All features are scored in one pass per repeat: a batch is
+    evaluated as it is, then with one column replaced after the other, by the trees that look at it.
     """
     forest = forest or ForestScorer(trees=100)
     train, test = holdout(ds, seed=seed)
     model = forest.estimator(ds.task).fit(vectors(train, [Ref(n) for n in ds.names]))
+    arrays = ForestArrays.of(ds.spark, model)
     losses = np.zeros(len(ds.names))
+    centre = 0.0
+    if ds.task != CLASSIFICATION:
+        centre = test.df.agg(F.avg(as_double(quoted(ds.label)))).first()[0] or 0.0
     for repeat in range(repeats):
         paired = donors(test, test.columns, "__d_", seed + repeat)
-        own = [as_double(quoted(c)) for c in test.columns]
-        other = [as_double(quoted("__d_" + c)) for c in test.columns]
-        variants = [F.array(*own)]
-        variants += [F.array(*[other[k] if k == j else own[k] for k in range(len(own))]) for j in range(len(own))]
-        spread = paired.df.select(as_double(quoted(ds.label)).alias("y"), F.posexplode(F.array(*variants)).alias("variant", "a"))
-        found = model.transform(spread.select("y", "variant", array_to_vector("a").alias("x")))
-        if ds.task == CLASSIFICATION:
-            rows = weighted_f1(confusion(found, "y", "predicted", ["variant"]), ["variant"]).collect()
-            quality = {r["variant"]: r["f1"] for r in rows}
-        else:
-            rows = relative_absolute_error(found, "y", "predicted", ["variant"]).collect()
-            quality = {r["variant"]: 1.0 - r["rae"] for r in rows}
-        losses += np.array([quality[0] - quality[j + 1] for j in range(len(own))])
+        table = paired.df.select(
+            as_double(quoted(ds.label)).alias("y"),
+            *[as_double(quoted(c)).alias(f"x{i}") for i, c in enumerate(test.columns)],
+            *[as_double(quoted("__d_" + c)).alias(f"d{i}") for i, c in enumerate(test.columns)],
+        )
+        outcomes = gram_matrices(table, partial(_replaced_outcomes, arrays, len(ds.names), centre))
+        quality = {v: _outcome_metric(outcomes[(v, 0)], ds.task) for v in range(len(ds.names) + 1)}
+        losses += np.array([quality[0] - quality[j + 1] for j in range(len(ds.names))])
     rows = [(n, float(v)) for n, v in zip(ds.names, losses / repeats)]
     return ds.spark.createDataFrame(rows, "feature string, importance double")
+
+
+def _replaced_outcomes(forest: ForestArrays, width: int, centre: float, batch: pa.RecordBatch):
+    """Confusion counts, or errors of the prediction and of the mean, of every variant."""
+    y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+    known = ~np.isnan(y)
+    y = y[known]
+    x, other = (batch_matrix(batch, 1 + at, width)[known] for at in (0, width))
+    for variant, predicted in forest.replaced(x, other):
+        if forest.classes:
+            cells = np.bincount(y.astype(int) * forest.classes + predicted.astype(int), minlength=forest.classes**2)
+            yield (variant, 0), cells.reshape(forest.classes, -1).astype(float)
+        else:
+            yield (variant, 0), np.array([[np.abs(y - predicted).sum(), np.abs(y - centre).sum()]])
+
+
+def _outcome_metric(outcome: np.ndarray, task: str) -> float:
+    if task == CLASSIFICATION:
+        return f1_of_matrix(outcome)
+    return 1.0 - (outcome[0, 0] / outcome[0, 1] if outcome[0, 1] else float("nan"))

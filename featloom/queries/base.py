@@ -114,3 +114,35 @@ def by_flag(df: DataFrame, columns: dict[str, Column], key: str) -> DataFrame:
 def by_flag_sql(source: str, columns: dict[str, str], key: str, frm: str = "base") -> str:
     means = ", ".join(f"{single_sql(f'avg({e})')} AS {n}" for n, e in columns.items())
     return f"WITH {source} SELECT {key}, count(*) AS n, {means} FROM {frm} GROUP BY {key}"
+
+
+def least_squares_sql(name: str, source: str, y: str, xs: Sequence[str], keys: Sequence[str] = (), weight: str = "TRUE") -> tuple[str, str]:
+    """CTEs that fit ``y`` on ``xs`` per key, and the prediction from columns of the last one (alias ``name``) and the ``xs``.
+
+    Every regressor is freed from those before it, so each coefficient is a slope of one variable.
+    """
+    by = ", ".join(keys)
+    group, lead = (f" GROUP BY {by}", f"{by}, ") if keys else ("", "")
+    join = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys) or "TRUE"
+    ctes, previous = [], None
+    free = []
+    for i, x in enumerate(xs):
+        table = f"{name}_{i}" if i + 1 < len(xs) else name
+        own = f"s.{x} - p.m{i}" if i else None
+        if i:
+            own += "".join(f" - p.b{i}_{j} * ({z})" for j, z in enumerate(free))
+            free.append(own)
+        else:
+            free.append(f"s.{x}" if previous else "")
+        if not i:
+            means = ", ".join([f"avg({y}) AS my", *[f"avg({c}) AS m{k}" for k, c in enumerate(xs)]])
+            slopes = ", ".join([f"coalesce(regr_slope({y}, {x}), 0) AS c0", *[f"coalesce(regr_slope({c}, {x}), 0) AS b{k}_0" for k, c in enumerate(xs) if k]])
+            ctes.append(f"{table} AS (SELECT {lead}{means}, {slopes} FROM {source} WHERE {weight}{group})")
+            free[0] = f"s.{x} - p.m0"
+        else:
+            slopes = ", ".join([f"coalesce(regr_slope(s.{y}, {own}), 0) AS c{i}", *[f"coalesce(regr_slope(s.{c}, {own}), 0) AS b{k}_{i}" for k, c in enumerate(xs) if k > i]])
+            inner = f"SELECT {', '.join(f's.{k}' for k in keys) + ', ' if keys else ''}{slopes} FROM {source} s JOIN {previous} p ON {join('s', 'p')} WHERE {weight}{' GROUP BY ' + ', '.join(f's.{k}' for k in keys) if keys else ''}"
+            ctes.append(f"{table} AS (SELECT q.*, {', '.join(['t.c' + str(i), *[f't.b{k}_{i}' for k in range(i + 1, len(xs))]])} FROM {previous} q JOIN ({inner}) t ON {join('q', 't')})")
+        previous = table
+    terms = [f"{name}.c{i} * ({z.replace('p.', name + '.').replace('s.', 'r.')})" for i, z in enumerate(free)]
+    return ", ".join(ctes), f"{name}.my + " + " + ".join(terms)

@@ -15,6 +15,7 @@ from featloom.operators.folds import FOLD, with_folds
 from featloom.operators.generate import append, children
 from featloom.operators.neighbors import NearestNeighbours
 from featloom.operators.ordering import forward_fill
+from featloom.operators.process import NOISES
 from featloom.plans import selection as K
 from featloom.plans.fitness import (
     ForestScorer,
@@ -27,6 +28,7 @@ from featloom.plans.fitness import (
 from featloom.queries.base import (
     LINE_FEATURES,
     LINE_SQL,
+    least_squares_sql,
     line_items,
     load,
     query,
@@ -162,14 +164,56 @@ def linear_class_fitness(spark, sf_dir):
     return frame.select(single(F.col("fitness")).alias("fitness"), single(F.col("std")).alias("std"))
 
 
-@query("fitness_of_many_sets")
+_ORDER_FOLDS = (
+    "SELECT o_totalprice, dayofyear(o_orderdate)::DOUBLE AS day, substring(o_orderpriority, 1, 1)::DOUBLE AS priority, "
+    "dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS y, ntile(5) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS fold FROM orders"
+)
+_BRAND = "CASE WHEN p_retailprice < 950 THEN 1 ELSE 0 END"
+_BRAND_FOLDS = (
+    f"SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, {_BRAND} AS y, ntile(5) OVER (PARTITION BY {_BRAND} ORDER BY p_partkey) AS fold FROM part"
+)
+_PRICE_FOLDS = "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, p_retailprice AS y, ntile(5) OVER (ORDER BY p_partkey) AS fold FROM part"
+
+
+def _class_fitness_sql(rows: str, xs) -> str:
+    """Cross-validated weighted F1 of least squares on class indicators, the largest wins."""
+    fits, predicted = least_squares_sql("m", "src", "t", xs, ["f", "c"])
+    return (
+        f"WITH b AS ({rows}), every AS (SELECT DISTINCT y AS c FROM b), "
+        "src AS (SELECT b.*, f, c, (y = c)::INTEGER::DOUBLE AS t FROM b, every, (SELECT DISTINCT fold AS f FROM b) WHERE fold <> f), "
+        f"{fits}, numbered AS (SELECT row_number() OVER () AS id, * FROM b), "
+        f"base AS (SELECT any_value(r.fold) AS l_linestatus, any_value(r.y) AS actual, arg_max(m.c, {predicted}) AS predicted "
+        "FROM numbered r JOIN m ON m.f = r.fold GROUP BY r.id), " + _F1_PARTS
+        + ", folds AS (SELECT s, sum(2.0::DOUBLE * hits / (support + guessed) * support) / sum(support) AS f1 FROM parts GROUP BY s) "
+        f"SELECT {single_sql('avg(f1)')} AS fitness, {single_sql('stddev_pop(f1)')} AS std FROM folds"
+    )
+
+
+def _value_fitness_sql(rows: str, xs) -> str:
+    """Cross-validated 1 - relative absolute error of least squares."""
+    fits, predicted = least_squares_sql("m", "src", "y", xs, ["f"])
+    return (
+        f"WITH b AS ({rows}), src AS (SELECT b.*, f FROM b, (SELECT DISTINCT fold AS f FROM b) WHERE fold <> f), {fits}, "
+        "t AS (SELECT fold AS tf, avg(y) AS mean FROM b GROUP BY 1), "
+        f"e AS (SELECT r.fold, sum(abs(r.y - ({predicted}))) / sum(abs(r.y - mean)) AS rae FROM b r JOIN m ON m.f = r.fold JOIN t ON tf = r.fold GROUP BY 1) "
+        f"SELECT {single_sql('1 - avg(rae)')} AS fitness, {single_sql('stddev_pop(rae)')} AS std FROM e"
+    )
+
+
+_SETS = [["o_totalprice"], ["day", "priority"], ["o_totalprice", "day", "priority"]]
+
+
+def _scores(frame):
+    return frame.withColumns({c: single(F.col(c)) for c in ("fitness", "std")})
+
+
+@query("fitness_of_many_sets", " UNION ALL ".join(f"SELECT '{'+'.join(g)}' AS features, * FROM ({_class_fitness_sql(_ORDER_FOLDS, g)})" for g in _SETS))
 def many_sets(spark, sf_dir):
     """Weighted F1 of many feature sets at once."""
     ds = _folded(_orders(spark, sf_dir))
-    groups = [["o_totalprice"], ["day", "priority"], ["o_totalprice", "day", "priority"]]
-    scores = LinearScorer().score_many(ds, [[Ref(n) for n in g] for g in groups])
-    rows = [("+".join(g), f, s) for g, (f, s) in zip(groups, scores)]
-    return spark.createDataFrame(rows, "features string, fitness double, std double")
+    scores = LinearScorer().score_many(ds, [[Ref(n) for n in g] for g in _SETS])
+    rows = [("+".join(g), f, s) for g, (f, s) in zip(_SETS, scores)]
+    return _scores(spark.createDataFrame(rows, "features string, fitness double, std double"))
 
 
 @query("fitness_forest_classification")
@@ -192,25 +236,35 @@ def holdout_fitness(spark, sf_dir):
     return spark.createDataFrame(rows, "task string, fitness double, std double")
 
 
-@query("fitness_of_subset")
+@query("fitness_of_subset", _class_fitness_sql(_BRAND_FOLDS, ["p_size"]))
 def subset_fitness(spark, sf_dir):
     ds = _folded(_part_brands(spark, sf_dir))
-    return spark.createDataFrame([LinearScorer().score(ds.keep(["p_size"]))], "fitness double, std double")
+    return _scores(spark.createDataFrame([LinearScorer().score(ds.keep(["p_size"]))], "fitness double, std double"))
 
 
-@query("baseline_scores")
+@query(
+    "baseline_scores",
+    f"SELECT 'brands' AS dataset, 2 AS features, * FROM ({_class_fitness_sql(_BRAND_FOLDS, ['p_partkey', 'p_size'])}) UNION ALL "
+    f"SELECT 'prices' AS dataset, 2 AS features, * FROM ({_value_fitness_sql(_PRICE_FOLDS, ['p_partkey', 'p_size'])})",
+)
 def baselines(spark, sf_dir):
     """Both tasks scored as loaded."""
     datasets = {"brands": _folded(_part_brands(spark, sf_dir)), "prices": _folded(_parts(spark, sf_dir))}
-    return baseline_scores(datasets, LinearScorer())
+    return _scores(baseline_scores(datasets, LinearScorer()))
 
 
-@query("score_compare")
+@query(
+    "score_compare",
+    "SELECT fitness AS initial, std AS initial_std, fitness AS current, std AS current_std, 0.0::DOUBLE AS increase "
+    f"FROM ({_value_fitness_sql(_PRICE_FOLDS, ['p_partkey', 'p_size'])})",
+)
 def compare(spark, sf_dir):
-    """Fitness of the base features, of the derived ones, and the relative increase."""
+    """Fitness of the base features, of the derived ones, and the relative increase: none, as a sum of features adds nothing to a linear score."""
     ds = _folded(_parts(spark, sf_dir))
     made, _ = children(ds, "add")
-    return score_compare(ds, _folded(append(ds, made)), LinearScorer())
+    found = score_compare(ds, _folded(append(ds, made)), LinearScorer())
+    rounded = {c: single(F.col(c)) for c in ("initial", "initial_std", "current", "current_std")}
+    return found.withColumns({**rounded, "increase": F.round("increase", 6) + F.lit(0.0)})
 
 
 @query("permutation_importance")
@@ -321,7 +375,7 @@ for _name, _make, _data in [
     ("rbf_classification", partial(M.rbf_process, "C"), _part_brands),
     ("forest_classification", partial(M.random_forest, "C", trees=20), _orders),
     ("forest_regression", partial(M.random_forest, "R", trees=20), _parts),
-    ("boosting_classification", partial(M.gradient_boosting, "C", rounds=5, depth=3), _orders),
+    ("boosting_classification", partial(M.gradient_boosting, "C", rounds=10), _orders),
     ("boosting_regression", partial(M.gradient_boosting, "R", rounds=10), _parts),
 ]:
     query(_name)(_stacked(_make, _data))
@@ -334,6 +388,65 @@ def _fitted(kind, dataset):
     return run
 
 
+_STUMP_FEATURES = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+def _stumps_sql() -> str:
+    """Every threshold of every feature: gains in closed form, the best per class."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS f, CAST({c} AS DOUBLE) AS x, y FROM b" for i, c in enumerate(_STUMP_FEATURES))
+    gain = "gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)"
+    return (
+        "WITH b AS (SELECT *, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS y FROM lineitem), "
+        "k AS (SELECT DISTINCT y AS k FROM b), p AS (SELECT 1.0::DOUBLE / count(*) AS p FROM k), "
+        f"cells AS ({cells}), n AS (SELECT f, x, k, sum(p - (y = k)::INTEGER) AS g, count(*) * 2 * max(p) * (1 - max(p)) AS h FROM cells, k, p GROUP BY 1, 2, 3), "
+        "s AS (SELECT f, k, x AS threshold, sum(g) OVER w - g AS gl, sum(h) OVER w - h AS hl, sum(g) OVER (PARTITION BY f, k) AS g, "
+        "sum(h) OVER (PARTITION BY f, k) AS h FROM n WINDOW w AS (PARTITION BY f, k ORDER BY x)), "
+        f"r AS (SELECT *, {gain} AS gain FROM s WHERE hl >= 1 AND h - hl >= 1), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(gain, 6) DESC, f, threshold) AS place FROM r) "
+        f"SELECT k::INTEGER AS class, f::INTEGER AS feature, threshold, {single_sql('gain')} AS gain, "
+        f"{single_sql('-0.3 * gl / (hl + 1)')} AS left_weight, {single_sql('-0.3 * (g - gl) / (h - hl + 1)')} AS right_weight FROM best WHERE place = 1"
+    )
+
+
+@query("boosting_stumps", _stumps_sql())
+def stumps(spark, sf_dir):
+    """One round of trees of depth one, a tree per class."""
+    coded, _ = encode_label(load(spark, sf_dir, "lineitem"), "l_returnflag", "y")
+    ds = Dataset.of(coded, _STUMP_FEATURES, "y")
+    model = M._fit_model(M.HistogramBoosting(3, rounds=1, depth=1), M._inputs(ds, None), F.col("y").cast("double"))
+    rows = [(k, t.feature[0], t.threshold[0], t.gain[0], t.weight[1], t.weight[2]) for k, t in enumerate(model.rounds[0])]
+    frame = spark.createDataFrame(rows, "class int, feature int, threshold double, gain double, left_weight double, right_weight double")
+    return frame.withColumns({c: single(F.col(c)) for c in ("gain", "left_weight", "right_weight")})
+
+
+def _dot_process_sql() -> str:
+    """Two standardised features and a constant: the posterior of three weights, the noise by the marginal likelihood."""
+    noises = ", ".join(f"({v})" for v in NOISES)
+    return (
+        "WITH b AS (SELECT p_brand, p_partkey::DOUBLE AS a, p_size::DOUBLE AS s, p_retailprice AS y FROM part), "
+        "g AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(s) AS ms, stddev_pop(s) AS ss, avg(y) AS my, stddev_pop(y) AS sy, "
+        "corr(a, s) AS r, corr(a, y) AS ra, corr(s, y) AS rs FROM b), "
+        f"v AS (SELECT CAST(column0 AS DOUBLE) AS v FROM (VALUES {noises}) AS given(column0)), "
+        "d AS (SELECT *, 1 + n / v AS p, n * r / v AS o FROM g, v), e AS (SELECT *, p * p - o * o AS det, n * ra / v AS ba, n * rs / v AS bs FROM d), "
+        "w AS (SELECT *, (p * ba - o * bs) / det AS wa, (p * bs - o * ba) / det AS ws FROM e), "
+        "l AS (SELECT *, -0.5 * (n * ln(2 * pi() * v) + ln(p * det) + n / v - (ba * wa + bs * ws)) AS likelihood FROM w), "
+        "best AS (SELECT * FROM l ORDER BY likelihood DESC LIMIT 1), "
+        "z AS (SELECT p_brand, (a - ma) / sa AS za, (s - ms) / ss AS zs, best.* FROM b, best) "
+        f"SELECT p_brand, count(*) AS n, {single_sql('avg(my + sy * (wa * za + ws * zs))')} AS mean, "
+        f"{single_sql('avg(sy * sy * (1 / p + (p * za * za + p * zs * zs - 2 * o * za * zs) / det))')} AS variance FROM z GROUP BY p_brand"
+    )
+
+
+@query("dot_product_process", _dot_process_sql())
+def dot_process(spark, sf_dir):
+    """Posterior mean and variance per brand."""
+    ds = _parts(spark, sf_dir)
+    model = M._fit_model(M.InducingProcess(M.DOT), M._inputs(ds, None), F.col("p_retailprice"))
+    found = model.transform(M._inputs(ds, None))
+    return found.groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("n"), single(F.avg("__p")).alias("mean"), single(F.avg("__variance")).alias("variance"))
+
+
 query("tree_features_classification")(_fitted(M.TreeFeatures, _orders))
 query("tree_features_regression")(_fitted(M.TreeFeatures, _parts))
 query("network_embedding")(_fitted(M.NetworkEmbedding, _part_brands))

@@ -221,9 +221,38 @@ def binning(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), *[F.sum(made.value(f"binning_{c}")).cast("long").alias(f"{c}_bins") for c in _BINS])
 
 
-@query("binning_continuous")
+_STEPS = 8
+
+
+def _line_means_sql() -> str:
+    """One-dimensional k-means from evenly spaced quantiles, a few steps, and the bins they end in."""
+    starts = "list_value(" + ", ".join(str((i + 0.5) / 16) for i in range(16)) + ")"
+    parts = [
+        "v AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem)",
+        f"c0 AS (SELECT list_sort(list_distinct(quantile_cont(x, {starts}))) AS c FROM v)",
+    ]
+    place = "len(list_filter(range(1, len(c)), lambda i: (c[i] + c[i + 1]) / 2 < x)) + 1"
+    for i in range(_STEPS):
+        parts.append(f"m{i} AS (SELECT {place} AS j, avg(x) AS m FROM v, c{i} GROUP BY 1)")
+        parts.append(f"c{i + 1} AS (SELECT list(m ORDER BY j) AS c FROM m{i})")
+    return (
+        "WITH " + ", ".join(parts) + f" SELECT ({place} - 1)::INTEGER AS bin, count(*) AS n, min(x) AS lo, max(x) AS hi FROM v, c{_STEPS} GROUP BY 1"
+    )
+
+
+@query("binning_continuous", _line_means_sql())
 def binning_continuous(spark, sf_dir):
+    """Bins of a column with many values after a fixed number of steps."""
     ds = _lines(spark, sf_dir, ["l_quantity", "l_extendedprice"])
+    made = fitted.Binning.fit(ds, rounds=_STEPS, tolerance=0.0).transform(ds)
+    return made.df.groupBy(made.value("binning_l_extendedprice").cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+
+
+@query("binning_until_still")
+def binning_until_still(spark, sf_dir):
+    """The same with the defaults: until the centres hardly move."""
+    ds = _lines(spark, sf_dir, ["l_quantity", "l_extendedprice", "l_discount"])
     made = fitted.Binning.fit(ds).transform(ds)
     return made.df.groupBy(made.value("binning_l_extendedprice").cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))

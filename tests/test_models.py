@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from featloom import Dataset
 from featloom.functions import metrics
-from featloom.operators import cells, neighbors
+from featloom.operators import cells, neighbors, network
 from featloom.operators import supervised as M
 from featloom.operators.expr import Ref, Unary
 from featloom.operators.folds import with_folds
@@ -150,7 +150,7 @@ def test_linear_stack(frames):
     assert np.allclose(out["linear_pred"], want, atol=1e-6) and np.abs(out["linear_pred_diff"]).max() < 1e-6
 
 
-@pytest.mark.parametrize("spec", [M.support_vector_regression(), M.dot_product_process("R"), M.rational_quadratic_process("R"),
+@pytest.mark.parametrize("spec", [M.support_vector_regression(rounds=5), M.dot_product_process("R"), M.rational_quadratic_process("R"),
                                   M.rbf_process("R"), M.random_forest("R", trees=5), M.gradient_boosting("R", rounds=3)],
                          ids=lambda s: s.name)
 def test_regression_stacks(frames, spec):
@@ -160,7 +160,7 @@ def test_regression_stacks(frames, spec):
     assert np.corrcoef(out[f"{spec.name}_pred"], out["y"])[0, 1] > 0.8
 
 
-@pytest.mark.parametrize("spec", [M.support_vector_classification(), M.dot_product_process("C"), M.rbf_process("C"),
+@pytest.mark.parametrize("spec", [M.support_vector_classification(rounds=4), M.dot_product_process("C"), M.rbf_process("C"),
                                   M.random_forest("C", trees=5), M.gradient_boosting("C", rounds=2)], ids=lambda s: s.name)
 def test_classification_stacks(frames, spec):
     ds = frames[1]
@@ -205,16 +205,40 @@ def test_leaky(frames):
     assert np.allclose(predictions(made, ["a_leaky"]).sort_values("id")["a_leaky"], want, atol=1e-8)
 
 
-def test_embedding(frames):
-    ds = frames[1]
-    network = M.NetworkEmbedding.fit(ds, rounds=20)
-    made = network.transform(ds)
+@pytest.mark.parametrize("which", [0, 1])
+def test_embedding(frames, which):
+    ds = frames[which]
+    fitted = network.NetworkEmbedding.fit(ds, epochs=3, batch_rows=100, rate=0.01)
+    made = fitted.transform(ds)
     assert len(made.names) == 35 and made.names[3] == "mlp_pred_0_3"
     hidden = predictions(made, made.names[3:]).sort_values("id")[made.names[3:]].to_numpy()
-    weight, bias = network.layers[-1]
-    standard = M._standard_inputs(ds, network.means, network.scales)
-    want = network.model.transform(standard).select("id", "__p").toPandas().sort_values("id")["__p"]
-    assert ((hidden @ weight + bias).argmax(axis=1) == want.to_numpy()).all()
+    assert (hidden >= 0).all() and (hidden == 0).any()
+    x = ds.df.toPandas().sort_values("id")[["a", "b", "c"]].to_numpy()
+    weight, bias = fitted.layers[-1]
+    out = hidden @ weight + bias
+    assert np.allclose(fitted.predict(x), out.argmax(axis=1) if fitted.classes else out[:, 0])
+    assert fitted.losses[-1] < fitted.losses[0]
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_one_network_step_is_that_of_one_machine(frames, which):
+    ds = frames[which]
+    pdf = ds.df.toPandas()
+    x, y = pdf[["a", "b", "c"]].to_numpy(), pdf[ds.label].to_numpy(float)
+    fitted = network.NetworkEmbedding.fit(ds, epochs=1, batch_rows=10**6, seed=4)
+    sizes = [3, 32, 32, fitted.classes or 1]
+    start = network.flat(network.initial_layers(sizes, 4))
+    z = (x - x.mean(0)) / x.std(0)
+    loss, gradient = network.gradients(network.unflat(start, sizes), z, y, fitted.classes)
+    assert fitted.losses == (pytest.approx(loss / len(y)),)
+    want = network.Adam(len(start)).move(start, gradient / len(y))
+    assert np.allclose(network.flat(list(fitted.layers)), want, atol=1e-12)
+    for at in np.random.default_rng(0).integers(0, len(start), 25):
+        up, down = start.copy(), start.copy()
+        up[at] += 1e-6
+        down[at] -= 1e-6
+        slope = (network.gradients(network.unflat(up, sizes), z, y, fitted.classes)[0] - network.gradients(network.unflat(down, sizes), z, y, fitted.classes)[0]) / 2e-6
+        assert slope == pytest.approx(gradient[at], rel=1e-3, abs=0.2 if not fitted.classes else 1e-3)
 
 
 def test_neighbours_both_ways(frames, monkeypatch):
