@@ -84,7 +84,7 @@ def derivatives(margin: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.nda
     """First and second derivatives of the loss per row and margin: squared error, logistic, or softmax."""
     if not classes:
         return margin - y[:, None], np.ones_like(margin)
-    if classes == 2:
+    if classes <= 2:
         p = 1.0 / (1.0 + np.exp(-margin))
         return p - y[:, None], np.maximum(p * (1.0 - p), 1e-16)
     p = np.exp(margin - margin.max(axis=1, keepdims=True))

@@ -1,6 +1,6 @@
 """Support vector machines by dual coordinate ascent in blocks.
 
-Rows lie in blocks, each with its dual variables. A round runs an epoch of coordinate ascent inside every
+Rows lie in blocks, each with its dual variables. A round runs some epochs of coordinate ascent inside every
 block against the weights all blocks share, and adds up what the blocks would move them by; the local
 steps are damped by the number of blocks, so that the sum of all moves cannot overshoot. The gap between
 the primal and the dual value bounds the distance to the optimum and ends the rounds.
@@ -21,6 +21,8 @@ from featloom.operators.rows import arrays, inputs_of, with_columns
 from featloom.session import materialise
 
 ROUNDS = 30
+# Passes over a block inside a round.
+EPOCHS = 5
 GAP = 1e-2
 STRENGTH = 1e-3
 TUBE = 0.1
@@ -61,6 +63,7 @@ class DualAscent:
     tube: float = TUBE
     rounds: int = ROUNDS
     gap: float = GAP
+    epochs: int = EPOCHS
 
     def fit(self, df: DataFrame) -> DualModel:
         rows = materialise(arrays(df), "dual-rows")
@@ -103,7 +106,7 @@ class DualAscent:
         return materialise(placed.groupBy("block").applyInArrow(pack, PACKED), "dual")
 
     def stepped(self, table: DataFrame, weights: np.ndarray, n: int, blocks: int) -> DataFrame:
-        """Every block after an epoch, with its move of the weights, and its loss and dual value before it."""
+        """Every block after its epochs, with its move of the weights, and its loss and dual value before it."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -125,12 +128,12 @@ class DualAscent:
         return float(np.maximum(0.0, np.abs(margin - y) - self.tube).sum()), float((alpha * y - self.tube * np.abs(alpha)).sum())
 
     def epoch(self, x, y, alpha, weights, n: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-        """One pass of coordinate steps; ``alpha`` are signed, so the weights are the mean of alpha times x over the strength."""
+        """Passes of coordinate steps; ``alpha`` are signed, so the weights are the mean of alpha times x over the strength."""
         moved = np.zeros_like(weights)
         norms = (x * x).sum(axis=1) * blocks / (self.strength * n)
         own = weights.copy()
         step = blocks / (self.strength * n)
-        for i in range(len(x)):
+        for i in list(range(len(x))) * self.epochs:
             if norms[i] <= 0:
                 continue
             margin = x[i] @ own

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from featloom.dataset import CLASSIFICATION, Dataset, as_double, quoted
 from featloom.operators.batches import append_features, batch_matrix
-from featloom.operators.encoding import class_values
 from featloom.operators.gram import gram_matrices
 from featloom.operators.moments import stats_of
 from featloom.session import materialise, work_dir
@@ -124,7 +123,9 @@ class NetworkEmbedding:
         stats = stats_of(ds)
         means = np.array([stats[n].mean for n in ds.names])
         scales = np.array([stats[n].std or 1.0 for n in ds.names])
-        classes = len(class_values(ds.df, ds.label)) if ds.task == CLASSIFICATION else 0
+        classes = 0
+        if ds.task == CLASSIFICATION:
+            classes = int(ds.df.agg(F.max(quoted(ds.label))).first()[0] or 0) + 1
         rows, batches = _in_batches(ds, batch_rows)
         sizes = [len(ds.names), hidden, hidden, classes or 1]
         values = flat(initial_layers(sizes, seed))

@@ -19,7 +19,6 @@ from featloom.operators.batches import append_vector
 from featloom.operators.boosting import DEPTH, ROUNDS, HistogramBoosting
 from featloom.operators.dual import ROUNDS as SVM_ROUNDS
 from featloom.operators.dual import DualAscent
-from featloom.operators.encoding import class_values
 from featloom.operators.fitted import assembled
 from featloom.operators.gram import gram_matrices
 from featloom.operators.linear import GramRegression
@@ -28,6 +27,7 @@ from featloom.operators.network import NetworkEmbedding  # noqa: F401
 from featloom.operators.ordering import forward_fill
 from featloom.operators.process import DOT, RATIONAL, RBF, InducingProcess
 from featloom.operators.unary import fourier_weights
+from featloom.plans.fitness import class_count
 from featloom.plans.selection import _standard_products, top_important
 
 FOURIER_FEATURES = 64
@@ -111,7 +111,8 @@ class StackResidual:
         ds = filled_forward(ds, means)
         # Only fits that draw per partition need their rows dealt by content.
         ds = ds.spread() if self.drawn else ds
-        classes = len(class_values(ds.df, ds.label)) if self.task == CLASSIFICATION else 0
+        # Labels are class codes, of which some may not occur.
+        classes = class_count(ds) if self.task == CLASSIFICATION else 0
         map1 = FourierMap.fit(ds, seed=self.seed) if self.kernel else None
         first = _fit_model(self.estimator(classes), _inputs(ds, map1), as_double(quoted(ds.label)))
         stage = FittedStack(self, map1, first, None, None, means)

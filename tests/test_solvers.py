@@ -147,7 +147,7 @@ def test_dual_ascent_closes_the_gap():
     x = np.column_stack([rng.normal(0, 1, (240, 2)), np.ones(240)])
     y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.5 * rng.normal(0, 1, 240) > 0, 1.0, -1.0)
     spec = dual.DualAscent(2, strength=0.05)
-    weights, gap = rounds_of(spec, [(x[i::4], y[i::4, None]) for i in range(4)], 80)
+    weights, gap = rounds_of(spec, [(x[i::4], y[i::4, None]) for i in range(4)], 40)
     primal = 0.05 / 2 * (weights**2).sum() + np.maximum(0, 1 - y * (x @ weights[:, 0])).mean()
     assert gap <= 1e-3 and primal <= best_hinge(x, y, 0.05, 20_000) * 1.002
 
