@@ -185,7 +185,7 @@ def _class_fitness_sql(rows: str, xs) -> str:
         f"base AS (SELECT any_value(r.fold) AS l_linestatus, any_value(r.y) AS actual, arg_max(m.c, {predicted}) AS predicted "
         "FROM numbered r JOIN m ON m.f = r.fold GROUP BY r.id), " + _F1_PARTS
         + ", folds AS (SELECT s, sum(2.0::DOUBLE * hits / (support + guessed) * support) / sum(support) AS f1 FROM parts GROUP BY s) "
-        f"SELECT {single_sql('avg(f1)')} AS fitness, {single_sql('stddev_pop(f1)')} AS std FROM folds"
+        f"SELECT {single_sql('round(avg(f1), 8)')} AS fitness, {single_sql('round(stddev_pop(f1), 8)')} AS std FROM folds"
     )
 
 
@@ -196,7 +196,7 @@ def _value_fitness_sql(rows: str, xs) -> str:
         f"WITH b AS ({rows}), src AS (SELECT b.*, f FROM b, (SELECT DISTINCT fold AS f FROM b) WHERE fold <> f), {fits}, "
         "t AS (SELECT fold AS tf, avg(y) AS mean FROM b GROUP BY 1), "
         f"e AS (SELECT r.fold, sum(abs(r.y - ({predicted}))) / sum(abs(r.y - mean)) AS rae FROM b r JOIN m ON m.f = r.fold JOIN t ON tf = r.fold GROUP BY 1) "
-        f"SELECT {single_sql('1 - avg(rae)')} AS fitness, {single_sql('stddev_pop(rae)')} AS std FROM e"
+        f"SELECT {single_sql('round(1 - avg(rae), 8)')} AS fitness, {single_sql('round(stddev_pop(rae), 8)')} AS std FROM e"
     )
 
 
@@ -204,14 +204,14 @@ _SETS = [["o_totalprice"], ["day", "priority"], ["o_totalprice", "day", "priorit
 
 
 def _scores(frame):
-    return frame.withColumns({c: single(F.col(c)) for c in ("fitness", "std")})
+    return frame.withColumns({c: single(F.round(c, 8)) for c in ("fitness", "std")})
 
 
 @query("fitness_of_many_sets", " UNION ALL ".join(f"SELECT '{'+'.join(g)}' AS features, * FROM ({_class_fitness_sql(_ORDER_FOLDS, g)})" for g in _SETS))
 def many_sets(spark, sf_dir):
     """Weighted F1 of many feature sets at once."""
     ds = _folded(_orders(spark, sf_dir))
-    scores = LinearScorer().score_many(ds, [[Ref(n) for n in g] for g in _SETS])
+    scores = LinearScorer(ridge=0.0).score_many(ds, [[Ref(n) for n in g] for g in _SETS])
     rows = [("+".join(g), f, s) for g, (f, s) in zip(_SETS, scores)]
     return _scores(spark.createDataFrame(rows, "features string, fitness double, std double"))
 
@@ -239,7 +239,7 @@ def holdout_fitness(spark, sf_dir):
 @query("fitness_of_subset", _class_fitness_sql(_BRAND_FOLDS, ["p_size"]))
 def subset_fitness(spark, sf_dir):
     ds = _folded(_part_brands(spark, sf_dir))
-    return _scores(spark.createDataFrame([LinearScorer().score(ds.keep(["p_size"]))], "fitness double, std double"))
+    return _scores(spark.createDataFrame([LinearScorer(ridge=0.0).score(ds.keep(["p_size"]))], "fitness double, std double"))
 
 
 @query(
@@ -250,7 +250,7 @@ def subset_fitness(spark, sf_dir):
 def baselines(spark, sf_dir):
     """Both tasks scored as loaded."""
     datasets = {"brands": _folded(_part_brands(spark, sf_dir)), "prices": _folded(_parts(spark, sf_dir))}
-    return _scores(baseline_scores(datasets, LinearScorer()))
+    return _scores(baseline_scores(datasets, LinearScorer(ridge=0.0)))
 
 
 @query(
@@ -262,8 +262,8 @@ def compare(spark, sf_dir):
     """Fitness of the base features, of the derived ones, and the relative increase: none, as a sum of features adds nothing to a linear score."""
     ds = _folded(_parts(spark, sf_dir))
     made, _ = children(ds, "add")
-    found = score_compare(ds, _folded(append(ds, made)), LinearScorer())
-    rounded = {c: single(F.col(c)) for c in ("initial", "initial_std", "current", "current_std")}
+    found = score_compare(ds, _folded(append(ds, made)), LinearScorer(ridge=0.0))
+    rounded = {c: single(F.round(c, 8)) for c in ("initial", "initial_std", "current", "current_std")}
     return found.withColumns({**rounded, "increase": F.round("increase", 6) + F.lit(0.0)})
 
 

@@ -1,25 +1,36 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from featloom import Dataset
-from featloom.functions.scalar import BINARY, OPERATOR_NAMES, OPTIONAL_UNARY, UNARY, unary_op
+from featloom.functions.scalar import BINARY, OPERATOR_NAMES, OPTIONAL_UNARY, RBF, UNARY, unary_op
 from featloom.operators.expr import Binary, Ref, Unary, canonical_key, distinct_exprs, operator_count, read_name, refs, to_array, to_column
 
-NAMES = [
-    (["u1", "u2"], "(u2_sin_exp+u1)"),
-    (["u4"], "u4_negative_zscore_radian"),
-    (["u1", "u2"], "((u2_mmnorm+u2)*u1_mmnorm_adde)"),
-    (["9a_b", "8c_d", "7e_f"], "((9a_b_sigmoid/8c_d)_zscore-7e_f)"),
-    (["K1", "K2", "K3", "K4"], "((K1+K2)_square*((K3*K4)/(K1+K2)))"),
-    (["4.25", "1.5"], "(1.5/4.25)_recip"),
-]
+BASES = ["2nd", "0.75", "plain", "under_score", "x.y", "plain_sin"]
+
+
+def walk(seed, steps=7):
+    """An expression grown step by step: a chain of operators over columns that begin with digits, hold dots or look like a suffix."""
+    rng = random.Random(seed)
+    tree = Ref(rng.choice(BASES))
+    for _ in range(steps):
+        op = rng.choice([n for n in OPERATOR_NAMES if n != RBF])
+        if op in BINARY:
+            other = Ref(rng.choice(BASES))
+            other = Unary(rng.choice(list(UNARY)), other) if rng.random() < 0.5 else other
+            tree = Binary(op, tree, other) if rng.random() < 0.5 else Binary(op, other, tree)
+        else:
+            tree = Unary(op, tree)
+    return tree
 
 
-@pytest.mark.parametrize("bases,name", NAMES)
-def test_name_round_trip(bases, name):
-    assert read_name(name, bases).name == name
+@pytest.mark.parametrize("seed", range(12))
+def test_name_round_trip(seed):
+    tree = walk(seed)
+    assert read_name(tree.name, BASES).name == tree.name
 
 
 def test_longest_base_wins():
