@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterable, Sequence
 
@@ -29,8 +30,8 @@ def default_vocabulary() -> str:
 class ChunkEncoder:
     """Whole texts to ids as little-endian unsigned 32-bit integers, by way of their chunks.
 
-    ``kept`` bounds the chunks whose ids are remembered; beyond it the memory starts anew. ``learn`` adds
-    the ids of unseen chunks to ``known``.
+    ``kept`` bounds the chunks whose ids are remembered; beyond it the older half is forgotten. ``learn``
+    adds the ids of unseen chunks to ``known``.
     """
 
     def __init__(self, kept: int = KEPT_CHUNKS):
@@ -42,12 +43,17 @@ class ChunkEncoder:
 
     def chunk_ids(self, chunks: Sequence[str]) -> list[bytes]:
         """Ids of distinct chunks."""
-        if len(self.known) + len(chunks) > self.kept:
-            self.known.clear()
         found = list(map(self.known.get, chunks))
         unseen = [chunk for chunk, ids in zip(chunks, found) if ids is None]
+        if not unseen:
+            return found
+        if len(self.known) + len(unseen) > self.kept:
+            # The older half goes; what the chunks at hand need of it is in ``found``.
+            for chunk in list(itertools.islice(self.known, max(len(self.known) // 2, len(self.known) + len(unseen) - self.kept))):
+                del self.known[chunk]
         self.learn(unseen)
-        return list(map(self.known.__getitem__, chunks)) if unseen else found
+        known = self.known
+        return [known[chunk] if ids is None else ids for chunk, ids in zip(chunks, found)]
 
     def encode(self, texts: Sequence[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text, ``end`` appended to each."""
@@ -96,16 +102,17 @@ class Encoder(ChunkEncoder):
         # Bytes that an id stands for: byte-level vocabularies write each byte as one character.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without the offsets that a full encoding carries."""
+        return [np.array(found.ids, ID) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: Sequence[str]) -> list[bytes]:
         """Ids of words that each start with a space and end with none: one text, cut by width."""
         found = []
         for at in range(0, len(words), 2_000):
             part = words[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, ID)
-            ends = np.cumsum([len(w.encode()) for w in part])
+            ids = self.numbers(["".join(part)])[0]
+            ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy())
             stops = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * 4
             raw, start = ids.tobytes(), 0
             for stop in stops.tolist():
@@ -115,10 +122,10 @@ class Encoder(ChunkEncoder):
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Encode unseen chunks; a plain word with marks behind it as the word and the marks."""
-        known, marked, words = self.known, [], {}
+        known, marked, words, others = self.known, [], {}, {}
         for chunk in chunks:
             if chunk[0] != " " or len(chunk) == 1 or chunk[1] == " ":
-                known[chunk] = self.ids(chunk)
+                others[chunk] = None
                 continue
             word = chunk.rstrip(MARKS)
             if len(word) < len(chunk) and word.isascii() and word[1:].isalpha():
@@ -132,8 +139,11 @@ class Encoder(ChunkEncoder):
         for chunk, word in marked:
             marks = chunk[len(word) :]
             if marks not in known:
-                known[marks] = self.ids(marks)
-            known[chunk] = known[word] + known[marks]
+                others[marks] = None
+        single = list(others)
+        known.update(zip(single, (own.tobytes() for own in self.numbers(single))))
+        for chunk, word in marked:
+            known[chunk] = known[word] + known[chunk[len(word) :]]
 
 
 FIRST = "\x01"
