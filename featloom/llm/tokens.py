@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import re
 from collections.abc import Iterable, Sequence
 
@@ -18,6 +19,8 @@ CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 ODD = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x85\xa0     　", *map(chr, range(0x2000, 0x200B)))
 MARKS = ".,;:!?|*%&$#"
 KEPT_CHUNKS = 800_000
+# Chunks that the library encodes in one call: what it returns is larger than the ids.
+TOGETHER = 2_000
 ID = np.dtype("<u4")
 
 
@@ -92,6 +95,8 @@ class Encoder(ChunkEncoder):
     """Ids by the tokenizers library."""
 
     def __init__(self, vocabulary: str, kept: int = KEPT_CHUNKS):
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__(kept)
@@ -109,8 +114,8 @@ class Encoder(ChunkEncoder):
     def words(self, words: Sequence[str]) -> list[bytes]:
         """Ids of words that each start with a space and end with none: one text, cut by width."""
         found = []
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
             ids = self.numbers(["".join(part)])[0]
             ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy())
             stops = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * 4
@@ -141,7 +146,9 @@ class Encoder(ChunkEncoder):
             if marks not in known:
                 others[marks] = None
         single = list(others)
-        known.update(zip(single, (own.tobytes() for own in self.numbers(single))))
+        for at in range(0, len(single), TOGETHER):
+            part = single[at : at + TOGETHER]
+            known.update(zip(part, (own.tobytes() for own in self.numbers(part))))
         for chunk, word in marked:
             known[chunk] = known[word] + known[chunk[len(word) :]]
 
