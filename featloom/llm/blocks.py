@@ -287,8 +287,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def removed(held: C.Chunked, carried: Sequence[str] = ()) -> DataFrame:
     """The result of all rounds, with the carried columns of the rows."""
     bits, width = C.bucket_bits(held.total / BYTES_PER_WORD), key_width(held.total)
-    anchors = C.ask(held, anchor_requests(bits, width), answer_anchors, bits)
-    windows = C.ask(held, window_requests(bits, width), answer_windows, bits, anchors)
+    anchors = C.ask(held, anchor_requests(bits, width), answer_anchors, 1 << bits)
+    windows = C.ask(held, window_requests(bits, width), answer_windows, 1 << bits, anchors)
     return C.conclude(held, remove_windows(bits, width), anchors.unionByName(windows), RESULT, carried)
 
 

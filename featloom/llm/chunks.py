@@ -25,6 +25,8 @@ from featloom.llm.base import parts, text_bytes
 from featloom.session import materialise, work_dir
 
 CHUNK_BYTES = 4_000_000
+# Buckets of the table of chunks; beyond, a bucket holds several chunks.
+TABLE_BUCKETS = 10_000
 # Keys that a bucket holds at a time, about.
 BUCKET_KEYS = 3_000_000
 # No id sorts behind every id.
@@ -51,8 +53,9 @@ def chunked(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Chunked:
     chunks = parts(total, chunk_bytes)
     name = f"chunks_{uuid.uuid4().hex}"
     keyed = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    writer = keyed.repartition(chunks, "chunk").write.option("compression", "zstd").option("path", f"{work_dir(spark)}/featloom/{name}")
-    writer.bucketBy(chunks, "chunk").saveAsTable(name)
+    buckets = min(chunks, TABLE_BUCKETS)
+    writer = keyed.repartition(buckets, "chunk").write.option("compression", "zstd").option("path", f"{work_dir(spark)}/featloom/{name}")
+    writer.bucketBy(buckets, "chunk").saveAsTable(name)
     return Chunked(spark.table(name), total, chunks)
 
 
@@ -167,11 +170,10 @@ def split_replies(chunk_ids: list[int], bucket: int, kind: int, flagged: np.ndar
     return reply_table(rows)
 
 
-def ask(docs: Chunked, request: Callable[[Texts, pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], bits: int, replies: DataFrame | None = None) -> DataFrame:
+def ask(docs: Chunked, request: Callable[[Texts, pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], tasks: int, replies: DataFrame | None = None) -> DataFrame:
     """One round: every chunk's requests, built from its texts and earlier replies, answered by bucket.
 
-    Two to the power ``bits`` is the number of buckets, and of tasks that answer: requests are small for
-    the work they make, so their size must not decide it.
+    ``tasks`` of them answer: requests are small for the work they make, so their size must not decide it.
     """
     read = docs.table.select("doc_id", "text", "chunk").groupBy("chunk")
     if replies is None:
@@ -180,7 +182,7 @@ def ask(docs: Chunked, request: Callable[[Texts, pa.Table], pa.Table], answer: C
         sent = read.cogroup(replies.groupBy("chunk")).applyInArrow(
             lambda table, own: request(Texts.of(table), own) if table.num_rows else request_table([]), REQUESTS
         )
-    dealt = sent.repartition(1 << bits, "bucket")
+    dealt = sent.repartition(tasks, "bucket")
     return materialise(dealt.groupBy("bucket").applyInArrow(answer, REPLIES), "replies")
 
 

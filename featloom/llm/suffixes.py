@@ -10,8 +10,8 @@ bytes of each distinct run once per chunk to the anchor's bucket, where the pass
 digits run, eight bytes at a time.
 
 An anchor with more runs than a task should sort is hot: its suffixes are dealt by a hash of all their 100
-bytes instead. One round asks which hashes occur again; for those a second one sends each distinct string
-once per chunk, with its earliest place, to the hash's bucket, which compares the bytes.
+bytes instead. Round two also asks which of those hashes occur again; for them a third one sends each
+distinct string once per chunk, with its earliest place, to the hash's bucket, which makes the digit passes.
 """
 
 from __future__ import annotations
@@ -33,10 +33,15 @@ GRAM = 32
 # Anchors a byte, about: two for every window of grams.
 DENSITY = 2.0 / (LENGTH - GRAM + 2)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+SHUFFLER = np.uint64(0xD6E8FEB86659FD93)
 LOW = np.uint64(0xFFFFFFFF)
 DIGIT = 8
 # A run of suffixes with one anchor covers at most so many bytes.
 WIDTH = 2 * LENGTH - GRAM
+# Bytes of a run with its anchor and size, in whole words.
+ROW = -(-(WIDTH + 2) // 8) * 8
+# Suffixes whose anchors are sought at a time.
+BLOCK = 1 << 15
 SPARE_BITS = 12
 # Suffixes that a pass sorts at a time, about.
 SORTED_AT_ONCE = 2_000_000
@@ -50,15 +55,16 @@ COUNTS = [(name, pa.int64()) for name in ("doc_id", "n_bytes", "n_removed", "n_s
 RESULT_KINDS = pa.schema([*COUNTS, ("left_bytes", pa.binary()), ("spans", SPAN)])
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the gram at every place, built by doubling."""
-    found, length = data.astype(np.uint64) + np.uint64(1), 1
-    base = MULTIPLIER
+def gram_sums(data: np.ndarray) -> np.ndarray:
+    """Polynomial of the gram at every place of the last axis, built by doubling."""
+    found, length, base = data.astype(np.uint64), 1, MULTIPLIER
     with np.errstate(over="ignore"):
         while length < GRAM:
-            found = found[:-length] * base + found[length:] if len(found) > length else found[:0]
+            if found.shape[-1] <= length:
+                return found[..., :0]
+            found = found[..., :-length] * base + found[..., length:]
             base, length = base * base, 2 * length
-    return mixed(found)
+    return found
 
 
 def sliding_least(values: np.ndarray, count: int) -> np.ndarray:
@@ -71,25 +77,64 @@ def sliding_least(values: np.ndarray, count: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if len(values) > rest else values[:0]
 
 
+def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes at which a row or another anchor begins, with the place and polynomial of their anchors.
+
+    Blocks are small enough for a core's cache.
+    """
+    found, before = [], -1
+    place = np.arange(BLOCK + LENGTH - GRAM, dtype=np.uint64)
+    for at in range(0, len(data) - LENGTH + 1, BLOCK):
+        sums = gram_sums(data[at : at + BLOCK + LENGTH - 1])
+        least = sliding_least((sums * SHUFFLER & ~LOW) | place[: len(sums)], LENGTH - GRAM + 1)
+        anchor = (least & LOW).astype(np.int64)
+        new = np.diff(anchor, prepend=before - at) != 0
+        begins = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + len(anchor))]
+        new[begins - at] = True
+        edges = np.flatnonzero(new)
+        found.append((edges + at, anchor[edges] + at, sums[anchor[edges]]))
+        before = int(anchor[-1]) + at
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return tuple(np.concatenate(parts) for parts in zip(*found)) if found else none
+
+
+def contents(data: np.ndarray, begin: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A row per run: where its anchor is, its size, its bytes, then zeros."""
+    found = np.zeros((len(size), ROW), np.uint8)
+    found[:, 0], found[:, 1] = anchor, size
+    reach = np.arange(WIDTH)
+    for at in range(0, len(size), 20_000):
+        part = slice(at, at + 20_000)
+        where = np.minimum(begin[part, None] + reach, len(data) - 1)
+        found[part, 2 : WIDTH + 2] = np.where(reach < size[part, None], data[where], 0)
+    return found
+
+
+def equal_rows(rows: np.ndarray) -> np.ndarray:
+    """Number of the group of equal byte rows that each row is in; grouped by a hash, then compared."""
+    words, found = rows.view(np.uint64), np.zeros(len(rows), np.uint64)
+    with np.errstate(over="ignore"):
+        for column in range(words.shape[1]):
+            found = mixed(found * MULTIPLIER + words[:, column])
+    _, head, same = np.unique(found, return_index=True, return_inverse=True)
+    if not (words == words[head[same]]).all():
+        _, same = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_inverse=True)
+    return same
+
+
 class Runs:
     """Runs of neighbouring suffixes of a chunk that share an anchor: first and last suffix, anchor, key."""
 
     def __init__(self, given: C.Texts, width: int):
         self.given = given
-        hashes = gram_hashes(given.data)
-        place = np.arange(len(hashes), dtype=np.uint64)
-        least = sliding_least((hashes & ~LOW) | place, LENGTH - GRAM + 1)
-        row = np.repeat(np.arange(len(given.doc_id)), np.diff(given.starts))
-        start = np.flatnonzero(row[: len(least)] == row[LENGTH - 1 : LENGTH - 1 + len(least)])
-        anchor = (least[start] & LOW).astype(np.int64)
-        new = np.ones(len(start), bool)
-        new[1:] = (np.diff(start) != 1) | (np.diff(anchor) != 0)
-        edges = np.flatnonzero(new)
-        self.first, self.anchor = start[edges], anchor[edges]
-        self.last = start[np.append(edges[1:], len(start)) - 1] if len(edges) else edges
-        self.row = row[self.first]
-        # Anchors are small hashes by choice; mixed once more they spread evenly over the buckets.
-        key = mixed(hashes[self.anchor]) >> np.uint64(64 - width)
+        first, anchor, sums = anchors(given.data, given.starts)
+        row = np.searchsorted(given.starts, first, side="right") - 1
+        # A run ends with the suffixes of its row.
+        stop = np.minimum(np.append(first[1:], max(0, len(given.data) - LENGTH + 1))[: len(first)], given.starts[row + 1] - LENGTH + 1)
+        own = np.flatnonzero(stop > first)
+        self.first, self.last, self.anchor, self.row = first[own], stop[own] - 1, anchor[own], row[own]
+        # Anchors are small by choice; mixed they spread evenly over the buckets.
+        key = mixed(sums[own]) >> np.uint64(64 - width)
         order = np.argsort(key, kind="stable")
         self.first, self.last, self.anchor, self.row, self.key = (a[order] for a in (self.first, self.last, self.anchor, self.row, key))
         self.edges = np.flatnonzero(np.diff(self.key, prepend=~self.key[:1]) != 0) if len(key) else np.zeros(0, np.int64)
@@ -108,17 +153,9 @@ class Entries:
         given = runs.given
         pick = np.flatnonzero(np.repeat(flagged, runs.sizes()))
         self.first, self.last, row = runs.first[pick], runs.last[pick], runs.row[pick]
-        size = self.last - self.first + LENGTH
-        content = np.zeros((len(pick), WIDTH + 2), np.uint8)
-        content[:, 0], content[:, 1] = runs.anchor[pick] - self.first, size
-        reach = np.arange(WIDTH)
-        for at in range(0, len(pick), 20_000):
-            where = self.first[at : at + 20_000, None] + reach
-            inside = reach < size[at : at + 20_000, None]
-            content[at : at + 20_000, 2:] = np.where(inside, given.data[np.minimum(where, len(given.data) - 1)], 0) if len(given.data) else 0
+        content = contents(given.data, self.first, runs.anchor[pick] - self.first, self.last - self.first + LENGTH)
         ids, place = given.doc_id[row], self.first - given.starts[row]
-        whole = content.view(f"V{WIDTH + 2}").ravel()
-        _, same = np.unique(whole, return_inverse=True) if len(pick) else (whole, np.zeros(0, np.int64))
+        same = equal_rows(content)
         order = np.lexsort((place, ids, same, runs.key[pick]))
         new = np.ones(len(pick), bool)
         new[1:] = (np.diff(same[order]) != 0) | (np.diff(runs.key[pick][order]) != 0)
@@ -141,7 +178,7 @@ class Strings:
         count = runs.last[pick] - runs.first[pick] + 1
         start = np.repeat(runs.first[pick], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         row = np.repeat(runs.row[pick], count)
-        ids, place, key = given.doc_id[row], start - given.starts[row], string_hashes(given.data, start)
+        ids, place, key = given.doc_id[row], start - given.starts[row], string_hashes(given.data, runs.first[pick], count)
         order = np.lexsort((place, ids, key))
         self.start, ids, place, key = start[order], ids[order], place[order], key[order]
         self.keys, first, self.counts = np.unique(key, return_index=True, return_counts=True)
@@ -160,14 +197,18 @@ class Strings:
         return np.flatnonzero(found[np.searchsorted(self.keys, self.key)])
 
 
-def string_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hash of the 100 bytes at every start, from the grams that cover them."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    grams, found = gram_hashes(data), np.zeros(len(start), np.uint64)
-    for at in [*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM]:
-        found = mixed(found * MULTIPLIER + grams[start + at])
-    return found >> np.uint64(64 - STRING_BITS)
+def string_hashes(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of the 100 bytes of every suffix of the runs, from the grams that cover them."""
+    found, reach, offset = [np.zeros(0, np.uint64)], np.arange(WIDTH), np.arange(LENGTH - GRAM + 1)
+    for at in range(0, len(first), 500):
+        part = slice(at, at + 500)
+        grams = gram_sums(data[np.minimum(first[part, None] + reach, len(data) - 1)])
+        hashes = np.zeros((len(grams), len(offset)), np.uint64)
+        with np.errstate(over="ignore"):
+            for begin in [*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM]:
+                hashes = mixed(hashes * MULTIPLIER + grams[:, begin : begin + len(offset)])
+        found.append(hashes[offset < count[part, None]])
+    return np.concatenate(found) >> np.uint64(64 - STRING_BITS)
 
 
 def equal_strings(data: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -191,19 +232,19 @@ def anchor_requests(bits: int, width: int):
     return request
 
 
-def key_requests(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int) -> pa.Table:
-    """How often each of the ascending keys occurs in the chunk."""
+def key_requests(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int, shift: int = 0) -> pa.Table:
+    """How often each of the ascending keys occurs in the chunk, for buckets from ``shift`` on."""
     rows, counts = [], counts.astype(np.uint32)
     for bucket, first, last in C.cut_points(keys, bits, width):
-        rows.append((bucket, chunk, C.joined([C.packed(C.differences(keys[first:last])), C.packed(counts[first:last])])))
+        rows.append((bucket + shift, chunk, C.joined([C.packed(C.differences(keys[first:last])), C.packed(counts[first:last])])))
     return C.request_table(rows)
 
 
-def answer_keys(kind: int, hot_runs: int | None = None):
+def answer_keys(kind: int, hot_runs: int | None = None, shift: int = 0):
     """Flags the keys that occur a second time, in one chunk or two; those that occur too often are hot instead."""
 
     def answer(table: pa.Table) -> pa.Table:
-        bucket, table = table["bucket"][0].as_py(), table.sort_by("chunk")
+        bucket, table = table["bucket"][0].as_py() - shift, table.sort_by("chunk")
         fields = [C.parted(raw) for raw in table["payload"].to_pylist()]
         keys = [C.sums(C.unpacked(steps, np.uint64)) for steps, _ in fields]
         counts = np.concatenate([C.unpacked(raw, np.uint32) for _, raw in fields]).astype(np.int64)
@@ -223,14 +264,6 @@ def hot_strings(runs: Runs, bits: int, width: int, replies: pa.Table) -> Strings
     return Strings(runs, flags(runs.key[runs.edges], bits, width, C.bits_of(replies, HOT)))
 
 
-def hash_requests(bits: int, width: int, hot_bits: int):
-    def request(given: C.Texts, replies: pa.Table) -> pa.Table:
-        found = hot_strings(Runs(given, width), bits, width, replies)
-        return key_requests(given.chunk, found.keys, found.counts, hot_bits, STRING_BITS)
-
-    return request
-
-
 def string_requests(bits: int, width: int, hot_bits: int):
     def request(given: C.Texts, replies: pa.Table) -> pa.Table:
         found = hot_strings(Runs(given, width), bits, width, replies)
@@ -245,18 +278,14 @@ def string_requests(bits: int, width: int, hot_bits: int):
 
 
 def answer_strings(table: pa.Table) -> pa.Table:
-    """Flags every sent string that also starts earlier."""
+    """Flags every sent string that also starts earlier: digit passes over the strings of a bucket."""
     bucket, table = table["bucket"][0].as_py(), table.sort_by("chunk")
     fields = [C.parted(raw) for raw in table["payload"].to_pylist()]
     sizes = [len(C.unpacked(f[0], np.int64)) for f in fields]
     ids, place = (np.concatenate([C.unpacked(f[i], np.int64) for f in fields]) for i in (0, 1))
-    data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(f[2]) for f in fields), f"V{LENGTH}")
-    _, same = np.unique(data, return_inverse=True)
-    order = np.lexsort((place, ids, same))
-    new = np.flatnonzero(np.diff(same[order], prepend=-1))
-    head = np.empty(len(order), np.int64)
-    head[order] = np.repeat(order[new], np.diff(new, append=len(order)))
-    return C.split_replies(table["chunk"].to_pylist(), bucket, STRINGS, (ids != ids[head]) | (place != place[head]), sizes)
+    data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(f[2]) for f in fields), np.uint8)
+    flagged = repeated(np.zeros(len(ids), np.int64), data, np.arange(len(ids)) * LENGTH, ids, place)
+    return C.split_replies(table["chunk"].to_pylist(), bucket, STRINGS, flagged, sizes)
 
 
 def hot_starts(given: C.Texts, runs: Runs, bits: int, width: int, hot_bits: int, replies: pa.Table) -> np.ndarray:
@@ -273,21 +302,36 @@ def flagged_entries(runs: Runs, bits: int, width: int, replies: pa.Table) -> Ent
     return Entries(runs, flags(runs.key[runs.edges], bits, width, C.bits_of(replies, ANCHORS)))
 
 
-def run_requests(bits: int, width: int):
+def run_requests(bits: int, width: int, hot_bits: int):
+    """Runs under cold anchors that occur again, and how often the strings' hashes under hot ones occur."""
+
     def request(given: C.Texts, replies: pa.Table) -> pa.Table:
-        found = flagged_entries(Runs(given, width), bits, width, replies)
+        runs = Runs(given, width)
+        found = flagged_entries(runs, bits, width, replies)
         rows = []
         for bucket, first, last in C.cut_points(found.key, bits, width):
             part = slice(first, last)
             used = np.arange(WIDTH) < found.content[part, 1, None]
-            raw = zstandard.ZstdCompressor(level=3).compress(found.content[part, 2:][used].tobytes())
+            raw = zstandard.ZstdCompressor(level=3).compress(found.content[part, 2 : WIDTH + 2][used].tobytes())
             numbers = [C.packed(C.differences(found.key[part])), C.packed(found.ids[part]), C.packed(found.place[part])]
             rows.append((bucket, given.chunk, C.joined([*numbers, found.content[part, :2].tobytes(), raw])))
-        return C.request_table(rows)
+        hot = hot_strings(runs, bits, width, replies)
+        hashes = key_requests(given.chunk, hot.keys, hot.counts, hot_bits, STRING_BITS, 1 << bits)
+        return pa.concat_tables([C.request_table(rows), hashes])
 
     return request
 
 
+def answer_both(bits: int):
+    """Buckets behind those of the runs hold the hashes of strings under hot anchors."""
+    hashes = answer_keys(AGAIN, shift=1 << bits)
+
+    def answer(table: pa.Table) -> pa.Table:
+        return answer_runs(table) if table["bucket"][0].as_py() < 1 << bits else hashes(table)
+
+    return answer
+
+
 def answer_runs(table: pa.Table) -> pa.Table:
     """Flags every suffix of every sent run whose 100 bytes also start earlier."""
     bucket, table = table["bucket"][0].as_py(), table.sort_by("chunk")
@@ -320,14 +364,7 @@ def answer_runs(table: pa.Table) -> pa.Table:
 
 def earliest_equal(anchor: np.ndarray, size: np.ndarray, data: np.ndarray, begin: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
     """For each run the equal run with the smallest (id, place)."""
-    content = np.zeros((len(size), WIDTH + 2), np.uint8)
-    content[:, 0], content[:, 1] = anchor, size
-    reach = np.arange(WIDTH)
-    for at in range(0, len(size), 20_000):
-        part = slice(at, at + 20_000)
-        where = np.minimum(begin[part, None] + reach, len(data) - 1)
-        content[part, 2:] = np.where(reach < size[part, None], data[where], 0)
-    _, same = np.unique(content.view(f"V{WIDTH + 2}").ravel(), return_inverse=True)
+    same = equal_rows(contents(data, begin, anchor, size))
     order = np.lexsort((place, ids, same))
     new = np.flatnonzero(np.diff(same[order], prepend=-1))
     found = np.empty(len(size), np.int64)
@@ -434,13 +471,12 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     # A run is far more work than a key, so a bucket holds fewer.
     bits, width = C.bucket_bits(held.total * DENSITY * 16), key_width(held.total)
     # A string is more bytes than a run's share of it.
-    hot_bits = bits + 2
-    anchors = C.ask(held, anchor_requests(bits, width), answer_keys(ANCHORS, hot_runs), bits)
-    replies = anchors.unionByName(C.ask(held, run_requests(bits, width), answer_runs, bits, anchors))
-    if not anchors.where(F.col("kind") == HOT).isEmpty():
-        hashes = C.ask(held, hash_requests(bits, width, hot_bits), answer_keys(AGAIN), hot_bits, anchors)
-        replies = replies.unionByName(hashes)
-        replies = replies.unionByName(C.ask(held, string_requests(bits, width, hot_bits), answer_strings, hot_bits, anchors.unionByName(hashes)))
+    hot_bits, tasks = bits + 2, 1 << bits
+    anchors = C.ask(held, anchor_requests(bits, width), answer_keys(ANCHORS, hot_runs), tasks)
+    replies = anchors.unionByName(C.ask(held, run_requests(bits, width, hot_bits), answer_both(bits), tasks, anchors))
+    if not replies.where(F.col("kind") == AGAIN).isEmpty():
+        known = replies.where(F.col("kind").isin(HOT, AGAIN))
+        replies = replies.unionByName(C.ask(held, string_requests(bits, width, hot_bits), answer_strings, tasks, known))
     return C.conclude(held, remove_suffixes(bits, width, hot_bits), replies, RESULT)
 
 
