@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from featloom.dataset import Dataset
@@ -16,6 +17,7 @@ from featloom.operators.generate import append, children
 from featloom.operators.neighbors import NearestNeighbours
 from featloom.operators.ordering import forward_fill
 from featloom.operators.process import NOISES
+from featloom.plans import search as H
 from featloom.plans import selection as K
 from featloom.plans.fitness import (
     ForestScorer,
@@ -551,3 +553,28 @@ def shadow(spark, sf_dir):
 def search(spark, sf_dir):
     ds = _folded(_part_brands(spark, sf_dir))
     return K.forest_search(ds, {"trees": [5, 10], "depth": [3, 5], "min_leaf": [1, 20]}, samples=3)
+
+
+@query("halving_search")
+def halved(spark, sf_dir):
+    """Eight settings; the folds a setting was fitted for are counted."""
+    ds = _folded(_part_brands(spark, sf_dir))
+    return H.halving_search(ds, {"trees": [5, 10], "depth": [3, 5], "min_leaf": [1, 20]})
+
+
+_BIN_SHARES = ", ".join(f"{i}::DOUBLE / 16" for i in range(1, 16))
+_BINNED_SQL = f"""
+WITH c AS (SELECT 0 AS feature, p_size::DOUBLE AS v FROM part UNION ALL SELECT 1, p_retailprice::DOUBLE FROM part
+), q AS (SELECT feature, unnest(list_distinct(quantile_cont(v, [{_BIN_SHARES}]))) AS cut FROM c GROUP BY feature)
+SELECT feature, bin, count(*) AS n
+FROM (SELECT feature, (SELECT count(*) FROM q WHERE q.feature = c.feature AND q.cut <= c.v) AS bin FROM c) GROUP BY feature, bin
+"""
+
+
+@query("binned_columns", _BINNED_SQL)
+def binned_columns(spark, sf_dir):
+    """Rows per bin of the table that the search of settings reads."""
+    ds = _part_brands(spark, sf_dir)
+    ds = _folded(Dataset.of(ds.df, ["p_size", "p_retailprice"], "cheap", "C", "id"))
+    codes = F.posexplode(vector_to_array("x")).alias("feature", "bin")
+    return H.binned(ds, 16).select(codes).groupBy("feature", F.col("bin").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
