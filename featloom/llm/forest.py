@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from featloom.llm import chunks as C
 from featloom.llm.base import load, named, query, texts
 from featloom.llm.blocks import ANCHOR_BASE, SECOND_BASE, Words, mixed, rolling
-from featloom.llm.components import components
+from featloom.llm.components import HOT_SHARE, components
 from featloom.llm.exact import with_groups
 from featloom.session import materialise
 
@@ -172,8 +172,7 @@ def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         large = sizes.where(F.col("size") > GROUP)
         if large.isEmpty():
             break
-        # Large groups are few: no more than trees times nodes over the limit.
-        kept = rows.join(F.broadcast(large), ["tree", "key"])
+        kept = members(rows, large, ["tree", "key"])
         if depth == LEADING:
             split = materialise(kept.select("key", "node"), "split-groups")
         if deeper is None:
@@ -187,6 +186,21 @@ def grouped(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return every, stars, split
 
 
+def members(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the groups (keys, size, ...), with the groups' other columns.
+
+    Only groups with a thousandth of the rows are broadcast, of which there are a thousand at most. The
+    others are small against the table, so their rows are shuffled.
+    """
+    hot = F.col("size") >= -(-rows.count() // HOT_SHARE)
+    large = groups.where(hot)
+    found, small = rows.join(F.broadcast(large), keys), groups.where(~hot)
+    if small.isEmpty():
+        return found
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return found.unionByName(rest.join(small, keys))
+
+
 def blocked(split: DataFrame, member: DataFrame, block: int) -> DataFrame:
     """(key, node, label) of the split groups as groups of two blocks at most, each with a key of its own.
 
@@ -198,8 +212,8 @@ def blocked(split: DataFrame, member: DataFrame, block: int) -> DataFrame:
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
     blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
-    groups = groups.where("size > top.n").select("key", F.col("top.label").alias("main"), blocks(F.col("size") - F.col("top.n")).alias("outer"), blocks(F.col("top.n")).alias("inner"))
-    met = labelled.join(F.broadcast(materialise(groups, "split-sizes")), "key")
+    groups = groups.where("size > top.n").select("key", "size", F.col("top.label").alias("main"), blocks(F.col("size") - F.col("top.n")).alias("outer"), blocks(F.col("top.n")).alias("inner"))
+    met = members(labelled, materialise(groups, "split-sizes"), ["key"])
     inside = F.col("label") == F.col("main")
     own = F.pmod(F.xxhash64("node", "key"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int")
     # Blocks of the largest label are numbered behind the others.

@@ -2,12 +2,17 @@
 
 import random
 
+import pytest
+
 from featloom.llm import forest
 
 
-def test_every_link_of_a_split_group_is_found(spark, monkeypatch):
+# With a share of one no group is hot, and all are joined by shuffle.
+@pytest.mark.parametrize("hot_share", [forest.HOT_SHARE, 1])
+def test_every_link_of_a_split_group_is_found(spark, monkeypatch, hot_share):
     """Pairs of similarity 0.85 in a family whose other members are alike enough to crowd every group."""
     monkeypatch.setattr(forest, "GROUP", 2)
+    monkeypatch.setattr(forest, "HOT_SHARE", hot_share)
     rng, base, family = random.Random(5), [f"w{i}" for i in range(300)], []
     for i in range(30):
         places = rng.sample(range(4, 296, 5), 15)
