@@ -1,8 +1,9 @@
 """Gaussian processes over inducing points.
 
-The rows enter by sums only: for every candidate kernel, the products of the kernel columns of a
-bounded set of inducing points with each other and with the targets. One pass gives them for all
-candidates; the marginal likelihood, which the same sums determine, chooses the kernel and the noise.
+The rows enter by sums only: for every candidate kernel, the products of the whitened kernel columns of a
+bounded set of inducing points with each other and with the targets. Columns are whitened before they are
+summed, so the rounding of a sum over many rows is not blown up by nearly dependent points. One pass gives
+the sums for all candidates; the marginal likelihood, which the same sums determine, chooses the kernel and the noise.
 With all rows as inducing points the answer is that of the exact process. Several targets (classes) share
 the sums. A prediction comes with its variance.
 """
@@ -29,6 +30,8 @@ SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
 SHAPES = (0.5, 1.0, 4.0)
 NOISES = (1e-4, 1e-3, 1e-2, 3e-2, 0.1, 0.3, 1.0)
 JITTER = 1e-10
+# Rows of a task in the pass over all kernels.
+TASK_ROWS = 1 << 14
 DOT, RATIONAL, RBF = "dot", "rational", "rbf"
 
 
@@ -123,11 +126,13 @@ class InducingProcess:
         points = np.array(chosen.tolist(), dtype=float).reshape(len(chosen), width)
         points = np.unique((points - means) / scales, axis=0)
         kernels = list(self.kernels or candidates(self.kind, width))
-        sums = gram_matrices(rows, partial(_kernel_sums, kernels, points, means, scales, centre, spread, self.classes))
+        whites = [whitening(kernel, points) for kernel in kernels]
+        # A row takes far more work than its bytes tell, so small files are dealt to many tasks.
+        dealt = rows.repartition(max(1, -(-int(n) // TASK_ROWS)))
+        sums = gram_matrices(dealt, partial(_kernel_sums, kernels, whites, points, means, scales, centre, spread, self.classes))
         best = None
         for i, kernel in enumerate(kernels):
-            for noise in self.noises:
-                found = _posterior(kernel, points, sums[(i, 0)], n, noise)
+            for noise, found in zip(self.noises, _posteriors(whites[i], sums[(i, 0)], n, self.noises)):
                 if best is None or found[0] > best[0][0]:
                     best = (found, kernel, noise)
         (likelihood, weights, inverse), kernel, noise = best
@@ -148,13 +153,21 @@ def _moments(classes: int, batch: pa.RecordBatch):
     yield (0, 0), np.stack([np.full(both.shape[1], float(len(y))), both.sum(axis=0), (both * both).sum(axis=0)])
 
 
-def _kernel_sums(kernels, points, means, scales, centre, spread, classes, batch: pa.RecordBatch) -> Iterator:
-    """Per kernel [K'K, K't] and, in a last row, the targets' squares and the kernel's diagonal."""
+def whitening(kernel: Kernel, points: np.ndarray) -> np.ndarray:
+    """Map of kernel columns to whitened inducing values: the prior of their coefficients is the identity."""
+    prior = kernel(points, points)
+    values, vectors = np.linalg.eigh((prior + prior.T) / 2)
+    kept = values > JITTER * max(values.max(initial=0.0), 1e-300)
+    return vectors[:, kept] / np.sqrt(values[kept])
+
+
+def _kernel_sums(kernels, whites, points, means, scales, centre, spread, classes, batch: pa.RecordBatch) -> Iterator:
+    """Per kernel, of its whitened columns W, [W'W, W't] and, in a last row, the targets' squares and the kernel's diagonal."""
     y, x = batch.column(0).to_numpy(zero_copy_only=False), inputs_of(batch.column(1))
     z, t = (x - means) / scales, (_targets(y, classes) - centre) / spread
-    m = len(points)
-    for i, kernel in enumerate(kernels):
-        columns = kernel(z, points)
+    for i, (kernel, white) in enumerate(zip(kernels, whites)):
+        columns = kernel(z, points) @ white
+        m = columns.shape[1]
         out = np.zeros((m + 1, m + t.shape[1]))
         out[:m, :m], out[:m, m:] = columns.T @ columns, columns.T @ t
         out[m, m:] = (t * t).sum(axis=0)
@@ -162,25 +175,20 @@ def _kernel_sums(kernels, points, means, scales, centre, spread, classes, batch:
         yield (i, 0), out
 
 
-def _posterior(kernel: Kernel, points: np.ndarray, sums: np.ndarray, n: float, noise: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Marginal likelihood of the sums, weights of the mean, and the matrix that the variance subtracts."""
-    m = len(points)
+def _posteriors(white: np.ndarray, sums: np.ndarray, n: float, noises: Sequence[float]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """Per noise the marginal likelihood of the sums, weights of the mean, and the matrix that the variance subtracts."""
+    m = white.shape[1]
     squares, cross, own = sums[:m, :m], sums[:m, m:], sums[m, m:]
-    prior = kernel(points, points)
-    values, vectors = np.linalg.eigh((prior + prior.T) / 2)
-    kept = values > JITTER * max(values.max(initial=0.0), 1e-300)
-    # Whitened inducing values: the prior of their coefficients is the identity.
-    white = vectors[:, kept] / np.sqrt(values[kept])
-    inner = white.T @ squares @ white / noise
-    precision = np.eye(inner.shape[0]) + (inner + inner.T) / 2
-    factor = np.linalg.cholesky(precision)
-    right = np.linalg.solve(factor, white.T @ cross / noise)
-    fitted = (right * right).sum()
-    targets = len(own)
-    left_out = max(float(sums[m, 0]) - float(np.trace(white.T @ squares @ white)), 0.0)
-    likelihood = -0.5 * (
-        targets * (n * np.log(2 * np.pi * noise) + 2 * np.log(np.diag(factor)).sum() + left_out / noise) + own.sum() / noise - fitted
-    )
-    weights = white @ np.linalg.solve(factor.T, right)
-    covariance = np.linalg.inv(precision)
-    return float(likelihood), weights, white @ (np.eye(len(covariance)) - covariance) @ white.T
+    values, vectors = np.linalg.eigh((squares + squares.T) / 2)
+    # Products of columns with each other; below zero they are rounding.
+    values = np.maximum(values, 0.0)
+    left_out = max(float(sums[m, 0]) - float(np.trace(squares)), 0.0)
+    turned, mapped, targets = vectors.T @ cross, white @ vectors, len(own)
+    for noise in noises:
+        precision = 1.0 + values / noise
+        right = turned / noise / np.sqrt(precision)[:, None]
+        likelihood = -0.5 * (
+            targets * (n * np.log(2 * np.pi * noise) + np.log(precision).sum() + left_out / noise) + own.sum() / noise - (right * right).sum()
+        )
+        weights = mapped @ (right / np.sqrt(precision)[:, None])
+        yield float(likelihood), weights, (mapped * (1.0 - 1.0 / precision)) @ mapped.T

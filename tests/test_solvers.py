@@ -117,6 +117,17 @@ def test_process_with_fewer_points(spark):
     assert (classes.predict(x) == np.digitize(x[:, 0], [-1, 1])).mean() > 0.95
 
 
+@pytest.mark.parametrize("kind", [process.RATIONAL, process.RBF])
+def test_process_of_many_rows_and_nearly_dependent_points(spark, kind):
+    """Many rows, points so close that kernel columns are almost multiples of each other."""
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0, 1, (40_000, 1))
+    y = 100 * x[:, 0] + np.sin(6 * x[:, 0])
+    model = process.InducingProcess(kind, inducing=64, noises=(1e-4,)).fit(table(spark, x, y))
+    assert np.isfinite(model.likelihood) and np.abs(model.predict(x[:500]) - y[:500]).max() < 0.2
+    assert (model.variance(x[:500]) < 1e-3 * y.var()).all()
+
+
 def best_hinge(x, y, strength, steps=60_000):
     """Primal value of the support vector machine by a long subgradient descent."""
     w, best = np.zeros(x.shape[1]), np.inf
