@@ -1,8 +1,9 @@
 """A small network trained by data-parallel steps.
 
-Rows lie in batches. A step sends the weights to the tasks that hold the rows of one batch; each returns
-the summed gradient of its rows, the sums are merged in a tree, and the driver makes one Adam move. So a
-step is that of a single machine on the same batch, however the rows are dealt.
+Rows lie in batches, batches in shards of at most ``SHARD_BATCHES``. An epoch is one job: every shard makes an
+Adam move per batch, one after the other, from the weights and moments all shards start with; what they
+end with is averaged by their rows. So a table of one shard is trained as on a single machine, and the number
+of jobs does not grow with the table.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from featloom.dataset import CLASSIFICATION, Dataset, as_double, quoted
-from featloom.operators.batches import append_features, batch_matrix
+from featloom.operators.batches import append_features
 from featloom.operators.gram import gram_matrices
 from featloom.operators.moments import stats_of
-from featloom.session import materialise, work_dir
+from featloom.session import materialise
 
 HIDDEN = 32
 EPOCHS = 100
 BATCH_ROWS = 4096
+# Batches that follow one another before the shards are averaged.
+SHARD_BATCHES = 16
 # Fixed values of the optimiser.
 RATE, DECAY, SQUARE_DECAY, FLOOR = 1e-3, 0.9, 0.999, 1e-8
 
@@ -126,18 +129,18 @@ class NetworkEmbedding:
         classes = 0
         if ds.task == CLASSIFICATION:
             classes = int(ds.df.agg(F.max(quoted(ds.label))).first()[0] or 0) + 1
-        rows, batches = _in_batches(ds, batch_rows)
+        rows, total = _in_shards(ds, batch_rows)
         sizes = [len(ds.names), hidden, hidden, classes or 1]
         values = flat(initial_layers(sizes, seed))
         adam, losses = Adam(len(values), rate), []
         for _ in range(epochs):
-            for batch in range(batches):
-                part = rows.where(F.col("batch") == batch).drop("batch") if batches > 1 else rows.drop("batch")
-                found = gram_matrices(part, partial(_step_sums, unflat(values, sizes), means, scales, classes)).get((0, 0))
-                if found is None:
-                    continue
-                losses.append(float(found[0, 1] / found[0, 0]))
-                values = adam.move(values, found[0, 2:] / found[0, 0])
+            found = gram_matrices(rows, partial(_epoch_sums, values, adam, sizes, means, scales, classes, total)).get((0, 0))
+            if found is None:
+                break
+            values, adam.first, adam.second = found[0, : 3 * len(values)].reshape(3, -1)
+            seen, lost = found[0, 3 * len(values) :].reshape(2, -1)
+            adam.steps += int((seen > 0).sum())
+            losses += (lost[seen > 0] / seen[seen > 0]).tolist()
         return cls(means, scales, tuple(unflat(values, sizes)), classes, tuple(losses))
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
@@ -153,21 +156,46 @@ class NetworkEmbedding:
         return append_features(ds, [f"mlp_pred_{i}_{len(ds.names)}" for i in range(width)], plain.hidden)
 
 
-def _in_batches(ds: Dataset, batch_rows: int):
-    """Stored rows in batches by a hash of their content, a folder each, so that a step reads its own rows."""
+def _in_shards(ds: Dataset, batch_rows: int):
+    """Stored shards (shard, sizes of its batches, their rows), batches by a hash of the rows' content, and the number of rows."""
     table = ds.df.select(as_double(quoted(ds.label)).alias("y"), *[v.alias(f"x{i}") for i, v in enumerate(ds.values().values())])
     table = table.where(F.col("y").isNotNull())
-    batches = max(1, -(-table.count() // batch_rows))
-    if batches == 1:
-        return materialise(table.withColumn("batch", F.lit(0)), "network-rows"), 1
+    total = table.count()
+    batches = max(1, -(-total // batch_rows))
+    shards = -(-batches // SHARD_BATCHES)
     keyed = table.withColumn("batch", F.pmod(F.xxhash64(F.lit(31), *table.columns), F.lit(batches)).cast("int"))
-    spark = ds.spark
-    path = f"{work_dir(spark)}/featloom/network-{np.random.default_rng().integers(1 << 62):x}"
-    keyed.repartition("batch").write.partitionBy("batch").parquet(path)
-    return spark.read.parquet(path), batches
-
-
-def _step_sums(layers: Layers, means, scales, classes: int, batch: pa.RecordBatch) -> Iterator:
-    y = batch.column(0).to_numpy(zero_copy_only=False)
-    loss, gradient = gradients(layers, (batch_matrix(batch, 1, len(means)) - means) / scales, y, classes)
-    yield (0, 0), np.concatenate([[float(len(y)), loss], gradient])[None, :]
+    dealt = keyed.withColumn("shard", F.col("batch") % shards).repartition(shards, "shard")
+    width = len(table.columns)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        own = np.column_stack([rows[c].to_numpy().astype(float) for c in rows.column_names[:width]])
+        step = rows["batch"].to_numpy() // shards
+        order = np.lexsort((*own.T, step))
+        sizes = np.bincount(step, minlength=SHARD_BATCHES).astype(np.int64)
+        return pa.table({"shard": rows["shard"][:1], "sizes": pa.array([sizes.tobytes()], pa.binary()), "rows": pa.array([own[order].tobytes()], pa.binary())})
+
+    return materialise(dealt.groupBy("shard").applyInArrow(pack, "shard int, sizes binary, rows binary"), "network-rows"), total
+
+
+def _epoch_sums(values, adam: Adam, sizes: list[int], means, scales, classes: int, total: int, batch: pa.RecordBatch) -> Iterator:
+    """Per shard its share of the weights and moments after its steps, then the rows and losses of the steps."""
+    for counts, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        own, moved, at = values, _copied(adam), 0
+        rows = np.frombuffer(raw).reshape(-1, len(means) + 1)
+        counts = np.frombuffer(counts, np.int64)
+        lost = np.zeros(len(counts))
+        for i, count in enumerate(counts.tolist()):
+            if count:
+                part = rows[at : at + count]
+                lost[i], gradient = gradients(unflat(own, sizes), (part[:, 1:] - means) / scales, part[:, 0], classes)
+                own = moved.move(own, gradient / count)
+                at += count
+        share = len(rows) / total
+        yield (0, 0), np.concatenate([own * share, moved.first * share, moved.second * share, counts, lost])[None, :]
+
+
+def _copied(adam: Adam) -> Adam:
+    """A copy that moves on its own."""
+    found = Adam(adam.size, adam.rate)
+    found.first, found.second, found.steps = adam.first, adam.second, adam.steps
+    return found

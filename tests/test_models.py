@@ -241,6 +241,32 @@ def test_one_network_step_is_that_of_one_machine(frames, which):
         assert slope == pytest.approx(gradient[at], rel=1e-3, abs=0.2 if not fitted.classes else 1e-3)
 
 
+def test_network_epochs_are_single_jobs_and_shards_are_averaged(frames, monkeypatch):
+    ds = frames[0]
+    epochs, summed = [], network.gram_matrices
+    monkeypatch.setattr(network, "gram_matrices", lambda *a: (epochs.append(1), summed(*a))[1])
+    size = -(-ds.df.count() // 8)
+    sequence = network.NetworkEmbedding.fit(ds, epochs=2, batch_rows=size, rate=0.01)
+    assert len(epochs) == 2 and len(sequence.losses) == 16
+    monkeypatch.setattr(network, "SHARD_BATCHES", 4)
+    rows, total = network._in_shards(ds, size)
+    shards = rows.orderBy("shard").collect()
+    assert len(shards) == 2 and sum(len(r["rows"]) for r in shards) == total * 4 * 8
+    fitted = network.NetworkEmbedding.fit(ds, epochs=1, batch_rows=size, rate=0.01)
+    sizes = [3, 32, 32, fitted.classes or 1]
+    ends = []
+    for shard in shards:
+        own, at = np.frombuffer(shard["rows"]).reshape(-1, 4), 0
+        values = network.flat(network.initial_layers(sizes, 0))
+        adam = network.Adam(len(values), 0.01)
+        for count in np.frombuffer(shard["sizes"], np.int64):
+            part = own[at : at + count]
+            loss, gradient = network.gradients(network.unflat(values, sizes), (part[:, 1:] - fitted.means) / fitted.scales, part[:, 0], fitted.classes)
+            values, at = adam.move(values, gradient / count), at + count
+        ends.append(values * len(own) / total)
+    assert np.allclose(network.flat(list(fitted.layers)), sum(ends), atol=1e-9)
+
+
 def test_neighbours_both_ways(frames, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 64)
     monkeypatch.setattr(cells, "CELL_ROWS", 40)
