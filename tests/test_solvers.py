@@ -181,6 +181,29 @@ def test_dual_rounds_on_spark_are_the_same(spark, monkeypatch):
     assert sorted(shown) == sorted(model.predict(x))
 
 
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_dual_rounds_write_no_rows_again(spark, monkeypatch, classes):
+    """The rounds are those without Spark; after the first table only dual variables and sums are stored, and no row is shuffled."""
+    monkeypatch.setattr(dual, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (200, 3))
+    y = np.digitize(x[:, 0] + x[:, 1], [0.0, 1.0][: classes - 1]).astype(float) if classes else x[:, 0] + 0.3 * rng.normal(0, 1, 200)
+    names = lambda: {t.name for t in spark.catalog.listTables()}
+    before = names()
+    spec = dual.DualAscent(classes, strength=0.05, rounds=4, gap=0.0)
+    model = spec.fit(table(spark, x, y))
+    made = sorted(names() - before, reverse=True)
+    stored = [spark.table(n) for n in made]
+    assert [t.columns for t in stored] == [["block", "x", "y"], *[["block", "alpha", "sums"]] * 4]
+    again = spec.stepped(stored[0], stored[1], model.weights, 200, 4)
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    margins = 3 if classes == 3 else 1
+    blocks = [(np.frombuffer(r["x"]).reshape(-1, 4), np.frombuffer(r["y"]).reshape(-1, margins)) for r in stored[0].orderBy("block").collect()]
+    assert sum(len(own) for own, _ in blocks) == 200
+    weights, gap = rounds_of(spec, blocks, 4)
+    assert np.allclose(model.weights, weights) and model.gap == pytest.approx(gap)
+
+
 @pytest.mark.parametrize("classes", [0, 3])
 def test_forest_arrays(spark, classes):
     rng = np.random.default_rng(6)
