@@ -8,6 +8,7 @@ from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -26,6 +27,9 @@ from featloom.session import materialise, run_parallel
 
 CLUSTERS = 16
 QUANTILES = 1000
+# Steps of k-means at most, and the move of a centre below which it rests.
+CLUSTER_ROUNDS = 20
+CLUSTER_MOVE = 1e-4
 # Steps of one-dimensional clustering at most, and the share of a variance below which its moves end it.
 ROUNDS = 300
 TOLERANCE = 1e-4
@@ -83,24 +87,93 @@ class Standardise:
 class Clustering:
     """k-means label over a set of features."""
 
-    model: object
+    centres: np.ndarray
     inputs: tuple[str, ...]
     name: str
 
     @classmethod
     def fit(cls, ds: Dataset, k: int = CLUSTERS, seed: int = 0, name: str = "clustering_whole", inputs: Sequence[str] | None = None) -> Clustering:
-        inputs = tuple(ds.names if inputs is None else inputs)
-        ds = ds.spread()
-        data = assembled(ds.df.select(*[quoted(ds.by_name[n]) for n in inputs]), [ds.by_name[n] for n in inputs]).select("__x").persist()
+        return cls.fit_many(ds, [(name, ds.names if inputs is None else inputs)], k, seed)[0]
+
+    @classmethod
+    def fit_many(cls, ds: Dataset, plan: Sequence[tuple[str, Sequence[str]]], k: int = CLUSTERS, seed: int = 0) -> list[Clustering]:
+        """One clustering per (name, inputs): rows are dealt once, and a pass moves the centres of all."""
+        used = [n for n in ds.names if any(n in inputs for _, inputs in plan)]
+        rows = ds.spread().df.select(*[as_double(quoted(ds.by_name[n])).alias(f"c{i}") for i, n in enumerate(used)]).persist()
         try:
-            return cls(KMeans(k=k, seed=seed, featuresCol="__x").fit(data), inputs, name)
+            at = [[used.index(n) for n in inputs] for _, inputs in plan]
+            starts = run_parallel(ds.spark, [lambda own=own: _first_centres(rows, own, k, seed) for own in at], 2)
+            moved = _settled(rows, at, starts)
         finally:
-            data.unpersist()
+            rows.unpersist()
+        return [cls(centres, tuple(inputs), name) for (name, inputs), centres in zip(plan, moved)]
 
     def transform(self, ds: Dataset) -> Dataset:
-        model = self.model.copy().setPredictionCol("__cluster")
-        labelled = model.transform(assembled(ds.df, [ds.by_name[n] for n in self.inputs]))
-        return ds.with_df(labelled).derived({**ds.values(), self.name: F.col("__cluster").cast("double")})
+        centres = self.centres
+
+        @F.pandas_udf("double")
+        def nearest(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            if np.isnan(x).any():
+                raise ValueError("a row to be labelled has a missing value")
+            return pd.Series(nearest_centre(x, centres).astype(float))
+
+        label = nearest(*[as_double(ds.value(n)) for n in self.inputs])
+        return ds.derived({**ds.values(), self.name: label})
+
+
+def _first_centres(rows: DataFrame, at: Sequence[int], k: int, seed: int) -> np.ndarray:
+    """Centres of Spark's seeding, before any step."""
+    data = assembled(rows, [f"c{i}" for i in at]).select("__x").persist()
+    try:
+        return np.array(KMeans(k=k, seed=seed, maxIter=0, featuresCol="__x").fit(data).clusterCenters())
+    finally:
+        data.unpersist()
+
+
+def _settled(rows: DataFrame, at: Sequence[Sequence[int]], starts: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Steps of all clusterings together, each until no centre moves by more than ``CLUSTER_MOVE``."""
+    centres: dict[int, np.ndarray] = dict(enumerate(starts))
+    moving = list(centres)
+    for _ in range(CLUSTER_ROUNDS):
+        sums = gram_matrices(rows, partial(_cluster_sums, {i: (at[i], centres[i]) for i in moving}))
+        left = []
+        for i in moving:
+            own = sums.get((i, 0))
+            if own is None:
+                continue
+            held = own[:, -1:] > 0
+            after = np.where(held, own[:, :-1] / np.where(held, own[:, -1:], 1.0), centres[i])
+            if (((after - centres[i]) ** 2).sum(axis=1) > CLUSTER_MOVE**2).any():
+                left.append(i)
+            centres[i] = after
+        moving = left
+        if not moving:
+            break
+    return [centres[i] for i in range(len(starts))]
+
+
+def _cluster_sums(clusterings: Mapping[int, tuple[Sequence[int], np.ndarray]], batch: pa.RecordBatch):
+    """Sums and number of the rows of every centre."""
+    x = batch_matrix(batch, 0, batch.num_columns)
+    for i, (at, centres) in clusterings.items():
+        own = x[:, at]
+        label, k = nearest_centre(own, centres), len(centres)
+        sums = [np.bincount(label, own[:, j], k) for j in range(own.shape[1])]
+        yield (i, 0), np.column_stack([*sums, np.bincount(label, minlength=k)])
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of every row, the first of equal ones."""
+    columns = np.ascontiguousarray(x.T)
+    label, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for i, centre in enumerate(centres):
+        away = np.zeros(len(x))
+        for column, value in zip(columns, centre):
+            away += np.square(column - value)
+        near = away < least
+        label[near], least[near] = i, away[near]
+    return label
 
 
 @dataclass(frozen=True)
@@ -299,8 +372,7 @@ class SpatialAggregate:
         names = ds.names
         plan = [(f"spatialAgg_step_{i}_{j}", names[i:j]) for i, j in dict.fromkeys(block_plan(len(names)))]
         plan.append(("spatialAgg_whole", names))
-        jobs = [lambda p=p: Clustering.fit(ds, k, seed, p[0], p[1]) for p in plan]
-        return cls(tuple(run_parallel(ds.spark, jobs)))
+        return cls(tuple(Clustering.fit_many(ds, plan, k, seed)))
 
     def transform(self, ds: Dataset) -> Dataset:
         for part in self.parts:

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.ml.clustering import KMeans
+
 from featloom import Dataset
 from featloom.operators import fitted, rowwise
 from featloom.operators.quantiles import exact_quantiles
@@ -108,6 +110,25 @@ def test_clusters(table):
     assert [n for n in blocks.names if n.startswith("spatial")][-1] == "spatialAgg_whole"
 
 
+def test_clusterings_share_the_dealt_rows_and_are_those_of_spark(spark, monkeypatch):
+    """The table is dealt once for all blocks; centres are those of Spark's k-means."""
+    rng = np.random.default_rng(3)
+    middle = rng.integers(0, 4, (400, 1)) * 10.0
+    rows = [tuple(map(float, r)) for r in middle + rng.normal(0, 1, (400, 4))]
+    ds = Dataset.of(spark.createDataFrame(rows, "a double, b double, c double, d double"))
+    calls, dealt = [], Dataset.spread
+    monkeypatch.setattr(Dataset, "spread", lambda self: (calls.append(1), dealt(self))[1])
+    found = fitted.SpatialAggregate.fit(ds, k=4)
+    assert len(calls) == 1 and len(found.parts) > 1
+    for part in found.parts:
+        data = fitted.assembled(dealt(ds).df, part.inputs).select("__x").persist()
+        model = KMeans(k=4, seed=0, featuresCol="__x").fit(data)
+        assert np.allclose(part.centres, model.clusterCenters())
+        made = part.transform(ds)
+        own = [r[0] for r in made.df.select(made.value(part.name).cast("int")).collect()]
+        assert own == [model.predict(r["__x"]) for r in fitted.assembled(ds.df, part.inputs).collect()]
+
+
 def test_block_plan():
     assert fitted.block_plan(8) == [(0, 2), (2, 4), (4, 6), (6, 8), (0, 4), (2, 6), (4, 8), (0, 6), (2, 8)]
     assert fitted.block_plan(1) == [(0, 1)]
