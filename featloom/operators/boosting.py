@@ -1,6 +1,7 @@
 """Second-order gradient boosting on histograms.
 
-Features are cut into bins once. A round grows one tree per class, all together and level by level: a
+Features are cut into bins once, and rows with the same bins and label become one row with a weight, so that
+what the rounds read is bounded by the cells there are. A round grows one tree per class, all together and level by level: a
 pass adds up the gradients and second derivatives of the loss per class, node, feature and bin, the sums
 are merged in a tree of tasks, and the merged blocks give their best split each, so that histograms never
 reach the driver. Margins are brought up to date in the stored table every few rounds and from the
@@ -154,10 +155,11 @@ class HistogramBoosting:
 
     def fit(self, df: DataFrame) -> BoostedTrees:
         """From the vector ``__x`` and the label ``__y``."""
-        width = df.select(F.max(F.size(vector_to_array("__x")))).first()[0] or 0
+        # The table may hold predictions of another model, so it is computed once.
+        arrays = materialise(df.select(F.col("__y").cast("double").alias("__y"), vector_to_array("__x").alias("__a")), "boosting-rows")
+        width = arrays.select(F.max(F.size("__a"))).first()[0] or 0
         names = [f"f{i}" for i in range(width)]
-        arrays = df.select(F.col("__y").cast("double").alias("__y"), vector_to_array("__x").alias("__a"))
-        wide = materialise(arrays.select("__y", *[F.col("__a")[i].alias(n) for i, n in enumerate(names)]), "boosting-rows")
+        wide = arrays.select("__y", *[F.col("__a")[i].alias(n) for i, n in enumerate(names)])
         ds = Dataset.of(wide, names)
         edges = self.edges(ds)
         base = 0.0
@@ -185,16 +187,22 @@ class HistogramBoosting:
         return [np.unique(marks[n]) if v is None else np.array(v[1:]) for n, v in zip(ds.names, few)]
 
     def binned(self, wide: DataFrame, names: Sequence[str], edges: list[np.ndarray], base: float, margins: int) -> DataFrame:
+        """Columns y, weight, bins, margin: a row for the rows of equal bins and label; of values ``y`` is the mean."""
         kind = np.dtype(np.uint8 if self.bins <= 256 else np.uint16)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = batch_matrix(batch, 1, len(names))
                 own = np.column_stack([np.searchsorted(e, x[:, i], "right") for i, e in enumerate(edges)]) if names else np.zeros((len(x), 0))
-                start = np.full((len(x), margins), base)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _cells(own.astype(kind)), _cells(start)], names=["y", "bins", "margin"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _cells(own.astype(kind))], names=["y", "bins"])
 
-        return materialise(wide.mapInArrow(run, "y double, bins binary, margin binary"), "bins")
+        cells = wide.mapInArrow(run, "y double, bins binary")
+        weight, start = F.count(F.lit(1)).cast("double").alias("weight"), F.lit(np.full(margins, base).tobytes()).alias("margin")
+        if self.classes:
+            found = cells.groupBy("y", "bins").agg(weight)
+        else:
+            found = cells.groupBy("bins").agg(F.avg("y").alias("y"), weight)
+        return materialise(found.select("y", "weight", "bins", start), "bins")
 
     def updated(self, rows: DataFrame, pending: list[tuple[Tree, ...]], margins: int) -> DataFrame:
         read = self.reader(pending, margins)
@@ -202,22 +210,23 @@ class HistogramBoosting:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    _, _, margin = read(batch)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _cells(margin)], names=["y", "bins", "margin"])
+                    *_, margin = read(batch)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], _cells(margin)], names=["y", "weight", "bins", "margin"])
 
         return materialise(rows.mapInArrow(run, rows.schema), "margins")
 
     def reader(self, pending: list[tuple[Tree, ...]], margins: int):
         kind = np.dtype(np.uint8 if self.bins <= 256 else np.uint16)
 
-        def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             n = batch.num_rows
-            bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).reshape(n, -1).astype(np.int64)
-            margin = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(n, margins).copy()
+            y, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), kind).reshape(n, -1).astype(np.int64)
+            margin = np.frombuffer(b"".join(batch.column(3).to_pylist())).reshape(n, margins).copy()
             for trees in pending:
                 for k, tree in enumerate(trees):
                     margin[:, k] += tree.values(bins, binned=True)
-            return batch.column(0).to_numpy(zero_copy_only=False), bins, margin
+            return y, weight, bins, margin
 
         return read
 
@@ -276,8 +285,8 @@ class HistogramBoosting:
                 if not batch.num_rows:
                     continue
                 seen = True
-                y, own, margin = read(batch)
-                g, h = derivatives(margin, y, classes)
+                y, weight, own, margin = read(batch)
+                g, h = (d * weight[:, None] for d in derivatives(margin, y, classes))
                 leaves = {k: trees[k].nodes(own, binned=True) for k in {open_[n][0] for n in wanted}}
                 for number, firsts in wanted.items():
                     k, node = open_[number]

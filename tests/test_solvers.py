@@ -261,3 +261,25 @@ def test_cells_hold_all_rows_and_visits_are_few(spark, monkeypatch):
         near = cells.gaps(points, np.array(boxes["low"].tolist()), np.array(boxes["high"].tolist())) <= radius * (1 + 1e-9) + 1e-12
         assert visited.count() == near.sum()
     assert means[1] < 1.5 * means[0]
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_boosting_reads_a_row_per_cell_and_label(spark, monkeypatch, classes):
+    """Many rows in few cells: the rounds read the cells, with the result of all rows."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, (3000, 2)).astype(float)
+    y = (x[:, 0] + rng.integers(0, 3, 3000)) % classes if classes else x[:, 0] * 2 + rng.normal(size=3000)
+    read = []
+    own = boosting.HistogramBoosting.binned
+    monkeypatch.setattr(boosting.HistogramBoosting, "binned", lambda self, *a: read.append(own(self, *a)) or read[0])
+    model = boosting.HistogramBoosting(classes, rounds=2, depth=2).fit(table(spark, x, y))
+    assert read[0].count() == len({(*r, v if classes else 0) for r, v in zip(x.tolist(), y.tolist())})
+    assert read[0].agg({"weight": "sum"}).first()[0] == 3000
+    start = np.full((3000, max(1, classes if classes > 2 else 1)), model.base)
+    g, h = boosting.derivatives(start, y, classes)
+    for k, tree in enumerate(model.rounds[0]):
+        assert np.isclose(tree.weight[0], -0.3 * g[:, k].sum() / (h[:, k].sum() + 1.0))
+        leaf = tree.nodes(x, binned=False)
+        for n in np.unique(leaf):
+            at = leaf == n
+            assert np.isclose(tree.weight[n], -0.3 * g[at, k].sum() / (h[at, k].sum() + 1.0))
