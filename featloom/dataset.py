@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +129,19 @@ class Dataset:
         order = ["__dealt", *([quoted(self.row_id)] if self.row_id else [])]
         return replace(self, df=dealt.repartition(parts, "__dealt").sortWithinPartitions(*order).drop("__dealt"))
 
+    @contextmanager
+    def dealt(self) -> Iterator[Dataset]:
+        """The roles and features of :meth:`spread`, kept on the executors' disks while the block runs.
+
+        A fit reads its rows in several jobs; these neither derive, shuffle nor order them again.
+        """
+        spread = self.spread()
+        df = spread.df.select(*[quoted(c) for c in dict.fromkeys([*self.roles(), *self.columns])]).persist(StorageLevel.DISK_ONLY)
+        try:
+            yield replace(spread, df=df)
+        finally:
+            df.unpersist()
+
     def keep(self, names: Sequence[str]) -> Dataset:
         """Only these features, in the table's own order."""
         wanted = set(names)

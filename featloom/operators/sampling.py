@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from featloom.dataset import Dataset, quoted
 from featloom.operators.ordering import ROWS_PER_BUCKET, with_position
+from featloom.session import materialise
 
 ROW_LIMIT = 100_000
 BALANCED_BELOW = 0.1
@@ -102,15 +103,30 @@ def random_groups(items: Sequence, n: int, seed: int = 0) -> list[list]:
     return [[item] for item in shuffled]
 
 
+_AT = "__at"
+
+
+def placed_rows(ds: Dataset, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The stored roles and features with the position of every row, for several calls of :func:`donors`."""
+    placed = with_position(ds.df, ds.row_id, position=_AT, rows_per_bucket=rows_per_bucket)
+    return materialise(placed.select(_AT, *[quoted(c) for c in dict.fromkeys([*ds.roles(), *ds.columns])]), "placed")
+
+
 def donors(
-    ds: Dataset, columns: Sequence[str], prefix: str, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET
+    ds: Dataset,
+    columns: Sequence[str],
+    prefix: str,
+    seed: int = 0,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    placed: DataFrame | None = None,
 ) -> Dataset:
     """Give every row the ``columns`` of another row, as ``<prefix><column>``.
 
     A permutation of the row positions by a multiplicative step pairs the rows, so permuted
-    columns come from one equi-join on the position instead of a global shuffle sort.
+    columns come from one equi-join on the position instead of a global shuffle sort. ``placed`` are the
+    rows with their positions, where :func:`placed_rows` has stored them.
     """
-    rows = ds.df.count()
+    rows = ds.df.count() if placed is None else placed.count()
     if rows == 0:
         raise ValueError("no rows to permute")
     rng = random.Random(seed)
@@ -118,7 +134,8 @@ def donors(
     while math.gcd(step, rows) != 1:
         step = rng.randrange(1, rows)
     offset = rng.randrange(rows)
-    placed = with_position(ds.df, ds.row_id, position="__at", rows_per_bucket=rows_per_bucket, rows=rows)
-    moved = (F.col("__at").cast("decimal(38,0)") * F.lit(step) + F.lit(offset)) % F.lit(rows)
+    if placed is None:
+        placed = with_position(ds.df, ds.row_id, position=_AT, rows_per_bucket=rows_per_bucket, rows=rows)
+    moved = (F.col(_AT).cast("decimal(38,0)") * F.lit(step) + F.lit(offset)) % F.lit(rows)
     given = placed.select(moved.cast("long").alias("__to"), *[quoted(c).alias(prefix + c) for c in columns])
-    return replace(ds, df=placed.join(given, F.col("__at") == F.col("__to")).drop("__at", "__to"))
+    return replace(ds, df=placed.join(given, F.col(_AT) == F.col("__to")).drop(_AT, "__to"))

@@ -20,7 +20,7 @@ from featloom.operators.batches import batch_matrix
 from featloom.operators.expr import Expr, Ref
 from featloom.operators.gram import gram_matrices
 from featloom.operators.moments import base_exprs, collect_stats, moments_frame
-from featloom.operators.sampling import donors
+from featloom.operators.sampling import donors, placed_rows
 from featloom.operators.univariate import univariate_scores
 from featloom.plans.fitness import ForestScorer, permutation_importance, vectors
 
@@ -62,7 +62,8 @@ def forest_importances(ds: Dataset, trees: int | None = None, depth: int = 10, s
         model = RandomForestClassifier(numTrees=trees or 80, maxDepth=depth, seed=seed, featuresCol="x", labelCol="y")
     else:
         model = RandomForestRegressor(numTrees=trees or 100, maxDepth=depth, seed=seed, featuresCol="x", labelCol="y")
-    fitted = model.fit(vectors(ds.spread(), base_exprs(ds)))
+    with ds.dealt() as dealt:
+        fitted = model.fit(vectors(dealt, base_exprs(dealt)))
     return dict(zip(ds.names, (float(v) for v in fitted.featureImportances.toArray())))
 
 
@@ -179,12 +180,14 @@ def shadow_selection(
     open_names, hits = list(ds.names), dict.fromkeys(ds.names, 0)
     accepted: list[str] = []
     rejected: list[str] = []
+    # The rows' positions are the same in every round.
+    placed = placed_rows(ds)
     for done in range(1, rounds + 1):
         live = [*accepted, *open_names]
         if not open_names:
             break
         current = ds.keep(live)
-        paired = donors(current, current.columns, "shadow_", seed + done)
+        paired = donors(current, current.columns, "shadow_", seed + done, placed=placed)
         both = Dataset.of(paired.df, [*current.columns, *["shadow_" + c for c in current.columns]], ds.label, ds.task, ds.row_id)
         found = forest_importances(both, trees, depth, seed + done)
         best = max(v for n, v in found.items() if n.startswith("shadow_"))
