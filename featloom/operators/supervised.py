@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
@@ -79,8 +80,7 @@ def filled_forward(ds: Dataset, means: Mapping[str, float]) -> Dataset:
 def complete_rows_forward(ds: Dataset) -> Dataset:
     """Infinity as missing, missing values from the last row before that has one."""
     finite = _finite_values(ds)
-    stats = stats_of(ds)
-    if not any(s.nulls or not np.isfinite(s.lo) or not np.isfinite(s.hi) for s in stats.values()):
+    if not finite or ds.df.agg(F.max(reduce(or_, [c.isNull() for c in finite.values()]))).first()[0] is False:
         return ds
     if ds.row_id is None:
         raise ValueError("filling forward needs a row id")
@@ -109,8 +109,13 @@ class StackResidual:
     def fit(self, ds: Dataset) -> FittedStack:
         means = fitted_means(ds)
         ds = filled_forward(ds, means)
+        if not self.drawn:
+            return self._fitted(ds, means)
         # Only fits that draw per partition need their rows dealt by content.
-        ds = ds.spread() if self.drawn else ds
+        with ds.dealt() as dealt:
+            return self._fitted(dealt, means)
+
+    def _fitted(self, ds: Dataset, means: Mapping[str, float]) -> FittedStack:
         # Labels are class codes, of which some may not occur.
         classes = class_count(ds) if self.task == CLASSIFICATION else 0
         map1 = FourierMap.fit(ds, seed=self.seed) if self.kernel else None

@@ -316,3 +316,48 @@ def test_fits_do_not_follow_the_partitioning(spark):
     df = spark.createDataFrame(df.toPandas())
     found = [selection.forest_importances(Dataset.of(df.repartition(n), ["x0", "x1", "x2"], "y", "C", "id"), trees=5) for n in (2, 5)]
     assert found[0] == found[1]
+
+
+def test_dealt_rows_are_those_of_the_fit_and_kept_while_it_runs(spark, monkeypatch):
+    from featloom import dataset
+
+    monkeypatch.setattr(dataset, "SPREAD_ROWS", 40)
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("x"), F.rand(3).alias("z"), (F.col("id") % 2).cast("double").alias("y"))
+    ds = Dataset.of(df.withColumn("unused", F.lit("text")), ["x", "z"], "y", "C", "id")
+    shown = lambda d: [tuple(r) for r in d.df.select(F.spark_partition_id(), "id", "x", "z", "y").collect()]
+    with ds.dealt() as dealt:
+        assert dealt.df.storageLevel.useDisk and dealt.df.columns == ["id", "y", "x", "z"]
+        assert shown(dealt) == shown(ds.spread()) and len({r[0] for r in shown(dealt)}) > 1
+    assert not dealt.df.storageLevel.useDisk
+
+
+def test_fits_read_kept_rows(spark, monkeypatch):
+    from featloom.plans import selection
+
+    seen = []
+    vectors = selection.vectors
+    monkeypatch.setattr(selection, "vectors", lambda ds, *a: seen.append(ds.df.storageLevel.useDisk) or vectors(ds, *a))
+    inputs = M._inputs
+    monkeypatch.setattr(M, "_inputs", lambda ds, fourier: seen.append(ds.df.storageLevel.useDisk) or inputs(ds, fourier))
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 % 2).cast("double").alias("y"))
+    ds = Dataset.of(df, ["x"], "y", "C", "id")
+    selection.forest_importances(ds, trees=2, depth=2)
+    M.random_forest("C", trees=2, depth=2).fit(ds)
+    assert seen[:2] == [True, True]
+
+
+def test_shadow_rounds_share_the_positions(spark, monkeypatch):
+    from featloom.operators import sampling
+    from featloom.plans import selection
+
+    calls = []
+    place = sampling.with_position
+    monkeypatch.setattr(sampling, "with_position", lambda *a, **k: calls.append(1) or place(*a, **k))
+    df = spark.range(150).select("id", (F.col("id") * 37 % 11).cast("double").alias("x"), (F.col("id") * 29 % 13).cast("double").alias("z"), (F.col("id") % 2).cast("double").alias("y"))
+    ds = Dataset.of(df, ["x", "z"], "y", "C", "id")
+    stored = sampling.placed_rows(ds)
+    own, shared = (sampling.donors(ds, ["x", "z"], "d_", 4, placed=p).df.select("id", "x", "z", "y", "d_x", "d_z") for p in (None, stored))
+    assert sorted(own.collect()) == sorted(shared.collect())
+    calls.clear()
+    selection.shadow_selection(ds, rounds=2, trees=2, depth=2)
+    assert len(calls) == 1
