@@ -9,6 +9,7 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
@@ -122,8 +123,17 @@ class StackResidual:
         first = _fit_model(self.estimator(classes), _inputs(ds, map1), as_double(quoted(ds.label)))
         stage = FittedStack(self, map1, first, None, None, means)
         predicted = stage.predict(ds, f"__{self.name}_pred")
-        column = quoted(f"__{self.name}_pred")
-        label = as_double(quoted(ds.label))
+        if not self.drawn:
+            return self._with_error(stage, predicted)
+        # The second model's jobs read the predictions again.
+        kept = predicted.df.persist(StorageLevel.DISK_ONLY)
+        try:
+            return self._with_error(stage, predicted)
+        finally:
+            kept.unpersist()
+
+    def _with_error(self, stage: FittedStack, predicted: Dataset) -> FittedStack:
+        column, label = quoted(f"__{self.name}_pred"), as_double(quoted(predicted.label))
         if self.task == CLASSIFICATION:
             right = (label == column).cast("double")
             span = predicted.df.agg(F.min(right).alias("lo"), F.max(right).alias("hi")).collect()[0]
@@ -133,8 +143,8 @@ class StackResidual:
         else:
             target = label - column
         map2 = FourierMap.fit(predicted, seed=self.seed + 1) if self.kernel else None
-        second = _fit_model(self.estimator(2 if classes else 0), _inputs(predicted, map2), target)
-        return FittedStack(self, map1, first, map2, second, means)
+        second = _fit_model(self.estimator(2 if self.task == CLASSIFICATION else 0), _inputs(predicted, map2), target)
+        return FittedStack(self, stage.map1, stage.first, map2, second, stage.means)
 
 
 @dataclass(frozen=True)
