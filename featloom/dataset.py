@@ -64,6 +64,8 @@ class Dataset:
     task: str = CLASSIFICATION
     row_id: str | None = None
     plain: bool = False
+    # The rows of a running :meth:`dealt`; those of ``df``, where it has not been replaced.
+    rows_dealt: DataFrame | None = None
 
     @classmethod
     def of(
@@ -135,10 +137,13 @@ class Dataset:
 
         A fit reads its rows in several jobs; these neither derive, shuffle nor order them again.
         """
+        if self.rows_dealt is self.df:
+            yield self
+            return
         spread = self.spread()
         df = spread.df.select(*[quoted(c) for c in dict.fromkeys([*self.roles(), *self.columns])]).persist(StorageLevel.DISK_ONLY)
         try:
-            yield replace(spread, df=df)
+            yield replace(spread, df=df, rows_dealt=df)
         finally:
             df.unpersist()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -29,7 +30,8 @@ from featloom.session import materialise, work_dir
 from featloom.sources.tables import write_final, write_generation, write_total
 
 
-ROWS_PER_CORE = 100_000
+# Rows of a task of the prepared table at most.
+ROWS_PER_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -88,13 +90,12 @@ class RunResult:
 
 def prepared(ds: Dataset, folds: int = FOLDS) -> Dataset:
     """The dataset with its fold column, stored once for every later pass."""
+    rows = ds.df.count()
     ds = with_folds(ds, folds)
     table = ds.df.select(*_roles(ds), *[quoted(c) for c in ds.columns])
-    # Generations compute far more than they read: a small table is cut for all cores.
+    # Generations compute far more than they read, and folds leave a task per class and bucket: the rows are dealt evenly.
     cores = ds.spark.sparkContext.defaultParallelism
-    if ds.df.count() < ROWS_PER_CORE * cores:
-        table = table.repartition(cores)
-    return ds.with_df(materialise(table, "base"))
+    return ds.with_df(materialise(table.repartition(cores * max(1, -(-rows // (ROWS_PER_TASK * cores)))), "base"))
 
 
 def _roles(ds: Dataset) -> list:
@@ -169,22 +170,71 @@ def _rejoin(table: Dataset, lost: Dataset) -> Dataset:
     return replace(table, df=joined, features=(*table.features, *added))
 
 
-def search_coefficients(total: Dataset, base: Dataset, config: Config = Config()) -> tuple[float, float, list[tuple]]:
+@dataclass
+class Known:
+    """What a run has found out about feature sets of its tables: order by score, smaller sets, fitness."""
+
+    config: Config
+    _found: dict = field(default_factory=dict, repr=False)
+    _dealt: tuple | None = field(default=None, repr=False)
+
+    @contextmanager
+    def dealing(self, total: Dataset):
+        """Keep the dealt rows of the table while the block runs, for all selections among its features."""
+        if self._dealt is not None and self._dealt[0] is total.df:
+            yield
+            return
+        with total.dealt() as rows:
+            self._dealt = (total.df, rows)
+            try:
+                yield
+            finally:
+                self._dealt = None
+
+    def _select(self, ds: Dataset) -> Dataset:
+        rows = self._dealt[1].keep(ds.names) if self._dealt is not None and self._dealt[0] is ds.df else ds
+        return self.config.selector(rows)
+
+    def _once(self, what: str, ds: Dataset, find):
+        # The table is kept with the result, so that its identity stays its own.
+        key = (what, id(ds.df), tuple(ds.names))
+        if key not in self._found:
+            self._found[key] = (ds.df, find(ds))
+        return self._found[key][1]
+
+    def ranked(self, ds: Dataset) -> list[str]:
+        return self._once("ranked", ds, ranked_features)
+
+    def score(self, ds: Dataset) -> tuple[float, float]:
+        return self._once("score", ds, self.config.final_scorer.score)
+
+    def select(self, ds: Dataset) -> Dataset:
+        return ds.keep(self._once("select", ds, self._select).names)
+
+
+def search_coefficients(
+    total: Dataset, base: Dataset, config: Config = Config(), known: Known | None = None
+) -> tuple[float, float, list[tuple]]:
     """Best (share of candidates kept, final size as share of the base) by relative fitness increase.
 
     Univariate scores are computed once for all shares; for every share the chain of shrinking
-    sets is computed once for all sizes; a feature set is scored once.
+    sets is computed once for all sizes; a feature set is scored once. ``known`` carries all of it on.
     """
-    order = ranked_features(total)
-    initial = config.final_scorer.score(base)[0]
-    known: dict[tuple, float] = {}
+    known = known or Known(config)
+    with known.dealing(total):
+        return _searched(total, base, config, known)
+
+
+def _searched(total: Dataset, base: Dataset, config: Config, known: Known) -> tuple[float, float, list[tuple]]:
+    order = known.ranked(total)
+    initial = known.score(base)[0]
     best, rows = (0.0, 0.0, 0.0), []
     for coef1 in config.share_steps:
         keep = round(coef1 * (len(total.names) + 1))
         chosen = total.keep(order[:keep]) if keep < len(total.names) else total
         if not chosen.features:
             continue
-        steps, chain = shrink_steps(chosen, config.selector), []
+        steps, chain = shrink_steps(chosen, known.select), []
         last = len(base.names) + 1
         for coef2 in config.size_steps:
             limit = max(2, round(coef2 * (len(base.names) + 1)))
@@ -197,27 +247,28 @@ def search_coefficients(total: Dataset, base: Dataset, config: Config = Config()
                 chain.append(step)
             reached = next((s for s in chain if len(s.names) + 1 <= limit), chain[-1])
             last = len(reached.names) + 1
-            key = tuple(reached.names)
-            if key not in known:
-                known[key] = config.final_scorer.score(reached)[0]
-            increase = (known[key] - initial) / initial if initial else 0.0
-            rows.append((coef1, coef2, len(reached.names), known[key], increase))
+            fitness = known.score(reached)[0]
+            increase = (fitness - initial) / initial if initial else 0.0
+            rows.append((coef1, coef2, len(reached.names), fitness, increase))
             if increase > best[2]:
                 best = (coef1, coef2, increase)
     return best[0], best[1], rows
 
 
-def final_selection(total: Dataset, base: Dataset, coef1: float, coef2: float, config: Config = Config()) -> tuple[Dataset, DataFrame]:
+def final_selection(
+    total: Dataset, base: Dataset, coef1: float, coef2: float, config: Config = Config(), known: Known | None = None
+) -> tuple[Dataset, DataFrame]:
     """Coarse univariate cut, then repeated importance selection; a fitness report of every stage."""
+    known = known or Known(config)
     keep = round(coef1 * (len(total.names) + 1))
-    coarse = best_features(total, keep) if keep else total
+    coarse = total.keep(known.ranked(total)[:keep]) if 0 < keep < len(total.names) else total
     limit = max(2, round(coef2 * (len(base.names) + 1))) if coef2 else len(base.names) + 1
     final = coarse
-    for step in shrink_steps(coarse, config.selector):
+    for step in shrink_steps(coarse, known.select):
         final = step
         if len(step.names) + 1 <= limit:
             break
-    scored = [(name, ds, config.final_scorer.score(ds)) for name, ds in (("base", base), ("coarse", coarse), ("final", final))]
+    scored = [(name, ds, known.score(ds)) for name, ds in (("base", base), ("coarse", coarse), ("final", final))]
     start = scored[0][2][0]
     rows = [(n, len(d.names), f, s, (f - start) / start if start else 0.0) for n, d, (f, s) in scored]
     report = total.spark.createDataFrame(rows, "stage string, features int, fitness double, std double, increase double")
@@ -228,8 +279,10 @@ def run(ds: Dataset, config: Config = Config()) -> RunResult:
     """Generations, coefficient search and final selection on a loaded dataset."""
     base = prepared(ds)
     evolution = evolve(base, config)
-    coef1, coef2, _ = search_coefficients(evolution.total, evolution.base, config)
-    final, report = final_selection(evolution.total, evolution.base, coef1, coef2, config)
+    known = Known(config)
+    with known.dealing(evolution.total):
+        coef1, coef2, _ = search_coefficients(evolution.total, evolution.base, config, known)
+        final, report = final_selection(evolution.total, evolution.base, coef1, coef2, config, known)
     if config.folder:
         write_final(final, f"{config.folder.rstrip('/')}/final")
     return RunResult(final, (coef1, coef2), report, evolution)

@@ -38,6 +38,8 @@ Score = tuple[float, float]
 
 _EXPRS_PER_PASS = 512
 _BYTES_PER_PASS = 16 << 20
+# Products that a scorer keeps on the driver.
+_BYTES_KEPT = 64 << 20
 
 
 def check_complete(stats: Mapping[str, FeatureStats], names: Sequence[str]) -> None:
@@ -63,6 +65,7 @@ class LinearScorer:
 
     ridge: float = 1e-9
     _classes: dict = field(default_factory=dict, repr=False)
+    _products: dict = field(default_factory=dict, repr=False)
 
     def score(self, ds: Dataset, exprs: Sequence[Expr] | None = None, stats: Mapping[str, FeatureStats] | None = None) -> Score:
         return self.score_many(ds, [[Ref(n) for n in ds.names] if exprs is None else list(exprs)], stats)[0]
@@ -82,25 +85,59 @@ class LinearScorer:
             scores += self._score_pass(ds, part, stats, classes)
         return scores
 
+    def sum_together(self, ds: Dataset, sets: Sequence[Sequence[Expr]], stats: Mapping[str, FeatureStats], widest: int | None = None) -> None:
+        """Sum the inner products of whole sets, and keep them for the groups inside these sets that are scored later.
+
+        Sets of more than ``widest`` expressions, or with products beyond a pass, are left to their groups; so are those
+        beyond the bytes that are kept, the oldest of which go first.
+        """
+        classes = self._class_count(ds) if ds.task == CLASSIFICATION else 0
+        wanted = []
+        for own in sets:
+            own = list({e.name: e for e in own}.values())
+            fits = (widest is None or len(own) <= widest) and _cost(len(own), classes) <= _BYTES_PER_PASS
+            if fits and self._known_products(ds, own, stats) is None:
+                wanted.append(own)
+        check_complete(stats, list({e.name for own in wanted for e in own}))
+        for part in _passes(wanted, classes):
+            unique, _, split, table = _pass_of(ds, part, stats, classes)
+            position = {e.name: i for i, e in enumerate(unique)}
+            found = gram_matrices(table, partial(_products, split, [np.array([position[e.name] for e in own], dtype=int) for own in part]))
+            for g, own in enumerate(part):
+                places = {e.name: i for i, e in enumerate(own)}
+                self._products["kept"].append((places, {f: m for (b, f), m in found.items() if b == g}))
+        while len(kept := self._products.get("kept", ())) > 1 and sum(m.nbytes for _, found in kept for m in found.values()) > _BYTES_KEPT:
+            del kept[0]
+
+    def _known_products(self, ds: Dataset, group: Sequence[Expr], stats) -> dict[int, np.ndarray] | None:
+        """Products of the group per fold, cut out of those of a set that holds it."""
+        if self._products.get("table") is not ds.df or self._products.get("stats") is not stats:
+            self._products = {"table": ds.df, "stats": stats, "kept": []}
+        for places, found in self._products["kept"]:
+            if all(e.name in places for e in group):
+                rows = np.array([0, *[places[e.name] + 1 for e in group]])
+                return {f: m[np.ix_(rows, [*rows, *range(len(places) + 1, m.shape[1])])] for f, m in found.items()}
+        return None
+
     def _class_count(self, ds: Dataset) -> int:
         if self._classes.get("table") is not ds.df:
             self._classes = {"table": ds.df, "count": class_count(ds)}
         return self._classes["count"]
 
     def _score_pass(self, ds, groups, stats, classes) -> list[Score]:
-        unique = list({e.name: e for g in groups for e in g}.values())
-        position = {e.name: i for i, e in enumerate(unique)}
-        members = [np.array([position[e.name] for e in g], dtype=int) for g in groups]
-        needed = sorted(set().union(*(refs(e) for e in unique)))
-        means = np.array([stats[e.name].mean for e in unique])
-        scales = np.array([stats[e.name].std or 1.0 for e in unique])
-        table = ds.df.select(
-            F.col(FOLD).cast("int").alias("fold"),
-            as_double(quoted(ds.label)).alias("y"),
-            *[ds.value(n).alias(f"b{i}") for i, n in enumerate(needed)],
-        )
-        split = partial(_folded, unique, needed, means, scales, classes)
-        grams = gram_matrices(table, partial(_products, split, members))
+        _, members, split, table = _pass_of(ds, groups, stats, classes)
+        grams = {}
+        unknown = []
+        for g, group in enumerate(groups):
+            found = self._known_products(ds, group, stats)
+            if found is None:
+                unknown.append(g)
+            else:
+                grams.update({(g, f): m for f, m in found.items()})
+        if unknown:
+            _, inside, only, narrow = _pass_of(ds, [groups[g] for g in unknown], stats, classes)
+            found = gram_matrices(narrow, partial(_products, only, inside))
+            grams.update({(unknown[b], f): m for (b, f), m in found.items()})
         models, centres = {}, {}
         for g, columns in enumerate(members):
             d = len(columns) + 1
@@ -122,11 +159,16 @@ class LinearScorer:
         return result
 
 
+def _cost(size: int, classes: int) -> int:
+    """Bytes of the products of a set of features in a task."""
+    return 8 * FOLDS * (size + 1) * (size + 1 + max(classes, 1))
+
+
 def _passes(groups, classes):
     """Split the groups so that one pass stays within fixed memory per task."""
     part, names, size = [], set(), 0
     for group in groups:
-        cost = 8 * FOLDS * (len(group) + 1) * (len(group) + 1 + max(classes, 1))
+        cost = _cost(len(group), classes)
         grown = names | {e.name for e in group}
         if part and (len(grown) > _EXPRS_PER_PASS or size + cost > _BYTES_PER_PASS):
             yield part
@@ -138,38 +180,65 @@ def _passes(groups, classes):
         yield part
 
 
+def _pass_of(ds: Dataset, groups, stats, classes):
+    """The expressions of the groups, the groups' places among them, how a batch is split, and the table that is read."""
+    unique = list({e.name: e for g in groups for e in g}.values())
+    position = {e.name: i for i, e in enumerate(unique)}
+    members = [np.array([position[e.name] for e in g], dtype=int) for g in groups]
+    needed = sorted(set().union(*(refs(e) for e in unique)))
+    means = np.array([stats[e.name].mean for e in unique])
+    scales = np.array([stats[e.name].std or 1.0 for e in unique])
+    table = ds.df.select(
+        F.col(FOLD).cast("int").alias("fold"),
+        as_double(quoted(ds.label)).alias("y"),
+        *[ds.value(n).alias(f"b{i}") for i, n in enumerate(needed)],
+    )
+    return unique, members, partial(_folded, unique, needed, means, scales, classes), table
+
+
 def _folded(unique, needed, means, scales, classes, batch: pa.RecordBatch):
-    """(fold, design matrix, targets, label) of every fold present in the batch."""
+    """(fold, design, targets, label) of every fold present in the batch; a feature is a row of the design, ones are the first.
+
+    The rows of the table are brought into the order of their folds, so that a fold is a stretch of each feature.
+    """
     fold = batch.column(0).to_numpy(zero_copy_only=False)
-    y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-    base = batch_matrix(batch, 2, len(needed))
-    values = {n: base[:, i] for i, n in enumerate(needed)}
+    order = np.argsort(fold, kind="stable")
+    fold = fold[order]
+    y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)[order]
+    values = {n: batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float)[order] for i, n in enumerate(needed)}
+    design = np.empty((len(unique) + 1, len(order)))
+    design[0] = 1.0
     with np.errstate(all="ignore"):
-        x = np.column_stack([to_array(e, values) for e in unique])
-    z = np.nan_to_num((x - means) / scales, posinf=0.0, neginf=0.0)
-    design = np.column_stack([np.ones(len(z)), z])
+        for row, e, mean, scale in zip(design[1:], unique, means, scales):
+            np.subtract(to_array(e, values), mean, out=row)
+            row /= scale
+            if not np.isfinite(row).all():
+                np.nan_to_num(row, copy=False, posinf=0.0, neginf=0.0)
     targets = np.eye(classes)[y.astype(int)] if classes else y[:, None]
-    for f in np.unique(fold):
-        rows = fold == f
-        yield int(f), design[rows], targets[rows], y[rows]
+    found, starts = np.unique(fold, return_index=True)
+    for f, start, stop in zip(found, starts, [*starts[1:], len(order)]):
+        yield int(f), design[:, start:stop], targets[start:stop], y[start:stop]
 
 
 def _products(split, members, batch):
     for f, design, targets, _ in split(batch):
         for g, columns in enumerate(members):
-            a = design[:, np.concatenate([[0], columns + 1])]
-            yield (g, f), a.T @ np.column_stack([a, targets])
+            a = design[np.concatenate([[0], columns + 1])]
+            yield (g, f), np.concatenate([a @ a.T, a @ targets], axis=1)
 
 
 def _outcomes(split, members, models, centres, classes, batch):
     for f, design, _, y in split(batch):
+        if classes:
+            # Where the matrix of the cells begins the row's class.
+            begins = y.astype(int) * classes
         for g, columns in enumerate(members):
-            predicted = design[:, np.concatenate([[0], columns + 1])] @ models[(g, f)]
+            predicted = models[(g, f)].T @ design[np.concatenate([[0], columns + 1])]
             if classes:
-                cells = np.bincount(y.astype(int) * classes + predicted.argmax(axis=1), minlength=classes * classes)
+                cells = np.bincount(begins + predicted.argmax(axis=0), minlength=classes * classes)
                 yield (g, f), cells.reshape(classes, classes).astype(float)
             else:
-                error = np.abs(y - predicted[:, 0]).sum()
+                error = np.abs(y - predicted[0]).sum()
                 yield (g, f), np.array([[error, np.abs(y - centres[f]).sum()]])
 
 

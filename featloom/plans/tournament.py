@@ -25,6 +25,8 @@ from featloom.operators.sampling import random_groups
 OPERATOR_SHARE = 0.9
 SEARCH_RANGE = 20
 WEIGHT_STEP = 0.5
+# Largest tribe whose products are summed as a whole: beyond it, those of pairs from different groups cost more than a pass.
+TRIBE_TOGETHER = 128
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,11 @@ class Arena:
         self._known.update(zip(new, found))
         return [Group(tuple(g), *self._known[k]) for g, k in zip(groups, keys)]
 
+    def expect(self, sets: Sequence[Sequence[str]], widest: int | None = None) -> None:
+        """Tell the scorer of sets whose subsets are scored next; one that can share work between them does."""
+        if hasattr(self.scorer, "sum_together"):
+            self.scorer.sum_together(self.ds, [[self.exprs[n] for n in s] for s in sets], self.stats, widest)
+
     def split(self, names: Sequence[str], n: int) -> list[list[str]]:
         self.seed += 1
         return random_groups(names, n, self.seed)
@@ -83,6 +90,8 @@ def new_candidates(
 def inner_competition(arena: Arena, tribes: Mapping[str, Sequence[str]], groups: Mapping[str, int]) -> dict[str, list[Group]]:
     """Deal every tribe into groups and rank them by rising fitness."""
     dealt = [(op, g) for op, names in tribes.items() for g in arena.split(names, groups[op])]
+    # Later contests inside a tribe need its products only.
+    arena.expect(list(tribes.values()), TRIBE_TOGETHER)
     scored = arena.score([g for _, g in dealt])
     ranked: dict[str, list[Group]] = {op: [] for op in tribes}
     for (op, _), group in zip(dealt, scored):
@@ -96,6 +105,7 @@ def plunge(arena: Arena, contests: Sequence[tuple[Group, Group]]) -> list[Group]
     Halves and all their unions are scored together, one call for all contests.
     """
     halves = [(arena.split(weak.names, 2), arena.split(strong.names, 2)) for weak, strong in contests]
+    arena.expect([list(dict.fromkeys([*weak.names, *strong.names])) for weak, strong in contests])
     wanted = []
     for weak, strong in halves:
         wanted += [*weak, *strong]
