@@ -24,7 +24,13 @@ from featloom.session import materialise
 NEIGHBOURS = 5
 MAX_BROADCAST_CELLS = 8_000_000
 BLOCK_ROWS = 4096
-_QUERY_CHUNK = 256
+_QUERY_CHUNK = 512
+_TRAIN_TILE = 1024
+# Pairs of a query and a row whose distance is computed exactly at a time.
+_EXACT_PAIRS = 1 << 17
+# Cells, and blocks of a cell's visitors, where balls touch most cells.
+FEW_CELLS = 16
+MOST_ROWS = 1 << 16
 
 
 def nearest(query: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,20 +39,59 @@ def nearest(query: np.ndarray, train: np.ndarray, ids: np.ndarray, k: int) -> tu
     found = np.zeros((len(query), k), dtype=np.int64)
     distance = np.zeros((len(query), k))
     norms = (train * train).sum(axis=1)
+    # One product gives the squared distances but for the query's own part.
+    right = np.column_stack([-2.0 * train, norms])
     for at in range(0, len(query), _QUERY_CHUNK):
         part = query[at:at + _QUERY_CHUNK]
-        own = (part * part).sum(axis=1)
-        rough = own[:, None] + norms[None, :] - 2.0 * part @ train.T
         # The rough distances only preselect: everything within rounding of the k-th is recomputed.
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (own + norms.max() + 1e-300)
-        for i in range(len(part)):
-            near = np.flatnonzero(rough[i] <= limit[i])
-            exact = np.sqrt(((train[near] - part[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[near], exact))[:k]
-            found[at + i], distance[at + i] = near[best], exact[best]
+        room = 1e-9 * ((part * part).sum(axis=1) + norms.max() + 1e-300)
+        rows, cols = _preselected(np.column_stack([part, np.ones(len(part))]), right, room, k)
+        stops = np.cumsum(np.bincount(rows, minlength=len(part)))
+        if np.any(np.diff(stops, prepend=0) < k):
+            raise ValueError("neighbours need complete, finite features")
+        first = 0
+        while first < len(part):
+            begin = stops[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(stops, begin + _EXACT_PAIRS, side="right")))
+            own, near = rows[begin:stops[last - 1]], cols[begin:stops[last - 1]]
+            exact = np.sqrt(((train[near] - part[own]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[near], exact, own))
+            starts = np.concatenate([[begin], stops[first:last - 1]]) - begin
+            best = order[starts[:, None] + np.arange(k)]
+            found[at + first:at + last], distance[at + first:at + last] = near[best], exact[best]
+            first = last
     return found, distance
 
 
+def _preselected(left: np.ndarray, right: np.ndarray, room: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all products up to the k-th smallest of their row and ``room``, ordered by row.
+
+    Products are made in tiles that stay in the processor's cache, and only those that can still count are kept.
+    """
+    least = np.full((len(left), k), np.inf)
+    kept = []
+    for start in range(0, len(right), _TRAIN_TILE):
+        rough = left @ right[start:start + _TRAIN_TILE].T
+        if not start and rough.shape[1] >= k:
+            least = np.partition(rough, k - 1, axis=1)[:, :k]
+            least.sort(axis=1)
+        rows, cols = np.nonzero(rough <= (least[:, -1] + room)[:, None])
+        values = rough[rows, cols]
+        kept.append((rows, cols + start, values))
+        if (start or rough.shape[1] < k) and len(rows):
+            number, place = np.unique(rows, return_inverse=True)
+            begins = np.searchsorted(rows, number)
+            width = np.diff(begins, append=len(rows)).max()
+            wider = np.full((len(number), k + width), np.inf)
+            wider[:, :k] = least[number]
+            wider[place, k + np.arange(len(rows)) - begins[place]] = values
+            least[number] = np.sort(np.partition(wider, k - 1, axis=1)[:, :k], axis=1)
+    rows, cols, values = (np.concatenate(c) for c in zip(*kept))
+    close = np.flatnonzero(values <= (least[:, -1] + room)[rows])
+    close = close[np.argsort(rows[close], kind="stable")]
+    return rows[close], cols[close]
+
+
 @dataclass(frozen=True)
 class NearestNeighbours:
     """``nn_<class>`` counts (classification) or ``nn_target`` mean (regression) over ``k`` neighbours."""
@@ -106,11 +151,12 @@ class NearestNeighbours:
         # Of equal rows only the k with the smallest ids can be among the nearest; the limit is
         # applied before the shuffle, so copies of one row cost no more than k rows per task.
         copy = F.row_number().over(Window.partitionBy(*xs).orderBy("tid"))
-        cells = grow(train.withColumn("copy", copy).filter(F.col("copy") <= k).drop("copy"), xs, "tid")
+        block = block_rows(rows, len(xs))
+        cells = grow(train.withColumn("copy", copy).filter(F.col("copy") <= k).drop("copy"), xs, "tid", block if block > BLOCK_ROWS else None)
         query = ds.df.select(quoted(ds.row_id).cast("long").alias("qid"), *[ds.value(n).alias(x) for n, x in zip(ds.names, xs)])
-        home = materialise(met(visits(query, cells, "qid", nearest_box), cells, k), "home-cells")
+        home = materialise(met(visits(query, cells, "qid", nearest_box), cells, k, block), "home-cells")
         away = visits(home.select("qid", *xs, "bound", F.col("cell").alias("home")), cells, "qid", touched).where("cell <> home")
-        others = met(away.drop("home", "bound"), cells, k)
+        others = met(away.drop("home", "bound"), cells, k, block)
         # At most k rows per block, then per query.
         merged = home.select("qid", "near").unionByName(others.select("qid", "near")).groupBy("qid").agg(
             F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
@@ -124,13 +170,24 @@ class NearestNeighbours:
         return ds.df.join(outcome, quoted(ds.row_id).cast("long") == F.col("qid"), "left").drop("qid")
 
 
-def met(visiting: DataFrame, cells: Cells, k: int) -> DataFrame:
+def block_rows(rows: int, width: int) -> int:
+    """Rows of a cell and of a block of its visitors.
+
+    With fewer cells than a box has corners not every side is cut, and most balls touch most cells. What moves is then
+    rows times blocks; with a fixed number of blocks it grows as the rows do, until a block is as large as a task bears.
+    """
+    if width < 40 and rows >= BLOCK_ROWS << width:
+        return BLOCK_ROWS
+    return max(BLOCK_ROWS, min(MOST_ROWS, MAX_BROADCAST_CELLS // (width + 3), -(-rows // FEW_CELLS)))
+
+
+def met(visiting: DataFrame, cells: Cells, k: int, block: int = BLOCK_ROWS) -> DataFrame:
     """Every visit with its ``k`` nearest rows of the cell, ``near``, and the distance of the k-th, ``bound``.
 
     The visitors of a cell are dealt into blocks; a cell goes to each of its blocks.
     """
     xs = cells.xs
-    sizes = visiting.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("chunks"))
+    sizes = visiting.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block).alias("chunks"))
     left, chunks = in_chunks(visiting, sizes, "cell", "qid")
     right = cells.rows.join(chunks, "cell").select(F.col("cell").alias("of"), F.col("chunk").alias("of_chunk"), "tid", "y", *xs)
     numbers = ", ".join(f"{x} double" for x in xs)
