@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -176,24 +175,6 @@ class Known:
 
     config: Config
     _found: dict = field(default_factory=dict, repr=False)
-    _dealt: tuple | None = field(default=None, repr=False)
-
-    @contextmanager
-    def dealing(self, total: Dataset):
-        """Keep the dealt rows of the table while the block runs, for all selections among its features."""
-        if self._dealt is not None and self._dealt[0] is total.df:
-            yield
-            return
-        with total.dealt() as rows:
-            self._dealt = (total.df, rows)
-            try:
-                yield
-            finally:
-                self._dealt = None
-
-    def _select(self, ds: Dataset) -> Dataset:
-        rows = self._dealt[1].keep(ds.names) if self._dealt is not None and self._dealt[0] is ds.df else ds
-        return self.config.selector(rows)
 
     def _once(self, what: str, ds: Dataset, find):
         # The table is kept with the result, so that its identity stays its own.
@@ -209,7 +190,7 @@ class Known:
         return self._once("score", ds, self.config.final_scorer.score)
 
     def select(self, ds: Dataset) -> Dataset:
-        return ds.keep(self._once("select", ds, self._select).names)
+        return ds.keep(self._once("select", ds, self.config.selector).names)
 
 
 def search_coefficients(
@@ -221,11 +202,6 @@ def search_coefficients(
     sets is computed once for all sizes; a feature set is scored once. ``known`` carries all of it on.
     """
     known = known or Known(config)
-    with known.dealing(total):
-        return _searched(total, base, config, known)
-
-
-def _searched(total: Dataset, base: Dataset, config: Config, known: Known) -> tuple[float, float, list[tuple]]:
     order = known.ranked(total)
     initial = known.score(base)[0]
     best, rows = (0.0, 0.0, 0.0), []
@@ -280,9 +256,8 @@ def run(ds: Dataset, config: Config = Config()) -> RunResult:
     base = prepared(ds)
     evolution = evolve(base, config)
     known = Known(config)
-    with known.dealing(evolution.total):
-        coef1, coef2, _ = search_coefficients(evolution.total, evolution.base, config, known)
-        final, report = final_selection(evolution.total, evolution.base, coef1, coef2, config, known)
+    coef1, coef2, _ = search_coefficients(evolution.total, evolution.base, config, known)
+    final, report = final_selection(evolution.total, evolution.base, coef1, coef2, config, known)
     if config.folder:
         write_final(final, f"{config.folder.rstrip('/')}/final")
     return RunResult(final, (coef1, coef2), report, evolution)
