@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +42,25 @@ class ForestArrays:
         """From a fitted forest of continuous features, by way of its stored nodes."""
         path = f"{work_dir(spark)}/featloom/forest-{uuid.uuid4().hex}"
         model.write().save(path)
-        rows = _nodes(spark.read.parquet(f"{path}/data")).collect()
-        classes = getattr(model, "numClasses", 0)
+        return cls.stored(spark.read.parquet(f"{path}/data"), getattr(model, "numClasses", 0))
+
+    @classmethod
+    def stored(cls, nodes: DataFrame, classes: int) -> ForestArrays:
+        """From the nodes of stored forests, told apart by their ``treeID``."""
         by_tree: dict[int, list] = {}
-        for row in rows:
+        for row in _nodes(nodes).collect():
             by_tree.setdefault(row["tree"], []).append(row)
         return cls(tuple(_tree(sorted(by_tree[t], key=lambda r: r["id"]), classes) for t in sorted(by_tree)), classes)
 
+    def with_thresholds(self, edges: Sequence[np.ndarray]) -> ForestArrays:
+        """A forest over bin numbers as one over values: what is in bin k or below is at most ``edges[feature][k]``."""
+
+        def of_values(tree: TreeArrays) -> TreeArrays:
+            found = [0.0 if f < 0 else edges[f][int(t)] for f, t in zip(tree.feature.tolist(), tree.threshold.tolist())]
+            return replace(tree, threshold=np.array(found, float))
+
+        return replace(self, trees=tuple(map(of_values, self.trees)))
+
     def votes(self, x: np.ndarray) -> np.ndarray:
         return sum((t.says(x) for t in self.trees), np.zeros((len(x), max(self.classes, 1))))
 

@@ -25,6 +25,7 @@ from featloom.dataset import CLASSIFICATION, Dataset, as_double, quoted
 from featloom.functions.metrics import confusion, f1_of_matrix, relative_absolute_error, weighted_f1
 from featloom.functions.summary import FeatureStats
 from featloom.operators.batches import batch_matrix
+from featloom.operators.cell_forest import forest_of_cells
 from featloom.operators.expr import Expr, Ref, refs, to_array, to_column
 from featloom.operators.folds import FOLD
 from featloom.operators.forest import ForestArrays
@@ -354,13 +355,15 @@ def baseline_scores(datasets: Mapping[str, Dataset], scorer) -> DataFrame:
 def permutation_importance(ds: Dataset, forest: ForestScorer | None = None, repeats: int = 5, seed: int = 0) -> DataFrame:
     """Columns feature, importance: mean loss of the metric when one feature's values are permuted.
 
-    Permuted values come from a donor row. All features are scored in one pass per repeat: a batch is
+    A forest of classes over many rows is fitted on the cells of its bins. Permuted values come from a donor row. All features are scored in one pass per repeat: a batch is
     evaluated as it is, then with one column replaced after the other, by the trees that look at it.
     """
     forest = forest or ForestScorer(trees=100)
     train, test = holdout(ds, seed=seed)
-    model = forest.estimator(ds.task).fit(vectors(train, [Ref(n) for n in ds.names]))
-    arrays = ForestArrays.of(ds.spark, model)
+    estimator = forest.estimator(ds.task)
+    arrays = forest_of_cells(train, estimator) if ds.task == CLASSIFICATION else None
+    if arrays is None:
+        arrays = ForestArrays.of(ds.spark, estimator.fit(vectors(train, [Ref(n) for n in ds.names])))
     losses = np.zeros(len(ds.names))
     centre = 0.0
     if ds.task != CLASSIFICATION:
