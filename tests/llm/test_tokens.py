@@ -134,3 +134,36 @@ def test_checksums_of_the_queries(spark, sf_dir):
     rows = token_frames.op1_token_frames(spark, sf_dir).orderBy("doc_id").limit(20).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert all(r["ids_crc32"] == zlib.crc32(raw(ids_of(texts[r["doc_id"]]))) for r in rows)
+
+
+def test_words_and_marks_change_nothing():
+    rng = np.random.default_rng(4)
+    words = ["the", "Énorme", "ßein", "ñ9", "can't", "x²", "№", "don", "Ω", "ǅ", "\x01a", "\x1ca", "<s>", "a,b", "1.", "'s", "日本", "×", "ɏ", "ɐ", "é"]
+    marks = ["", "", ",", ".", "...", "&&&", "***", "'", "!?|", "$"]
+    gaps = [" ", " ", " ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\xa0", " ", " ", " ", "\r\n"]
+    texts = []
+    for i in range(600):
+        own, count = gaps[: 4 if i % 2 else len(gaps)], rng.integers(1, 30)
+        pieces = [rng.choice(words) + rng.choice(marks) + rng.choice(own) for _ in range(count)]
+        texts.append("".join(pieces).strip(" \n") if i % 4 else "".join(pieces))
+    texts += [",", "* *", " ", "\n", "\n,", " \x01", "\x01", "a\n", "\n\n"]
+    want = [raw(ids_of(t, ())) for t in texts]
+    for kept in (5, 40, 10_000):
+        coder = tokens.Encoder(tokens.default_vocabulary(), kept=kept)
+        for at in range(0, len(texts), 50):
+            assert coder.encode(texts[at : at + 50], b"end!") == [w + b"end!" for w in want[at : at + 50]]
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow():
+    coder, asked = tokens.Encoder(tokens.default_vocabulary(), kept=1000), []
+    numbers = coder.numbers
+    coder.numbers = lambda texts: asked.extend(texts) or numbers(texts)
+    coder.encode(["die Größe, the Größe. Größe", "x\nGröße! Größe?\nGröße"])
+    assert "".join(asked).count("Größe") == 2
+    coder.encode(["Größe", "the Größe&&& x\nGröße, die"])
+    assert "".join(asked).count("Größe") == 3
+    # Words that were used last outlast the others.
+    small = tokens.Encoder(tokens.default_vocabulary(), kept=8)
+    for i in range(20):
+        small.encode([f"the often w{i}"])
+        assert "often" in small.known and len(small.known) <= 8
