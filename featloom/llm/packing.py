@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featloom.llm.base import load, query, texts
-from featloom.llm.tokens import ID, batches, default_vocabulary, encoder
+from featloom.llm.tokens import CHARACTERS, ID, batches, default_vocabulary, encoder
 
 CAPACITY = 1024
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -114,7 +114,7 @@ def pack_table(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "do
         packer, coder, rows = Packer(TaskContext.get().partitionId(), capacity), encoder(vocabulary), []
         for frame in frames:
             ids_of, text_of = frame.column(0).to_pylist(), frame.column(1).to_pylist()
-            for part in batches(text_of):
+            for part in batches(text_of, CHARACTERS):
                 for doc, ids in zip(ids_of[part], coder.encode(text_of[part], end)):
                     rows.extend(packer.add(doc, ids))
                     if len(rows) >= PIECE_ROWS:

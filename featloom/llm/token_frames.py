@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featloom.llm.base import load, query, texts
-from featloom.llm.tokens import ID, batches, default_vocabulary, encoder
+from featloom.llm.tokens import CHARACTERS, ID, batches, default_vocabulary, encoder
 from featloom.session import materialise, work_dir
 
 # Fixed values of the zstandard and seekable formats.
@@ -135,7 +135,7 @@ def write_documents(docs: DataFrame, folder: str, vocabulary: str, end_id: int =
         coder, writer, sink = encoder(vocabulary), None, None
         for frame in frames:
             ids_of, text = frame.column(0).to_pylist(), frame.column(1).to_pylist()
-            for part in batches(text):
+            for part in batches(text, CHARACTERS):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     sink = store.open_output_stream(attempt)

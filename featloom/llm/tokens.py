@@ -24,6 +24,9 @@ FIRST = "\x01"
 # A word of letters, as the pre-tokens of byte-level vocabularies tell them from marks.
 LETTERS = "^[\x01\n]?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 KEPT_CHUNKS = 800_000
+KEPT_UNITS = 700_000
+# Characters of texts that are encoded together.
+CHARACTERS = 4_000_000
 # Chunks that the library encodes in one call: what it returns is larger than the ids.
 TOGETHER = 2_000
 # Characters of texts with odd blanks that are cut at a time.
@@ -107,7 +110,7 @@ class Encoder:
     that needed it). ``kept`` bounds the units; beyond it those that were not used for longest are forgotten.
     """
 
-    def __init__(self, vocabulary: str, kept: int = KEPT_CHUNKS):
+    def __init__(self, vocabulary: str, kept: int = KEPT_UNITS):
         # A task has one core.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -238,8 +241,9 @@ class Encoder:
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of ``flat``, one behind the other."""
     stops = np.cumsum(lengths)
-    where = np.repeat(starts - (stops - lengths), lengths)
-    where += np.arange(len(where))
+    kind = np.int32 if len(flat) < 1 << 31 and (not len(stops) or stops[-1] < 1 << 31) else np.int64
+    where = np.repeat((starts - (stops - lengths)).astype(kind), lengths)
+    where += np.arange(len(where), dtype=kind)
     return flat[where]
 
 
