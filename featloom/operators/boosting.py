@@ -1,7 +1,8 @@
 """Second-order gradient boosting on histograms.
 
 Features are cut into bins once, and rows with the same bins and label become one row with a weight, so that
-what the rounds read is bounded by the cells there are. A round grows one tree per class, all together and level by level: a
+what the rounds read is bounded by the cells there are. Cells that fit into ``CELL_BYTES`` go through all rounds in
+one task. Of more cells a round grows one tree per class, all together and level by level: a
 pass adds up the gradients and second derivatives of the loss per class, node, feature and bin, the sums
 are merged in a tree of tasks, and the merged blocks give their best split each, so that histograms never
 reach the driver. Margins are brought up to date in the stored table every few rounds and from the
@@ -10,6 +11,8 @@ latest trees in between.
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -40,6 +43,10 @@ PASS_BYTES = 64 << 20
 ROW_BYTES = 4 << 20
 # Rounds after which margins are stored anew.
 STORED_EVERY = 8
+# Bytes up to which the cells of a table are fitted by one task.
+CELL_BYTES = 384 << 20
+# Margins of a fitted model between its thresholds up to which rows look their prediction up.
+LATTICE_CELLS = 1 << 22
 LEAF = -1
 
 
@@ -83,14 +90,23 @@ class Tree:
 
 def derivatives(margin: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives of the loss per row and margin: squared error, logistic, or softmax."""
+    return _derivatives(margin, targets(y, classes), classes)
+
+
+def targets(y: np.ndarray, classes: int) -> np.ndarray:
+    """What each margin of a row aims at: its label, or whether it is the label's class."""
+    return y.astype(int)[:, None] == np.arange(classes) if classes > 2 else y[:, None]
+
+
+def _derivatives(margin: np.ndarray, target: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     if not classes:
-        return margin - y[:, None], np.ones_like(margin)
+        return margin - target, np.ones_like(margin)
     if classes <= 2:
         p = 1.0 / (1.0 + np.exp(-margin))
-        return p - y[:, None], np.maximum(p * (1.0 - p), 1e-16)
+        return p - target, np.maximum(p * (1.0 - p), 1e-16)
     p = np.exp(margin - margin.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    return p - (y.astype(int)[:, None] == np.arange(classes)), np.maximum(2.0 * p * (1.0 - p), 1e-16)
+    return p - target, np.maximum(2.0 * p * (1.0 - p), 1e-16)
 
 
 def best_split(sums: np.ndarray, penalty: float, least_weight: float) -> tuple[float, int, int, float, float, float, float]:
@@ -122,28 +138,61 @@ class BoostedTrees:
         return found
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        found = self.margins(x)
+        return self.chosen(self.margins(x))
+
+    def chosen(self, found: np.ndarray) -> np.ndarray:
+        """Value or class of every row of margins."""
         if not self.classes:
             return found[:, 0]
         return (found[:, 0] > 0).astype(float) if self.classes <= 2 else found.argmax(axis=1).astype(float)
 
+    def lattice(self) -> tuple[list[np.ndarray], np.ndarray] | None:
+        """Thresholds in use per feature, and the prediction of every cell between them; None where cells are too many."""
+        cuts: dict[int, set[float]] = {}
+        for tree in (t for trees in self.rounds for t in trees):
+            for feature, threshold in zip(tree.feature, tree.threshold):
+                if feature != LEAF:
+                    cuts.setdefault(feature, set()).add(threshold)
+        own = [np.array(sorted(cuts.get(i, ()))) for i in range(1 + max(cuts, default=-1))]
+        shape, margins = [len(c) + 1 for c in own], self.classes if self.classes > 2 else 1
+        if math.prod(shape) * margins > LATTICE_CELLS:
+            return None
+        found = np.full((margins, *shape), self.base)
+        for trees in self.rounds:
+            for margin, tree in zip(found, trees):
+                open_ = [(0, [(0, n) for n in shape])]
+                while open_:
+                    node, box = open_.pop()
+                    feature = tree.feature[node]
+                    if feature == LEAF:
+                        margin[tuple(slice(*side) for side in box)] += tree.weight[node]
+                        continue
+                    low, high = box[feature]
+                    cut = min(max(int(np.searchsorted(own[feature], tree.threshold[node])) + 1, low), high)
+                    for child, side in ((tree.left[node], (low, cut)), (tree.right[node], (cut, high))):
+                        if side[0] < side[1]:
+                            open_.append((child, [*box[:feature], side, *box[feature + 1 :]]))
+        return own, self.chosen(found.reshape(margins, -1).T)
+
     def transform(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if c != "__x"]
         wide = df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept], vector_to_array("__x").alias("__x"))
         schema = wide.withColumn("__p", F.lit(0.0)).schema
+        lattice = self.lattice()
+        predict = self.predict if lattice is None else lambda x: _looked_up(*lattice, x)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     x = batch.column(len(kept)).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(self.predict(x))], names=[*batch.schema.names, "__p"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predict(x))], names=[*batch.schema.names, "__p"])
 
         return wide.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
-class HistogramBoosting:
-    """``classes`` 0 fits values, 2 a logistic margin, more a softmax over as many margins."""
+class CellBoosting:
+    """The rounds over cells that are all in memory."""
 
     classes: int = 0
     rounds: int = ROUNDS
@@ -153,6 +202,74 @@ class HistogramBoosting:
     least_weight: float = LEAST_WEIGHT
     bins: int = BINS
 
+    def cells_of(self, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins by feature, weight and mean target of every cell, in the order of the bins."""
+        kind = np.dtype(np.uint8 if self.bins <= 256 else np.uint16)
+        y, weight = (held.column(i).to_numpy() for i in range(2))
+        raw = np.frombuffer(b"".join(v for c in held.column(2).chunks for v in c.to_pylist()), kind).reshape(len(y), -1)
+        if not raw.shape[1]:
+            raw = np.zeros((len(y), 1), kind)
+        bins, cell = np.unique(raw, axis=0, return_inverse=True)
+        cell = cell.ravel()
+        total = np.bincount(cell, weight)
+        target = np.column_stack([np.bincount(cell, weight * t) for t in targets(y, self.classes).T]) / total[:, None]
+        return np.ascontiguousarray(bins.T), total, target
+
+    def rounds_of(self, bins: np.ndarray, weight: np.ndarray, target: np.ndarray, edges: list[np.ndarray], base: float, margins: int):
+        margin = np.full((len(weight), margins), base)
+        done: list[tuple[Tree, ...]] = []
+        for _ in range(self.rounds if edges else 0):
+            g, h = (np.ascontiguousarray((d * weight[:, None]).T) for d in _derivatives(margin, target, self.classes))
+            grown = [self.tree_of(bins, g[k], h[k], edges) for k in range(margins)]
+            if not any(len(t.feature) > 1 or t.weight[0] for t, _ in grown):
+                break
+            for k, (tree, leaf) in enumerate(grown):
+                margin[:, k] += np.array(tree.weight)[leaf]
+            done.append(tuple(t for t, _ in grown))
+        return tuple(done)
+
+    def tree_of(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, edges: list[np.ndarray]) -> tuple[Tree, np.ndarray]:
+        """A tree, and the leaf of every cell."""
+        tree, leaf = Tree(), np.zeros(len(g), np.int64)
+        open_ = [tree.add(0.0)]
+        for level in range(self.depth):
+            # Cells of closed nodes are added up behind the open ones.
+            place = np.full(len(tree.feature), len(open_))
+            place[open_] = np.arange(len(open_))
+            first, size = place[leaf] * self.bins, (len(open_) + 1) * self.bins
+            sums = np.empty((2, len(open_), len(bins), self.bins))
+            for i, own in enumerate(bins):
+                at = first + own
+                for total, values in zip(sums, (g, h)):
+                    total[:, i] = np.bincount(at, values, size).reshape(-1, self.bins)[:-1]
+            grown: list[int] = []
+            for number, node in enumerate(open_):
+                gain, feature, last, *sides = best_split(sums[:, number], self.penalty, self.least_weight)
+                grown += self.divided(tree, level, node, gain, feature, last, *sides, edges)
+            if not grown:
+                break
+            feature, last, left, right = (np.array(c) for c in (tree.feature, tree.last, tree.left, tree.right))
+            moved = np.flatnonzero(feature[leaf] != LEAF)
+            own = leaf[moved]
+            leaf[moved] = np.where(bins[feature[own], moved] <= last[own], left[own], right[own])
+            open_ = grown
+        return tree, leaf
+
+    def divided(self, tree: Tree, level: int, node: int, gain: float, feature: int, last: int, gl: float, hl: float, g: float, h: float, edges) -> tuple[int, ...]:
+        """Children of a node that its best split is worth."""
+        if not level:
+            tree.weight[0] = self.weight(g, h)
+        if not gain > LEAST_GAIN:
+            return ()
+        return tree.split(node, feature, last, float(edges[feature][last]), gain, self.weight(gl, hl), self.weight(g - gl, h - hl))
+
+    def weight(self, g: float, h: float) -> float:
+        return -self.rate * g / (h + self.penalty)
+
+
+class HistogramBoosting(CellBoosting):
+    """``classes`` 0 fits values, 2 a logistic margin, more a softmax over as many margins."""
+
     def fit(self, df: DataFrame) -> BoostedTrees:
         """From the vector ``__x`` and the label ``__y``."""
         # The table may hold predictions of another model, so it is computed once.
@@ -167,6 +284,9 @@ class HistogramBoosting:
             base = wide.agg(F.avg("__y")).first()[0] or 0.0
         margins = self.classes if self.classes > 2 else 1
         rows = self.binned(wide, names, edges, base, margins)
+        cells = rows.count()
+        if cells and self.cell_bytes(cells, width, margins) <= CELL_BYTES:
+            return BoostedTrees(base, self.classes, self.grown_at_once(rows, edges, base, margins))
         done: list[tuple[Tree, ...]] = []
         pending: list[tuple[Tree, ...]] = []
         for _ in range(self.rounds):
@@ -204,6 +324,22 @@ class HistogramBoosting:
             found = cells.groupBy("bins").agg(F.avg("y").alias("y"), weight)
         return materialise(found.select("y", "weight", "bins", start), "bins")
 
+    def cell_bytes(self, rows: int, width: int, margins: int) -> int:
+        """Bytes that cells take in memory at most, with the sums of a level."""
+        return rows * (4 * width + 64 + 56 * margins) + 2 * 8 * self.bins * width * 2 ** (self.depth - 1)
+
+    def grown_at_once(self, rows: DataFrame, edges: list[np.ndarray], base: float, margins: int) -> tuple[tuple[Tree, ...], ...]:
+        """All rounds in one task; the driver gets the trees."""
+        boosted = CellBoosting(**vars(self))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = boosted.cells_of(pa.Table.from_batches([b for b in batches if b.num_rows]))
+            found = [[vars(tree) for tree in trees] for trees in boosted.rounds_of(*cells, edges, base, margins)]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["payload"])
+
+        found = rows.select("y", "weight", "bins").coalesce(1).mapInArrow(run, "payload binary").collect()[0]["payload"]
+        return tuple(tuple(Tree(**tree) for tree in trees) for trees in pickle.loads(found))
+
     def updated(self, rows: DataFrame, pending: list[tuple[Tree, ...]], margins: int) -> DataFrame:
         read = self.reader(pending, margins)
 
@@ -242,20 +378,12 @@ class HistogramBoosting:
             for k, node in open_:
                 if (k, node) not in found:
                     continue
-                gain, feature, last, gl, hl, g, h = found[(k, node)]
-                if not level:
-                    trees[k].weight[0] = self.weight(g, h)
-                if gain > LEAST_GAIN:
-                    sides = (self.weight(gl, hl), self.weight(g - gl, h - hl))
-                    grown += [(k, child) for child in trees[k].split(node, feature, last, float(edges[feature][last]), gain, *sides)]
+                grown += [(k, child) for child in self.divided(trees[k], level, node, *found[(k, node)], edges)]
             open_ = grown
             if not open_:
                 break
         return trees
 
-    def weight(self, g: float, h: float) -> float:
-        return -self.rate * g / (h + self.penalty)
-
     def splits(self, rows, pending, trees, open_, width: int, margins: int) -> dict:
         """Best split of every open node: passes over parts of the nodes and features whose sums fit a task."""
         node_bytes = 2 * 8 * self.bins
@@ -320,6 +448,13 @@ class HistogramBoosting:
         return merged.mapInArrow(best, "node int, gain double, feature int, last int, gl double, hl double, g double, h double")
 
 
+def _looked_up(cuts: Sequence[np.ndarray], found: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(x), np.int64)
+    for i, own in enumerate(cuts):
+        at = at * (len(own) + 1) + np.searchsorted(own, x[:, i], "right")
+    return found[at]
+
+
 def _added(left: bytes, right: bytes) -> bytes:
     return (np.frombuffer(left) + np.frombuffer(right)).tobytes()
 

@@ -377,7 +377,7 @@ for _name, _make, _data in [
     ("rbf_classification", partial(M.rbf_process, "C"), _part_brands),
     ("forest_classification", partial(M.random_forest, "C", trees=20), _orders),
     ("forest_regression", partial(M.random_forest, "R", trees=20), _parts),
-    ("boosting_classification", partial(M.gradient_boosting, "C", rounds=10), _orders),
+    ("boosting_classification", partial(M.gradient_boosting, "C"), _orders),
     ("boosting_regression", partial(M.gradient_boosting, "R", rounds=10), _parts),
 ]:
     query(_name)(_stacked(_make, _data))

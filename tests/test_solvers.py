@@ -1,5 +1,7 @@
 """The library's own solvers against plain numpy on small tables."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
@@ -11,6 +13,8 @@ from featloom.operators import boosting, cells, dual, forest, linear, process
 from featloom.operators.fitted import Binning, assembled, few_values
 from featloom.plans.fitness import vectors
 from featloom.operators.moments import base_exprs
+from featloom.queries import models  # noqa: F401
+from featloom.queries.base import QUERIES
 
 
 def table(spark, x, y, parts=4):
@@ -283,3 +287,50 @@ def test_boosting_reads_a_row_per_cell_and_label(spark, monkeypatch, classes):
         for n in np.unique(leaf):
             at = leaf == n
             assert np.isclose(tree.weight[n], -0.3 * g[at, k].sum() / (h[at, k].sum() + 1.0))
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_boosting_of_cells_in_one_task_is_that_of_passes(spark, monkeypatch, classes):
+    rng = np.random.default_rng(30 + classes)
+    x = np.column_stack([rng.integers(0, 30, 900), rng.normal(0, 1, 900), rng.integers(0, 2, 900)])
+    y = (x[:, 0] > 9 + 4 * x[:, 1]) + (x[:, 2] * (x[:, 0] > 20)) if classes else x[:, 0] + rng.normal(0, 1, 900)
+    df = table(spark, x, np.minimum(y, classes - 1) if classes else y)
+    boosted = boosting.HistogramBoosting(classes, rounds=4, depth=4, bins=64)
+    monkeypatch.setattr(boosting.HistogramBoosting, "grow", lambda *a: pytest.fail("cells that fit need no pass a level"))
+    own = boosted.fit(df)
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "CELL_BYTES", 0)
+    passes = boosted.fit(df)
+    assert len(own.rounds) == len(passes.rounds) == 4
+    assert np.allclose(own.margins(x), passes.margins(x))
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_boosted_rows_look_their_prediction_up(spark, monkeypatch, classes):
+    rng = np.random.default_rng(40 + classes)
+    x = np.column_stack([rng.normal(0, 1, 700), rng.integers(0, 5, 700), np.ones(700)])
+    y = (x[:, 0] > 0).astype(float) + (x[:, 1] > 2) * (classes != 2) if classes else x[:, 0] * x[:, 1]
+    df = table(spark, x, y)
+    model = boosting.HistogramBoosting(classes, rounds=9, bins=32).fit(df)
+    cuts, found = model.lattice()
+    near = [np.concatenate([c, np.nextafter(c, -np.inf), [-1e9, 1e9]]) for c in cuts]
+    points = np.column_stack([*[rng.choice(c, 500) for c in near], *[np.zeros(500)] * (3 - len(cuts))])
+    assert np.array_equal(boosting._looked_up(cuts, found, points), model.predict(points))
+    rows = [(r["__x"].toArray(), r["__p"]) for r in df.select("__x", F.col("__x").alias("x")).transform(lambda d: model.transform(d).withColumnRenamed("x", "__x")).collect()]
+    assert np.array_equal([p for _, p in rows], model.predict(np.array([v for v, _ in rows])))
+    monkeypatch.setattr(boosting, "LATTICE_CELLS", 3)
+    assert model.lattice() is None
+
+
+@pytest.mark.parametrize("name, rows", [
+    ("boosting_classification", ("orders", "o_orderkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string, o_orderstatus string"))])
+def test_boosting_queries_fit_all_rounds(spark, tmp_path, monkeypatch, name, rows):
+    at, schema = rows
+    day = lambda i: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=i)
+    made = {"orders": lambda i: (i, float(i * 37 % 101), day(i * 7), f"{i % 5 + 1}-X", "FOP"[i * i % 7 % 3]), "part": lambda i: (i, i * 11 % 50, float(i * i % 97))}
+    spark.createDataFrame([made[at](i) for i in range(120)], schema).write.parquet(str(tmp_path / f"{at}.parquet"))
+    asked = []
+    fit = boosting.HistogramBoosting.fit
+    monkeypatch.setattr(boosting.HistogramBoosting, "fit", lambda self, df: (asked.append((self.rounds, self.depth)), fit(self, df))[1])
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert asked and set(asked) == {(boosting.ROUNDS, boosting.DEPTH)} and {r["n"] for r in found} == {120}
