@@ -378,7 +378,7 @@ for _name, _make, _data in [
     ("forest_classification", partial(M.random_forest, "C", trees=20), _orders),
     ("forest_regression", partial(M.random_forest, "R", trees=20), _parts),
     ("boosting_classification", partial(M.gradient_boosting, "C"), _orders),
-    ("boosting_regression", partial(M.gradient_boosting, "R", rounds=10), _parts),
+    ("boosting_regression", partial(M.gradient_boosting, "R"), _parts),
 ]:
     query(_name)(_stacked(_make, _data))
 

@@ -323,7 +323,8 @@ def test_boosted_rows_look_their_prediction_up(spark, monkeypatch, classes):
 
 
 @pytest.mark.parametrize("name, rows", [
-    ("boosting_classification", ("orders", "o_orderkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string, o_orderstatus string"))])
+    ("boosting_classification", ("orders", "o_orderkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string, o_orderstatus string")),
+    ("boosting_regression", ("part", "p_partkey long, p_size int, p_retailprice double"))])
 def test_boosting_queries_fit_all_rounds(spark, tmp_path, monkeypatch, name, rows):
     at, schema = rows
     day = lambda i: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=i)
