@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +22,8 @@ from featloom.operators.gram import gram_matrices, merged_tree, task_slot
 from featloom.operators.moments import stats_of
 from featloom.operators.ordering import lookup
 from featloom.operators.quantiles import exact_quantiles
-from featloom.session import materialise, run_parallel
+from featloom.operators.seeding import blocks, fewer_tasks, first_centres, nearest_centre, packed
+from featloom.session import materialise
 
 CLUSTERS = 16
 QUANTILES = 1000
@@ -99,36 +99,33 @@ class Clustering:
     def fit_many(cls, ds: Dataset, plan: Sequence[tuple[str, Sequence[str]]], k: int = CLUSTERS, seed: int = 0) -> list[Clustering]:
         """One clustering per (name, inputs): rows are dealt once, and a pass moves the centres of all."""
         used = [n for n in ds.names if any(n in inputs for _, inputs in plan)]
-        rows = ds.spread().df.select(*[as_double(quoted(ds.by_name[n])).alias(f"c{i}") for i, n in enumerate(used)]).persist()
+        rows = packed(ds.spread().df.select(*[as_double(quoted(ds.by_name[n])).alias(f"c{i}") for i, n in enumerate(used)])).persist()
         try:
             at = [[used.index(n) for n in inputs] for _, inputs in plan]
-            starts = run_parallel(ds.spark, [lambda own=own: _first_centres(rows, own, k, seed) for own in at], 2)
-            moved = _settled(rows, at, starts)
+            wide = fewer_tasks(rows, len(used))
+            moved = _settled(wide, at, first_centres(rows, wide, at, k, seed))
         finally:
             rows.unpersist()
         return [cls(centres, tuple(inputs), name) for (name, inputs), centres in zip(plan, moved)]
 
     def transform(self, ds: Dataset) -> Dataset:
-        centres = self.centres
+        return labelled(ds, [self])
 
-        @F.pandas_udf("double")
-        def nearest(*columns: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            if np.isnan(x).any():
-                raise ValueError("a row to be labelled has a missing value")
-            return pd.Series(nearest_centre(x, centres).astype(float))
 
-        label = nearest(*[as_double(ds.value(n)) for n in self.inputs])
-        return ds.derived({**ds.values(), self.name: label})
+def labelled(ds: Dataset, parts: Sequence[Clustering]) -> Dataset:
+    """Append the label of every clustering: rows go to Python once for all."""
+    used = [n for n in ds.names if any(n in p.inputs for p in parts)]
+    plan = [([used.index(n) for n in p.inputs], p.centres) for p in parts]
 
+    @F.pandas_udf(", ".join(f"l{i} double" for i in range(len(parts))))
+    def labels(*columns: pd.Series) -> pd.DataFrame:
+        x = np.array([c.to_numpy(dtype=float) for c in columns])
+        if np.isnan(x).any():
+            raise ValueError("a row to be labelled has a missing value")
+        return pd.DataFrame({f"l{i}": nearest_centre(x[at].T, centres).astype(float) for i, (at, centres) in enumerate(plan)})
 
-def _first_centres(rows: DataFrame, at: Sequence[int], k: int, seed: int) -> np.ndarray:
-    """Centres of Spark's seeding, before any step."""
-    data = assembled(rows, [f"c{i}" for i in at]).select("__x").persist()
-    try:
-        return np.array(KMeans(k=k, seed=seed, maxIter=0, featuresCol="__x").fit(data).clusterCenters())
-    finally:
-        data.unpersist()
+    found = replace(ds, df=ds.df.withColumn("__labels", labels(*[as_double(ds.value(n)) for n in used])))
+    return found.derived({**found.values(), **{p.name: F.col("__labels")[f"l{i}"] for i, p in enumerate(parts)}})
 
 
 def _settled(rows: DataFrame, at: Sequence[Sequence[int]], starts: Sequence[np.ndarray]) -> list[np.ndarray]:
@@ -155,25 +152,11 @@ def _settled(rows: DataFrame, at: Sequence[Sequence[int]], starts: Sequence[np.n
 
 def _cluster_sums(clusterings: Mapping[int, tuple[Sequence[int], np.ndarray]], batch: pa.RecordBatch):
     """Sums and number of the rows of every centre."""
-    x = batch_matrix(batch, 0, batch.num_columns)
-    for i, (at, centres) in clusterings.items():
-        own = x[:, at]
-        label, k = nearest_centre(own, centres), len(centres)
-        sums = [np.bincount(label, own[:, j], k) for j in range(own.shape[1])]
-        yield (i, 0), np.column_stack([*sums, np.bincount(label, minlength=k)])
-
-
-def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Number of the nearest centre of every row, the first of equal ones."""
-    columns = np.ascontiguousarray(x.T)
-    label, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-    for i, centre in enumerate(centres):
-        away = np.zeros(len(x))
-        for column, value in zip(columns, centre):
-            away += np.square(column - value)
-        near = away < least
-        label[near], least[near] = i, away[near]
-    return label
+    for x in blocks(batch):
+        for i, (at, centres) in clusterings.items():
+            label, k = nearest_centre(x[at].T, centres), len(centres)
+            sums = [np.bincount(label, x[j], k) for j in at]
+            yield (i, 0), np.column_stack([*sums, np.bincount(label, minlength=k)])
 
 
 @dataclass(frozen=True)
@@ -375,6 +358,4 @@ class SpatialAggregate:
         return cls(tuple(Clustering.fit_many(ds, plan, k, seed)))
 
     def transform(self, ds: Dataset) -> Dataset:
-        for part in self.parts:
-            ds = part.transform(ds)
-        return ds
+        return labelled(ds, self.parts)

@@ -270,8 +270,10 @@ def spatial(spark, sf_dir):
     ds = _lines(spark, sf_dir)
     made = fitted.SpatialAggregate.fit(ds, k=8).transform(ds)
     labels = [n for n in made.names if n.startswith("spatialAgg")]
-    sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), made.value(n).alias("cluster")) for n in labels]))
-    return made.df.select(sizes.alias("s")).groupBy("s.feature", "s.cluster").agg(F.count(F.lit(1)).alias("n"))
+    # Rows with the same labels are counted before they become a row per label.
+    alike = made.df.groupBy(*[made.value(n).alias(n) for n in labels]).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("cluster")) for n in labels]))
+    return alike.select(sizes.alias("s"), "rows").groupBy("s.feature", "s.cluster").agg(F.sum("rows").alias("n"))
 
 
 def _expansion_sql() -> str:
